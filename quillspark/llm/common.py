@@ -65,7 +65,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: this cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -180,3 +180,12 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 def salted(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
+
+
+def let(value, body):
+    """`body` of `value`, which is evaluated once: an optimizer that inlines aliases can't move it into inner lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def word_array(text):
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
