@@ -22,7 +22,7 @@ from .common import let, small_enough, stored, table, word_array
 #: Words of a document at least; percent of words in repeated windows at most; words in a window.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Interquartile ranges beyond the quartiles that a rate may lie, and what is added, per 10,000 (word length: per 100).
-FENCE, MARGIN = 3, {"symbols": 100, "dup_lines": 200, "repeats": 500, "word_length": 100}
+FENCE, MARGIN = 3, {"symbols": 100, "dup_lines": 500, "repeats": 2500, "word_length": 100}
 #: Documents that a group needs for thresholds of its own.
 MIN_GROUP = 50
 #: Thresholds that are broadcast at most; beyond that the join is by shuffle, with salted keys.
@@ -193,8 +193,8 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY g_lang, g_source, rule ORDER BY bucket
 q AS (SELECT g_lang, g_source, rule, max(total) AS n, min(bucket) FILTER (cum * 4 >= total) AS q1, min(bucket) FILTER (cum * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
 f AS (SELECT own.g_lang, own.g_source, own.rule, CASE WHEN own.n >= 50 THEN own.q1 ELSE al.q1 END AS q1, CASE WHEN own.n >= 50 THEN own.q3 ELSE al.q3 END AS q3
     FROM q own JOIN q al ON own.g_lang = al.g_lang AND own.rule = al.rule WHERE own.g_source IS NOT NULL AND al.g_source IS NULL),
-lim AS (SELECT g_lang, g_source, max(q3 + (q3 - q1) * 3 + 100) FILTER (rule = 'r_symbols') AS hi_s, max(q3 + (q3 - q1) * 3 + 200) FILTER (rule = 'r_dup_lines') AS hi_d,
-    max(q3 + (q3 - q1) * 3 + 500) FILTER (rule = 'r_repeats') AS hi_r, max(q3 + (q3 - q1) * 3 + 100) FILTER (rule = 'r_word_length') AS hi_w,
+lim AS (SELECT g_lang, g_source, max(q3 + (q3 - q1) * 3 + 100) FILTER (rule = 'r_symbols') AS hi_s, max(q3 + (q3 - q1) * 3 + 500) FILTER (rule = 'r_dup_lines') AS hi_d,
+    max(q3 + (q3 - q1) * 3 + 2500) FILTER (rule = 'r_repeats') AS hi_r, max(q3 + (q3 - q1) * 3 + 100) FILTER (rule = 'r_word_length') AS hi_w,
     max(q1 - (q3 - q1) * 3 - 100) FILTER (rule = 'r_word_length') AS lo_w FROM f GROUP BY ALL),
 judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT (coalesce(r_symbols > hi_s, false) OR coalesce(r_dup_lines > hi_d, false) OR coalesce(r_repeats > hi_r, false)
