@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, quality
 from .byte_bpe import op5_byte_bpe
+from .decontaminate import op6_decontamination
 from .quality import op1_quality_rules
 from .secrets import op9_secrets
 from .sharding import op3_shards
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_shards, op4_token_counts, op5_byte_bpe, op9_secrets)
+    f.__name__: f for f in (op1_quality_rules, op3_shards, op4_token_counts, op5_byte_bpe, op6_decontamination, op9_secrets)
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL}
