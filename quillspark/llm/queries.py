@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, substring_dedup
+from . import decontaminate, near_dedup, quality, substring_dedup
 from .byte_bpe import op5_byte_bpe
 from .classifier import op8_importance
 from .decontaminate import op6_decontamination
 from .html_text import op2_html_text
+from .near_dedup import op10_near_duplicates
 from .quality import op1_quality_rules
 from .secrets import op9_secrets
 from .sharding import op3_shards
@@ -18,7 +19,7 @@ from .substring_dedup import op7_substring_dedup
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_shards, op4_token_counts, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_importance, op9_secrets)
+    f.__name__: f for f in (op1_quality_rules, op2_html_text, op3_shards, op4_token_counts, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_importance, op9_secrets, op10_near_duplicates)
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_decontamination": decontaminate.SQL, "op10_near_duplicates": near_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL}
