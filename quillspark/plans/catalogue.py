@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import listing
+from . import evaluate, ingest, listing
 
-_MODULES = (listing,)
+_MODULES = (listing, ingest, evaluate)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
