@@ -41,7 +41,7 @@ def parallel_limit(setting: Column) -> Column:
     """Pages at a time: 1 to 5; the default for what isn't a number. A blank counts as 0, so it gives 1."""
     text = trimmed(setting)
     number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(float(PARALLEL_MAX)), number)), F.lit(float(PARALLEL_DEFAULT)))
+    return F.when(number.isNull(), float(PARALLEL_DEFAULT)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(float(PARALLEL_MAX)), number)))
 
 
 def input_tokens(fresh: Column, created: Column, read: Column) -> Column:
