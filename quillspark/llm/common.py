@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -61,22 +63,47 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Scope:
+    """The folders that stored() made while the scope was open; drop() removes them, but for those of kept frames."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def drop(self, *keep: DataFrame) -> None:
+        kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+        for text in self.paths:
+            if text.rsplit("/", 1)[-1] not in kept:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [x for x in self.paths if x.rsplit("/", 1)[-1] in kept]
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Within it, stored() notes its folders; what an inner scope has left belongs to the outer one."""
+    own = Scope(spark)
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].paths += own.paths
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: this cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files behind a frame that stored() returned."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if `df` has at most `rows` rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows
