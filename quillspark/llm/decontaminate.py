@@ -72,8 +72,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k
         probes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), n)).alias("h"))
         hits = probes.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id")
         found = hits if found is None else found.union(hits)
-    if found is None:
-        return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"))
+    if found is None:  # no items
+        kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+        return docs.sparkSession.createDataFrame([], f"{kinds}, n_shingles long, n_found long")
     pairs = stored(found.distinct(), "containment-candidates")
     asked = pairs.join(items.select("item_id", F.col("text").alias("item_text")).where(F.col("item_id").isNotNull()).distinct(), "item_id")
     few = small_enough(asked, BROADCAST_ROWS)

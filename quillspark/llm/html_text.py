@@ -34,9 +34,13 @@ NAMES = frozenset(
 )
 #: Elements that name the article's place.
 PLACES = frozenset(("article", "main"))
+#: Share of the page's text without links from which a named place is the article, though the core lies higher.
+PLACE_SHARE = 0.3
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
+#: No open paragraph lies above these: they would have ended it, or bound its scope.
+_HOLDS_NO_P = _CLOSES_P - {"p"} | {"td", "th", "button", "object"}
 #: A start tag ends an open element of these kinds, unless one of the second is nearer.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -66,7 +70,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
 
-    def _open_among(self, wanted: tuple[str, ...] | frozenset[str], stop: tuple[str, ...]) -> Node | None:
+    def _open_among(self, wanted: tuple[str, ...] | frozenset[str], stop: tuple[str, ...] | frozenset[str]) -> Node | None:
         n = self.at
         while n.up is not None and n.tag not in stop:
             if n.tag in wanted:
@@ -77,7 +81,7 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
-        if tag in _CLOSES_P and (p := self._open_among(("p",), ("td", "th", "button", "object"))):
+        if tag in _CLOSES_P and (p := self._open_among(("p",), _HOLDS_NO_P)):
             self.at = p.up
         if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and self.at.tag[0] == "h" and self.at.tag[1:].isdigit():
             self.at = self.at.up
@@ -170,6 +174,10 @@ def article(root: Node) -> list[Node]:
         if n.tag in PLACES:
             return [n]
         n = n.up
+    places = [n for n in order if n.tag in PLACES]
+    largest = max(places, key=lambda n: n.chars - n.link_chars, default=None)
+    if largest and largest.chars - largest.link_chars >= PLACE_SHARE * (root.chars - root.link_chars) > 0:
+        return [largest]
     while best.up is not None and best.tag not in ("div", "section", "td", "center", "table"):
         best = best.up
     if best.up is None:
