@@ -1,0 +1,197 @@
+"""Token counts, byte-level BPE, sharding, secrets and page text against the libraries and brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from conftest import DATA
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillspark.llm import byte_bpe, html_text, secrets, sharding, token_counts
+
+P = pytest.importorskip("public_tokenizers")
+EDGE = [None, "", " ", "\n\n", "a", "  two  spaces ", "日本語 é ﬁ", "x" * 300, "<s> </s> <|endoftext|>", "\x00\t\r\x0b", "▁▁ a ▁b", "1234567890 it's THE'S"]
+#: A column that clashes with results, and repeated rows.
+SCHEMA = "doc_id long, text string, n_tokens string, lang string, source string, n_chars long"
+
+
+def edge_docs(spark, texts=EDGE):
+    rows = [(None if i == 1 else i, t, "own", "en", "s", 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[-1]] if rows else [], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.PrefixCounter(P.path("piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+
+
+ALPHABET = st.text(st.sampled_from("  ▁theingaon▁\n.,1é日\x00☃"), max_size=80)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ALPHABET)
+def test_counts_of_every_prefix(counter, pieces, text):
+    got = counter.prefix_counts(text)
+    assert got.tolist() == [len(pieces.encode(text[:i])) for i in range(len(text) + 1)]
+    assert counter.count(text) == got[-1]
+    assert counter.fitting(text, 5) == max(i for i in range(len(text) + 1) if got[i] <= 5)
+
+
+def test_op4(spark, pieces):
+    rows = token_counts.count_tokens(edge_docs(spark), P.path("piece_bpe_32k.model"), 50).collect()
+    assert len(rows) == len(EDGE) + 1
+    for r, t in zip(rows, [*EDGE, EDGE[-1]], strict=True):
+        n = len(pieces.encode(t or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((t or "").encode()), n, n > 50)
+    cut = token_counts.truncate(edge_docs(spark), P.path("piece_bpe_32k.model"), 3)
+    assert cut.columns == edge_docs(spark).columns
+    for r, t in zip(cut.collect(), [*EDGE, EDGE[-1]], strict=True):
+        assert r.text is None if t is None else t.startswith(r.text) and len(pieces.encode(r.text)) <= 3
+    assert token_counts.count_tokens(edge_docs(spark, []), P.path("piece_bpe_32k.model"), 50).count() == 0
+
+
+def test_op4_query(spark, pieces):
+    rows = {r.doc_id: r for r in token_counts.op4_token_counts(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert len(rows) == len(docs) and all(rows[d.doc_id].n_tokens == len(pieces.encode(d.text)) for d in docs)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    tiktoken = pytest.importorskip("tiktoken")
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_round_trip(reference, text):
+    c = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = c.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
+def test_perfect_hash():
+    keys = [f"k{i}".encode() for i in range(1001)]
+    h = byte_bpe.PerfectHash(keys)
+    assert sorted(h.slot(k) for k in keys) == list(range(1001)) and all(keys[h.slots[h.slot(k)]] == k for k in keys)
+
+
+def test_op5(spark, reference):
+    for docs in (edge_docs(spark), spark.read.parquet(f"{DATA}/documents.parquet")):
+        rows, source = byte_bpe.digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect(), docs.collect()
+        for r, d in zip(rows, source, strict=True):
+            ids = reference.encode_ordinary(d.text or "")
+            assert r.doc_id == d.doc_id and r.n_tokens == len(ids)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+    kept = byte_bpe.encode_column(edge_docs(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert kept.columns == [*edge_docs(spark).columns, "ids"] and kept.count() == len(EDGE) + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=12), st.integers(1, 5))
+def test_smallest_capacity(sizes, shards):
+    def best(i, k):
+        if k == 1:
+            return sum(sizes[i:])
+        return min(max(sum(sizes[i:j]), best(j, k - 1)) for j in range(i, len(sizes) + 1))
+
+    x = np.array(sizes)
+    capacity = sharding.smallest_capacity(x, shards)
+    assert capacity == best(0, shards)
+    parts = sharding.cut(x, shards)
+    assert (np.diff(parts) >= 0).all() and np.bincount(parts, weights=x).max() <= capacity and parts.max() < shards
+
+
+def test_op3(spark):
+    for docs in (edge_docs(spark), spark.read.parquet(f"{DATA}/documents.parquet")):
+        rows = sharding.assign_shards(docs).collect()
+        want = sorted((len((d.text or "").encode()) + 16, zlib.crc32((d.text or "").encode())) for d in docs.collect())
+        assert sorted((r["size"], r.text_crc32) for r in rows) == want
+        slots = {}
+        for r in rows:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+        assert len({(r.text_crc32, r["size"]) for r in rows}) == len({(r.text_crc32, r["size"], r.shard) for r in rows})
+    assert sharding.assign_shards(edge_docs(spark, [])).count() == 0
+
+
+def test_op3_hot_group(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE concat('t', id) END AS text")
+    rows = sharding.assign_shards(docs, 10).collect()
+    hot = {r.shard for r in rows if r["size"] == 25 and r.doc_id % 3 == 0}
+    assert len(hot) == 1 and len(rows) == 3000
+    for s in range(10):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_secret_spans():
+    key = "AKIA" + "A1B2" * 4
+    text = f'password = "hunter2hunter2" {key} {"0a1b2c3d" * 4} token: short AKIASHORT aPi_KeY=\'abcdefgh\' deadbeef'
+    kinds = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.spans(text)]
+    assert kinds == [("assign", 'password = "hunter2hunter2'), ("access", key), ("hex", "0a1b2c3d" * 4), ("assign", "aPi_KeY='abcdefgh")]
+    assert secrets.spans(None) == secrets.spans("") == []
+    # a failing match still takes up its text
+    assert secrets.spans("password: token: abcdefgh1") == []
+    assert secrets.redacted("x token=abcdefgh1 y") == "x [SECRET] y" and secrets.redacted("plain") == "plain"
+    assert secrets.spans("paſſword=abcdefghi ſecret=abcdefghi") == []
+
+
+def test_random_tokens_are_found_and_prose_is_not(spark):
+    import base64
+    import random
+
+    rnd = random.Random(3)
+    found = sum(bool(secrets.spans("key " + base64.b64encode(rnd.randbytes(30)).decode() + " end")) for _ in range(300))
+    assert found >= 270
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert sum(k == 3 for t in texts for _, k, _ in secrets.spans(t)) == 0
+    assert secrets.spans("Pneumonoultramicroscopicsilicovolcanoconiosis1 AAAAAAAAAAAAAAAAAAAAAAAAaaaa1111") == []
+
+
+def test_op9(spark):
+    rows = secrets.scan(edge_docs(spark, [*EDGE, "token=abcdefgh1 é token=abcdefgh2"])).collect()
+    assert rows[-1].n_assign == 2 and rows[-1].spans == "assign:0:15,assign:18:33"
+    assert rows[-1].base_sha256 == hashlib.sha256(rows[-1].spans.encode()).hexdigest()
+    assert rows[0].base_sha256 == hashlib.sha256(b"").hexdigest() and len(rows) == len(EDGE) + 2
+    out = secrets.redact(edge_docs(spark, [None, "", "token=abcdefgh1"]))
+    assert [(r.text, r.n_chars) for r in out.collect()] == [(None, 0), ("", 0), ("[SECRET]", 8), ("[SECRET]", 8)]
+    assert secrets.scan(edge_docs(spark, [])).count() == 0
+
+
+PAGE = """<html><head><title>t</title></head><body><header><a href=/>Home</a></header><div id="cookie-notice">We use cookies on this site, many of them.</div>
+<nav><ul><li><a>one</a><li><a>two</a></ul></nav><div class="layout"><div class="post"><h1>Title &amp; more</h1><p>First  paragraph with <b>bold</b>,
+text&nbsp;and a <a href=x>link</a> of some length.<p>Second one, long enough to count as text in a page.<table><tr><td>cell one<td>cell two</table></div>
+<div class="sidebar">Popular posts here</div></div><section class="comments"><p>What a nice article, I liked it.</p></section><form><input><p>Mail</p></form><footer>(c)</footer><script>var a="<p>x</p>"</script>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Title & more\nFirst paragraph with bold, text and a link of some length.\nSecond one, long enough to count as text in a page.\ncell one\ncell two"
+    assert html_text.main_text("<article><h1>T</h1><p>ab<br>cd and so on</b></article><p>outside of it all") == "T\nab cd and so on"
+    assert [html_text.main_text(x) for x in (None, "", "<p>", "a &lt; b")] == ["", "", "", "a < b"]
+    assert len(html_text.main_text("<div>" * 20_000 + "deep")) == 4
+
+
+def test_op2(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    for p in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        want = "\n".join(x for x in parts if x)
+        assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
+    odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(odd).collect()] == [(None, "", 0), (1, "", 0), (1, "", 0)]
+    assert html_text.extract(odd.limit(0)).count() == 0
