@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_long, prepare, shared_dir, stored, table, texts, window_hashes, word_hashes, words
+from .common import as_long, prepare, scope, shared_dir, small_enough, stored, table, texts, window_hashes, word_hashes, words
 
 WINDOW, SHINGLE = 20, 10
 #: Runs that are compacted; batches of the query; bytes of text that are handled together.
 FANOUT, BATCHES, CHUNK = 4, 2, 1 << 20
+#: Ids that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 #: The id in place of null.
 LAST = (1 << 63) - 1
 
@@ -202,10 +204,15 @@ def windows(asked: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
     return asked.select("doc_id", "text", "fps").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, done array<int>")
 
 
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents with an id among the others, or not, without a shuffle of texts if the ids are few enough to broadcast."""
+    return docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, "doc_id", how)
+
+
 def verify(docs: DataFrame, shared: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, starts: windows of documents that start earlier too, among those with shared fingerprints."""
-    by_doc = shared.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    asked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").join(by_doc, "doc_id")
+    by_doc = stored(shared.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "shared-fingerprints")
+    asked = _among(docs, by_doc.select("doc_id"), "left_semi").join(by_doc, "doc_id")
     w = windows(asked, window, shingle)
     at = F.struct("doc_id", "start")
     earlier = F.min(F.when(F.col("start") >= 0, at)).over(Window.partitionBy("h1", "h2"))
@@ -238,8 +245,10 @@ def removed_starts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
         own = own if high is None else own.where(F.col("doc_id") <= high)
         seen = docs if high is None else docs.where(F.col("doc_id") <= high)
         run = index.add(fingerprints(own, window, shingle))
-        hits = verify(seen, index.shared(run), window, shingle)
-        found.append(stored(hits if low is None else hits.where(F.col("doc_id") > low), "repeated-windows"))
+        with scope(spark) as made:
+            hits = verify(seen, index.shared(run), window, shingle)
+            found.append(stored(hits if low is None else hits.where(F.col("doc_id") > low), "repeated-windows"))
+            made.drop(found[-1])
         index.compact()
         low = high
     index.drop()
@@ -253,8 +262,11 @@ def dedup_words(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, s
     """doc_id, n_words, n_removed and the kept words' text of every document."""
     prepare(docs.sparkSession)
     starts = removed_starts(docs, batches, window, shingle)
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), "text")
-    joined = keyed.join(starts.withColumnRenamed("doc_id", "_id"), "_id", "left").select("doc_id", "text", "starts")
+    keyed = docs.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    ids = starts.select("doc_id")
+    hit = _among(keyed, ids, "left_semi").join(starts, "doc_id").select("own_id", "text", "starts")
+    rest = _among(keyed, ids, "left_anti").select("own_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    joined = hit.union(rest)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
