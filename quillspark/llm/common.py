@@ -118,7 +118,7 @@ _Q = np.uint64(0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of text that are hashed together at most, if no single text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

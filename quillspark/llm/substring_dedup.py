@@ -30,7 +30,7 @@ from .common import as_long, prepare, scope, shared_dir, small_enough, stored, t
 
 WINDOW, SHINGLE = 20, 10
 #: Runs that are compacted; batches of the query; bytes of text that are handled together.
-FANOUT, BATCHES, CHUNK = 4, 2, 1 << 20
+FANOUT, BATCHES, CHUNK = 4, 2, 1 << 18
 #: Ids that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 #: The id in place of null.
