@@ -43,8 +43,8 @@ ACTIVE = ("pending", "processing")
 
 def with_ids(new: DataFrame, old: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
     """Ids after the largest one. The numbering is over the new rows alone, which a change set bounds."""
-    top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.row_number().over(Window.orderBy(*order))).drop("_top")
+    top = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return new.withColumn(key, F.lit(top).cast("long") + F.row_number().over(Window.orderBy(*order)))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Mapping[str, Column] | None = None) -> DataFrame:
@@ -132,9 +132,9 @@ def last_of_repo(wikis: DataFrame, wiki_id: int) -> DataFrame:
 
 def claim(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs with the oldest pending one started."""
-    oldest = jobs.where("status = 'pending'").agg(F.min(F.struct("created_at", "id"))["id"].alias("_oldest"))
-    hit = F.col("id") == F.col("_oldest")
-    return jobs.crossJoin(F.broadcast(oldest)).withColumn("status", F.when(hit, "processing").otherwise(F.col("status"))).withColumn("started_at", F.when(hit, now).otherwise(F.col("started_at"))).drop("_oldest")
+    oldest = jobs.where("status = 'pending'").agg(F.min(F.struct("created_at", "id"))["id"]).first()[0]
+    hit = F.col("id").eqNullSafe(F.lit(oldest)) & F.col("id").isNotNull()
+    return jobs.withColumn("status", F.when(hit, "processing").otherwise(F.col("status"))).withColumn("started_at", F.when(hit, now).otherwise(F.col("started_at")))
 
 
 def finish(jobs: DataFrame, job_id: int, now: Column, error: str | None = None, prompt: int | None = None, completion: int | None = None, cost: float | None = None) -> DataFrame:
