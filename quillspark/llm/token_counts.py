@@ -32,6 +32,7 @@ class PrefixCounter:
     """Counts for a sentencepiece BPE model with byte fallback and identity normalisation."""
 
     def __init__(self, model_path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -39,7 +40,10 @@ class PrefixCounter:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         if sp.normalize("ﬁ  x") != f"{SPACE_MARK}ﬁ{SPACE_MARK}{SPACE_MARK}x" or any(SPACE_MARK in p.strip(SPACE_MARK) or p.endswith(SPACE_MARK) and p.strip(SPACE_MARK) for p in self.scores):
             raise ValueError("the model normalises texts or has pieces across spaces")
-        self.longest = max(map(len, self.scores))
+        self.pieces = ahocorasick.Automaton()
+        for p in self.scores:
+            self.pieces.add_word(p, p)
+        self.pieces.make_automaton()
         self.reachable: dict[str, bool] = {}
         self.stays: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, int] = {}
@@ -75,20 +79,30 @@ class PrefixCounter:
         return ok
 
     def unit_counts(self, unit: str) -> list[int]:
-        """Tokens of every prefix of a unit, the empty one first."""
-        counts, last, scores, stays, longest = [0], [""], self.scores, self.stays, self.longest
-        for end in range(1, len(unit) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = unit[start:end]
-                if token in scores or start == end - 1:
-                    before = last[start]
-                    ok = stays.get((before, token))
-                    if ok or ok is None and self._follows(before, token):
-                        break
-            last.append(token)
-            counts.append(counts[start] + (1 if token in scores else len(token.encode("utf-8", "surrogatepass"))))
+        """Tokens of every prefix of a unit, the empty one first. One pass over all vocabulary pieces in the unit, by
+        where they end; of those that end at a prefix one qualifies, and a character outside the vocabulary stands alone."""
+        n, stays = len(unit), self.stays
+        counts, last, done = [0] * (n + 1), [""] * (n + 1), 0
+        for end, token in self.pieces.iter(unit):
+            if end < done:
+                continue
+            if done < end:
+                self._alone(unit, done, end, counts, last)
+            start = end + 1 - len(token)
+            before = last[start]
+            ok = stays.get((before, token))
+            if ok or ok is None and self._follows(before, token):
+                done = end + 1
+                last[done], counts[done] = token, counts[start] + 1
+        self._alone(unit, done, n, counts, last)
         return counts
 
+    @staticmethod
+    def _alone(unit: str, at: int, end: int, counts: list[int], last: list[str]) -> None:
+        """Characters outside the vocabulary: a token for each of their bytes."""
+        for i in range(at, end):
+            last[i + 1], counts[i + 1] = unit[i], counts[i] + len(unit[i].encode("utf-8", "surrogatepass"))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
