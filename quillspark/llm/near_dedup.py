@@ -10,7 +10,9 @@ looked at; the few documents with a gap take twice the bound.
 Documents with equal sets are one node. Nodes that agree in a whole band are candidates: all pairs in buckets of up to
 PAIRS nodes; in larger ones every node with LEADERS of the bucket, drawn anew for every bucket, which links a crowd of
 similar nodes without its pairs. Candidates are verified by the exact similarity of their sets; the verified links'
-connected components are the classes, named after their least doc_id.
+connected components are the classes. Nodes of larger buckets that hold several classes then take an exact join by
+prefixes of their sets (rarest elements first, with the bounds of sizes and positions) for the links between classes that
+no leader showed. Classes are named after their least doc_id.
 
 Texts of fewer than five words have one shingle, all their words; texts without words are all equal. Rows with a null
 doc_id have no class; one_of_each() keeps them. Rows that share a doc_id are classed each, as nodes of one name;
@@ -38,6 +40,8 @@ BANDS, ROWS = 21, 3
 PAIRS, HOT = 32, 2000
 LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85, 0x14057B7EF767814F, 0x7FFFFFFFFFFFFFFF)
 CHUNK = 1 << 18
+#: Counters of elements by hash that order them by rarity. Any order is right; this one makes few candidates.
+SLOTS = 1 << 18
 #: Ids that are broadcast at most; beyond that texts are joined with them by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -103,7 +107,7 @@ def dart_signatures(row: np.ndarray, cell: np.ndarray, n_rows: int, k: int) -> n
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, s1, s2 (a 128-bit sum of the set), keys (one for each band) of every document with an id."""
+    """doc_id, s1, s2 (a 128-bit sum of the set), keys (one for each band), size (elements) of every document with an id."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +123,9 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
                 for j, s in enumerate(sums):
                     np.add.at(s, row, mix(cell ^ np.uint64(0x1234567 * (j + 1))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(as_long(key).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(as_long(sums[0])), pa.array(as_long(sums[1])), lists], names=["doc_id", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(as_long(sums[0])), pa.array(as_long(sums[1])), lists, pa.array(np.bincount(row, minlength=n))], names=["doc_id", "s1", "s2", "keys", "size"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, keys array<bigint>")
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, keys array<bigint>, size long")
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE, weighted: bool = False) -> DataFrame:
@@ -203,11 +207,81 @@ def components(links: DataFrame) -> DataFrame:
                 return labels
 
 
+def mixed_nodes(entries: DataFrame, buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, label: the nodes of buckets of over PAIRS nodes that hold more than one class."""
+    large = stored(entries.join(buckets.where(F.col("n") > PAIRS).select("key"), "key").join(classes, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "crowded-entries")
+    mixed = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return large.join(mixed, "key", "left_semi").select("node", "label").distinct()
+
+
+def _rarity(docs: DataFrame, k: int, weighted: bool) -> np.ndarray:
+    """How many elements of the documents' sets fall into each of SLOTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for _, offs, data in texts(b.column(1), CHUNK):
+                n += np.bincount((elements(offs, data, k, weighted)[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    found = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int, weighted: bool) -> DataFrame:
+    """cell, node, label, size, at: of every set the first elements, rarest first, one of which a similar set must share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, offs, data in texts(b.column(1), CHUNK):
+                n = len(offs) - 1
+                row, cell = elements(offs, data, k, weighted)
+                order = np.lexsort((cell, rarity[(cell % np.uint64(SLOTS)).astype(np.int64)], row))
+                row, cell = row[order], cell[order]
+                size = np.bincount(row, minlength=n)
+                at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                keep = at <= (size - np.ceil(threshold * size - 1e-9).astype(np.int64))[row]
+                own = pa.array(row[keep])
+                cols = [pa.array(as_long(cell[keep])), b.column(0).slice(lo, n).take(own), b.column(2).slice(lo, n).take(own), pa.array(size[row[keep]]), pa.array(at[keep])]
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "node", "label", "size", "at"])
+
+    return docs.mapInArrow(run, "cell long, node long, label long, size long, at long")
+
+
+def crowd_candidates(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, weighted: bool = False) -> DataFrame:
+    """a, b: all pairs of the nodes, of different classes, that can have the similarity by size and prefix.
+
+    At a similarity of t two sets share t / (1 + t) of their sizes' sum, so their first common element in any order is in
+    both prefixes, and neither has less left from there on. On each element the nodes outside its largest class meet all."""
+    few = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, "node").select("node", "text", "label")
+    entries = stored(prefixes(own, _rarity(own, k, weighted), threshold, k, weighted), "prefixes")
+    main = entries.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    shared = stored(entries.join(main.select("cell", "main"), "cell"), "shared-prefixes")
+    x = shared.where("label <> main").select("cell", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "size", "at")])
+    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size") - F.col("at"))
+    near = left * (1 + threshold) + 1e-9 >= F.lit(threshold) * (F.col("size_x") + F.col("size"))
+    met = x.join(shared, (x["cell"] == shared["cell"]) & (F.col("label_x") != F.col("label")) & near)
+    return met.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct()
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label: the classes after further links between their nodes, or nodes of none."""
+    label = lambda x: classes.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    up = components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    moved = classes.join(up.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return stored(moved.union(up.join(classes, "node", "left_anti").select("node", "label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id: the class of every document, named after its least doc_id."""
     spark = docs.sparkSession
     sig = stored(signatures(docs, k, bands, rows, weighted), "signatures")
-    nodes = stored(sig.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
+    nodes = stored(sig.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size")), "nodes")
     with scope(spark) as own:
         found = _buckets(nodes.select("node", "keys"))
         # the least nodes of buckets link most of each class; other pairs are verified only between classes so far
@@ -215,10 +289,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
             links = stored(verified(stored(first_candidates(*found), "candidates"), docs, threshold, k, weighted), "links")
             first.drop(links)
         so_far = components(links)
-        label = lambda x: so_far.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-        apart = all_candidates(*found).join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        sizes = nodes.groupBy("node").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+        known = stored(sizes.join(so_far, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("label")), "sizes")
+        of = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]).withColumnRenamed(f"node_{x}", x)
+        fit = (F.col("high_a") + 1e-9 >= F.lit(threshold) * F.col("low_b")) & (F.col("high_b") + 1e-9 >= F.lit(threshold) * F.col("low_a"))
+        apart = all_candidates(*found).join(of("a"), "a").join(of("b"), "b").where((F.col("label_a") != F.col("label_b")) & fit).select("a", "b")
         more = verified(stored(apart, "candidates"), docs, threshold, k, weighted)
         classes = components(links.union(more))
+        apart = stored(mixed_nodes(*found[:2], classes), "mixed-nodes")
+        if apart.limit(1).count():
+            rest = verified(stored(crowd_candidates(apart, docs, threshold, k, weighted), "candidates"), docs, threshold, k, weighted)
+            classes = joined_classes(classes, stored(rest, "links"))
         own.drop(classes)
     named = nodes.select("s1", "s2", "node").join(classes, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class_id"))
     return sig.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id")

@@ -195,6 +195,22 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_that_no_leader_shows(spark, monkeypatch):
+    """Crowded buckets of one leader each, with links between nodes that are far from all leaders."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "LEADERS", (0,))
+    rnd = random.Random(1)
+    base = [rnd.choice(VOCAB) + "b" for _ in range(200)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for j in rnd.sample(range(200), rnd.choice((1, 4, 5, 6, 7, 8))):
+            w[j] = f"e{i}_{j}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(df.collect())
+
+
 def test_dart_signatures_estimate_similarity():
     n, k = 300, 2000
     rnd = np.random.default_rng(5)
