@@ -1,10 +1,12 @@
 """Secret scans.
 
-Three patterns find secrets by their form. Besides, every long token of an encoding (hexadecimal, base 32, base 62,
-base 64) takes a battery of randomness tests: chi-squared uniformity over its inferred alphabet, the runs test about the
+Three patterns find secrets by their form. Besides, every long token of an encoding (hexadecimal, base 32, base 36,
+base 62, base 64) takes a battery of randomness tests: chi-squared uniformity over its inferred alphabet, the runs test about the
 alphabet's middle, and serial correlation. Fisher's method combines them into one p-value for "drawn at random from its
 alphabet". Within a document a Benjamini-Hochberg step, weighted by token length since long tokens give the tests more
-power, controls the share of random tokens thrown out; the tokens that it doesn't reject are reported as random.
+power, controls the share of random tokens thrown out; the tokens that it doesn't reject are reported as random. Runs of
+name=value are cut at '=', and each field is tested whole and in its parts between separators, which an encoding may have
+or not; of parts that overlap the longest one that stands is reported.
 
 Nulls and empty texts have no spans. Null doc_ids, repeated rows and other columns are kept as they are.
 """
@@ -28,9 +30,11 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Alphabets, smallest first, in the order of their values.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ENCODINGS = (("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("base62", _DIGITS + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64", _UPPER + _LOWER + _DIGITS + "-_"))
+ENCODINGS = (("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("base36", _DIGITS + _LOWER), ("base36", _DIGITS + _UPPER), ("base62", _DIGITS + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64", _UPPER + _LOWER + _DIGITS + "-_"))
 #: Least length of a token by encoding, for the tests to tell it from prose.
-LEAST = {"hex": 32, "base32": 28, "base62": 24, "base64": 24}
+LEAST = {"hex": 32, "base32": 28, "base36": 25, "base62": 24, "base64": 24}
+#: What may part a field, the separators of one base 64 or of the other or of both.
+_PARTS = tuple(re.compile(x) for x in ("[^=]+", "[^=_-]+", "[^=/+]+", "[^=/+_-]+"))
 #: False discovery rate of the step that rejects randomness.
 FDR = 0.05
 
@@ -57,6 +61,16 @@ def infer(token: str) -> tuple[str, str] | None:
     return None
 
 
+def tokens(run: str) -> list[tuple[int, str, str]]:
+    """(start, token, alphabet) of all fields of a run, and of their parts, that are long enough in an encoding."""
+    out = {}
+    for cut in _PARTS:
+        for m in cut.finditer(run):
+            if m.span() not in out and m.end() - m.start() >= min(LEAST.values()) and (kind := infer(m.group())) and m.end() - m.start() >= LEAST[kind[0]]:
+                out[m.span()] = (m.start(), m.group(), kind[1])
+    return list(out.values())
+
+
 def random_p(token: str, alphabet: str) -> float:
     """Combined p-value of the three tests under independent uniform characters."""
     n, size = len(token), len(alphabet)
@@ -111,14 +125,17 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     for at, token in long:  # a run of 32 hexadecimal digits lies within a long token
         out += [(at + m.start(), 2, at + m.end()) for m in _HEX.finditer(token) if m.end() - m.start() >= 32]
     tested = []
-    for at, token in long:
-        core = token.rstrip("=")
-        kind = infer(core) if not any(s < at + len(core) and at < e for s, _, e in out) else None
-        if kind and len(core) >= LEAST[kind[0]]:
-            tested.append((at, core, random_p(core, kind[1])))
+    for at, run in long:
+        for lo, token, alphabet in tokens(run):
+            if not any(s < at + lo + len(token) and at + lo < e for s, _, e in out):
+                tested.append((at + lo, token, random_p(token, alphabet)))
     if tested:
         stands = not_rejected([(len(t), p) for _, t, p in tested])
-        out += [(at, 3, at + len(t)) for (at, t, _), ok in zip(tested, stands, strict=True) if ok]
+        taken: list[tuple[int, int, int]] = []
+        for n, at in sorted(((-len(t), at) for (at, t, _), ok in zip(tested, stands, strict=True) if ok)):
+            if not any(s < at - n and at < e for s, _, e in taken):
+                taken.append((at, 3, at - n))
+        out += taken
     return sorted(out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -158,6 +159,23 @@ def test_random_tokens_are_found_and_prose_is_not(spark):
     assert secrets.spans("Pneumonoultramicroscopicsilicovolcanoconiosis1 AAAAAAAAAAAAAAAAAAAAAAAAaaaa1111") == []
 
 
+def test_random_tokens_in_fields_and_paths_and_of_one_case():
+    rnd = random.Random(3)
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    both, found = lower + upper + "0123456789", [0] * 5
+    for _ in range(100):
+        key = draw(both + "+/", 40)
+        pat, part = draw(both, 36), draw(both, 40)
+        texts = [(f"export AWS_SECRET_ACCESS_KEY={key} now", key), (f"GITHUB_PAT=ghp_{pat}", pat), (f"see example.org/the_long_path/of_words/{part}/index_page", part)]
+        texts += [(f"key {x} end", x) for x in (draw(lower + "0123456789", 40), draw(upper + "0123456789", 40))]
+        for i, (text, token) in enumerate(texts):
+            found[i] += token not in secrets.redacted(text)
+    assert min(found) >= 85, found
+    prose = "see docs/getting_started/how_to_configure-the-server2.html?lang=en_us&page=an_introduction_to_chapter_12 /usr/local/lib/python3/site-packages/some_module_name"
+    assert secrets.spans(prose) == []
+
+
 def test_op9(spark):
     rows = secrets.scan(edge_docs(spark, [*EDGE, "token=abcdefgh1 é token=abcdefgh2"])).collect()
     assert rows[-1].n_assign == 2 and rows[-1].spans == "assign:0:15,assign:18:33"
