@@ -4,6 +4,8 @@ Every node of the page's tree gets its link-adjusted characters per tag; the sum
 text it holds directly. The node of the largest sum is the core of the article; the smallest density on its path to the
 body is the threshold that its neighbours must reach to belong to it. Parts that never are an article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before, by tag, role and class.
+Words of classes also stand on wrappers of the article: a word whose elements hold most of the page's text without links
+names no such part there, and an element around an article or main of some size isn't one.
 
 A null page is an empty one, and has an empty text. Null ids, repeated rows and other columns are kept as they are.
 Broken markup is read as browsers do: unclosed elements end with their parents, stray end tags are ignored.
@@ -32,6 +34,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe share sharing social related recommended widget toolbar login signup skip".split()
 )
+#: Those that hold no article even if they are whole classes of most of the page.
+ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus cookie cookies consent gdpr newsletter subscribe".split())
+#: Share of the page's text without links from which a word of NAMES does not name such parts on the page.
+NAME_SHARE = 0.5
 #: Elements that name the article's place.
 PLACES = frozenset(("article", "main"))
 #: Share of the page's text without links from which a named place is the article, though the core lies higher.
@@ -58,11 +64,59 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "skip", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "skip", "names", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, skip: bool = False):
         self.tag, self.up, self.skip = tag, up, skip
         self.items: list[Node | str] = []
+        self.names: set[tuple[str, bool]] | None = None
+
+
+def _names(attrs: list[tuple[str, str | None]]) -> set[tuple[str, bool]] | None:
+    """The words of NAMES in classes and ids, and whether each is a whole class or id."""
+    out = set()
+    for k, v in attrs:
+        if v and k in ("class", "id"):
+            for x in v.lower().split():
+                out |= {(w, w == x) for w in _WORD.findall(x) if w in NAMES}
+    return out or None
+
+
+def _skip_named(root: Node) -> None:
+    """Leave out the elements that their classes and ids name as parts beside the article."""
+    order, named, todo = [], False, [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        named = named or n.names is not None
+        todo += [x for x in n.items if type(x) is Node and not x.skip]
+    if not named:
+        return
+    for n in reversed(order):  # chars: without links
+        n.chars, n.total = 0, 0.0
+        for x in n.items:
+            if type(x) is str:
+                n.chars += len(x) if not x.isspace() else 0
+            elif not x.skip:
+                n.chars += x.chars
+                n.total = max(n.total, x.total)
+        if n.tag == "a":
+            n.chars = 0
+        if n.tag in PLACES:
+            n.total = max(n.total, float(n.chars))
+    held: dict[tuple[str, bool], int] = {}
+    walk: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while walk:
+        n, above = walk.pop()
+        if n.names:
+            for x in n.names - above:  # the outermost ones
+                held[x] = held.get(x, 0) + n.chars
+            above = above | n.names
+        walk += [(x, above) for x in n.items if type(x) is Node and not x.skip]
+    void = {(w, whole) for (w, whole), c in held.items() if c >= NAME_SHARE * root.chars > 0 and not (whole and w in ASIDE)}
+    for n in order:
+        if n.names and not n.names <= void and not n.total >= PLACE_SHARE * root.chars > 0:
+            n.skip = True
 
 
 class _Tree(HTMLParser):
@@ -88,6 +142,8 @@ class _Tree(HTMLParser):
         if tag in _ENDS and (n := self._open_among(*_ENDS[tag])):
             self.at = n.up
         node = Node(tag, self.at, self.at.skip or tag in NEVER or bool(attrs) and self._unwanted(tag, attrs) or tag == "header" and not self._open_among(PLACES, ()))
+        if attrs and not node.skip and tag not in PLACES:
+            node.names = _names(attrs)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -99,7 +155,7 @@ class _Tree(HTMLParser):
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v.lower()):
                 return True
-            if v and tag not in PLACES and (k == "role" and v.strip().lower() in ROLES or k in ("class", "id") and not NAMES.isdisjoint(_WORD.findall(v.lower()))):
+            if v and tag not in PLACES and k == "role" and v.strip().lower() in ROLES:
                 return True
         return False
 
@@ -219,6 +275,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _skip_named(tree.root)
     return "\n".join(blocks(article(tree.root)))
 
 

@@ -199,6 +199,22 @@ def test_main_text():
     assert len(html_text.main_text("<div>" * 20_000 + "deep")) == 4
 
 
+def paragraphs(*numbers):
+    return "".join(f"<p>Paragraph {i} tells at some length what happened there, and why it did, to whoever asks.</p>" for i in numbers)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-sidebar-wrap", "elementor-widget elementor-widget-text-editor", "main-nav-open", "social-post"])
+def test_main_text_in_a_wrapper_with_a_name(name):
+    menu = '<div class="site-nav"><a href="/">Home</a> <a href="/b">More</a></div><div class="ad">Buy this now</div>'
+    ends = '<div class="comments">A comment of a reader</div>'
+    for inner in (f"<article>{paragraphs(1, 2, 3, 4)}</article>", paragraphs(1, 2, 3, 4)):
+        text = html_text.main_text(f'<body>{menu}<div class="{name}">{inner}{ends}</div></body>')
+        assert text.count("Paragraph") == 4 and "Buy" not in text and "reader" not in text and "Home" not in text
+    pieces = "".join(f'<div class="{name}">{paragraphs(i)}</div>' for i in range(5))
+    assert "Paragraph 2" in html_text.main_text(f"<body>{menu}<div>{pieces}</div></body>")
+    assert "Buy" not in html_text.main_text(f'<body><div>{paragraphs(1, 2)}<div class="ad-slot">Buy this now</div></div></body>')
+
+
 def test_op2(spark):
     import html
     import re
