@@ -2,7 +2,7 @@
 
 Every node of the page's tree gets its link-adjusted characters per tag; the sum over its children tells how much dense
 text it holds directly. The node of the largest sum is the core of the article; the smallest density on its path to the
-body is the threshold that its neighbours must reach to belong to it. Parts that never are an article (menus, headers,
+body is the threshold that the other parts of the page, elements or bare text anywhere in it, must reach to belong to it. Parts that never are an article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before, by tag, role and class.
 Words of classes also stand on wrappers of the article: a word whose elements hold most of the page's text without links
 names no such part there, and an element around an article or main of some size isn't one.
@@ -173,6 +173,12 @@ class _Tree(HTMLParser):
             self.at.items.append(data)
 
 
+def _density(c: int, link_chars: int, tags: int, link_tags: int, own_links: float) -> float:
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(c * lc / max(1, c - link_chars) + own_links * c + math.e)
+    return c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / max(0.05, math.log(base))
+
+
 def _measure(root: Node, own_links: float) -> list[Node]:
     """Densities of all nodes that may be text, children before parents; own_links is the page's share of link text."""
     order, todo = [], [root]
@@ -196,9 +202,7 @@ def _measure(root: Node, own_links: float) -> list[Node]:
                 n.total += x.density
         if link:
             n.link_chars = n.chars
-        c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        base = math.log(c * lc / max(1, c - n.link_chars) + own_links * c + math.e)
-        n.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / max(0.05, math.log(base))
+        n.density = _density(n.chars, n.link_chars, n.tags, n.link_tags, own_links)
     return order
 
 
@@ -217,31 +221,72 @@ def _page_links(root: Node) -> float:
     return links / max(1, chars)
 
 
-def article(root: Node) -> list[Node]:
-    """The nodes that make up the article, in page order."""
-    order = _measure(root, _page_links(root))
-    core = best = max(reversed(order), key=lambda n: n.total if n.total else n.density * 1e-9)
-    threshold, n = core.density, core
-    while n.up is not None:
+def _dense(top: Node, core: Node, threshold: float, own_links: float) -> list[Node | str | None]:
+    """The core and all parts below top that reach the threshold, in page order, None between them."""
+    path, n = set(), core
+    while n is not top:
         n = n.up
-        threshold = min(threshold, n.density)
-    n = core
+        path.add(n)
+    out: list[Node | str | None] = []
+    todo: list[Node | list[Node | str]] = [top]
+    while todo:
+        n = todo.pop()
+        if type(n) is list:  # text and inline elements side by side
+            c = [sum(x) for x in zip(*((0 if x.isspace() else len(x), 0, 0, 0) if type(x) is str else (x.chars, x.link_chars, x.tags + 1, x.link_tags + (x.tag == "a")) for x in n), strict=True)]
+            if c[0] and _density(*c, own_links) >= threshold:
+                out += [None, *n, None]
+            else:
+                todo += [x for x in reversed(n) if type(x) is Node]
+        elif n is core or n not in path and n.density >= threshold:
+            out += [None, n, None]
+        else:
+            runs: list[Node | list[Node | str]] = []
+            for x in n.items:
+                if type(x) is Node and (x.skip or x is core or x in path or x.tag in BLOCK):
+                    runs += [] if x.skip else [x]
+                elif runs and type(runs[-1]) is list:
+                    runs[-1].append(x)
+                else:
+                    runs.append([x])
+            todo += reversed(runs)
+    return out
+
+
+def article(root: Node) -> list[Node | str | None]:
+    """What makes up the article, in page order."""
+    own_links = _page_links(root)
+    order = _measure(root, own_links)
+    core = best = max(reversed(order), key=lambda n: n.total if n.total else n.density * 1e-9)
+    threshold, n, inner, outer = core.density, core, None, None
     while n is not None:
+        threshold = min(threshold, n.density)
         if n.tag in PLACES:
-            return [n]
+            inner, outer = inner or n, n
         n = n.up
+    threshold = max(threshold, 1e-9)
     places = [n for n in order if n.tag in PLACES]
-    largest = max(places, key=lambda n: n.chars - n.link_chars, default=None)
-    if largest and largest.chars - largest.link_chars >= PLACE_SHARE * (root.chars - root.link_chars) > 0:
-        return [largest]
+    if not inner:
+        largest = max(places, key=lambda n: n.chars - n.link_chars, default=None)
+        if largest and largest.chars - largest.link_chars >= PLACE_SHARE * (root.chars - root.link_chars) > 0:
+            inner = outer = _outermost(largest)
+    if inner:
+        own = _dense(outer, inner, threshold, own_links)
+        tops = [n for n in places if n is outer or _outermost(n) is n and n.density >= threshold]
+        return [x for n in tops for x in (own if n is outer else (None, n, None))]
     while best.up is not None and best.tag not in ("div", "section", "td", "center", "table"):
         best = best.up
-    if best.up is None:
-        return [best]
-    return [x for x in best.up.items if x is best or type(x) is Node and not x.skip and x.density >= max(threshold, 1e-9)]
+    return [best] if best.up is None else _dense(root, best, threshold, own_links)
+
+
+def _outermost(place: Node) -> Node:
+    n = out = place
+    while n is not None:
+        out = n if n.tag in PLACES else out
+        n = n.up
+    return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str | None]) -> list[str]:
     """Texts of the blocks, white space as one space, empty ones left out."""
     out: list[str] = []
     now: list[str] = []

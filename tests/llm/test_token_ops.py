@@ -215,6 +215,17 @@ def test_main_text_in_a_wrapper_with_a_name(name):
     assert "Buy" not in html_text.main_text(f'<body><div>{paragraphs(1, 2)}<div class="ad-slot">Buy this now</div></div></body>')
 
 
+def test_main_text_in_several_parts():
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/b">More of it</a></li></ul>'
+    rows = "".join(f'<div class="row"><div class="col">{paragraphs(*range(3 * i, 3 * i + 3))}</div></div>' for i in range(4))
+    bare = "Bare text that belongs to the article and stands right beside its paragraphs, <b>with</b> a bold word."
+    articles = "".join(f"<article>{paragraphs(*range(3 * i, 3 * i + 3))}</article>" for i in range(4))
+    for html, more in ((f"<div>{rows}</div>", ""), (f"<div>{paragraphs(*range(12))}{bare}</div>", "bold word"), (f"<div><div>{paragraphs(*range(12))}</div>{bare}</div>", "with a bold word"), (f"<main>{articles}</main>", ""), (f"<div>{articles}</div>", ""), (f"<div><article>{paragraphs(*range(6))}</article><article>{paragraphs(*range(6, 12))}</article></div>", "")):
+        text = html_text.main_text(f"<body>{menu}{html}{menu}</body>")
+        found = [int(x.split()[1]) for x in text.split("\n") if x.startswith("Paragraph")]
+        assert found == list(range(12)) and more in text and "Home" not in text, html[:60]
+
+
 def test_op2(spark):
     import html
     import re
