@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +26,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 512
 
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,59 +53,109 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only on a local master, where it is unset, a folder of
+    our own; on a cluster a machine's own folder would be lost with it, so there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillspark-shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if spark.sparkContext.applicationId not in _own_dirs:
+            _own_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="quillspark-shared-")
+            atexit.register(shutil.rmtree, _own_dirs[spark.sparkContext.applicationId], ignore_errors=True)
+        folder = _own_dirs[spark.sparkContext.applicationId]
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, text: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+SHARED = "shared-ids"
+
+
 class Scope:
-    """The folders that stored() made while the scope was open; drop() removes them, but for those of kept frames."""
+    """The folders that stored() made while the scope was open; drop() removes them, but for those of kept frames, which
+    are stored ones themselves, and the shared ids that keyed() rows need."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def drop(self, *keep: DataFrame) -> None:
         kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+        kept |= {x.rsplit("/", 1)[-1] for x in self.paths if x.rsplit("/", 1)[-1].startswith(SHARED)}
         for text in self.paths:
             if text.rsplit("/", 1)[-1] not in kept:
-                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                remove(self.spark, text)
         self.paths = [x for x in self.paths if x.rsplit("/", 1)[-1] in kept]
 
 
-_scopes: list[Scope] = []
+#: The open scopes of this thread of work.
+_scopes: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Scope]:
     """Within it, stored() notes its folders; what an inner scope has left belongs to the outer one."""
-    own = Scope(spark)
-    _scopes.append(own)
+    own, outer = Scope(spark), _scopes.get()
+    mark = _scopes.set((*outer, own))
     try:
         yield own
     finally:
-        _scopes.pop()
-        if _scopes:
-            _scopes[-1].paths += own.paths
+        _scopes.reset(mark)
+        if outer:
+            outer[-1].paths += own.paths
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: this cuts the lineage and outlives any executor."""
+    """Write `df` to the shared folder and read it back: this cuts the lineage and outlives any executor. What no scope
+    removes goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].paths.append(path)
+    if _scopes.get():
+        _scopes.get()[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The sign bit, which marks the keys of rows without an id of their own.
+_ODD = -(1 << 63)
+#: Shared ids that are broadcast at most.
+BROADCAST_IDS = 2_000_000
+
+
+def shared_ids(docs: DataFrame) -> DataFrame | None:
+    """doc_id of the rows whose id is null or not theirs alone; None if every row has an id of its own."""
+    found = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), SHARED)
+    return found if found.limit(1).count() else None
+
+
+def keyed(docs: DataFrame, key: str, shared: DataFrame | None, *more: str) -> DataFrame:
+    """The rows with a long `key` by which they can be found again: the doc_id where it is the row's own; where it is null
+    or shared, a negative hash of the doc_id, the text and the columns `more`, so that only repeated rows share a key."""
+    own = F.col("doc_id").cast("long")
+    if shared is None:
+        return docs.withColumn(key, own)
+    marked = shared.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(f"{key}_id"))
+    marked = F.broadcast(marked) if small_enough(marked, BROADCAST_IDS) else marked
+    other = F.xxhash64("doc_id", "text", *more).bitwiseOR(F.lit(_ODD))
+    both = docs.join(marked, F.col("doc_id") == F.col(f"{key}_id"), "left")
+    odd = F.col("doc_id").isNull() | F.col(f"{key}_id").isNotNull()
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(odd, other).otherwise(own).alias(key))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column has."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if `df` has at most `rows` rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows
@@ -205,10 +257,6 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def salted(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
-
-
 def let(value, body):
     """`body` of `value`, which is evaluated once: an optimizer that inlines aliases can't move it into inner lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,23 +1,27 @@
 """MinHash near-duplicate classes with DartMinHash signatures.
 
-A document is a weighted set of five-word shingles: weight 1 each, or its multiplicity if asked for. Unit cells of an
-element's weight throw hashed darts along a rank axis (a Poisson process, so the k-th dart's rank is a sum of
-exponentials); the earliest dart at each of the signature's coordinates is kept. Two documents agree at a coordinate with
-the probability of their weighted Jaccard similarity, and the work for a document is its elements plus a few hundred
-darts, not elements times coordinates. Ranks beyond a bound that fills all coordinates with near certainty are never
-looked at; the few documents with a gap take twice the bound.
+A document is a weighted set of five-word shingles, each weighted by how often the text has it. Every element throws hashed
+darts into its region of a plane of weights and ranks: a Poisson process on each of the weight intervals [0, 1), [1, 2),
+[2, 4), [4, 8) ..., of which a dart counts if it lands below the element's weight. The earliest dart at each of the
+signature's coordinates is kept. Two documents agree at a coordinate with the probability of their weighted Jaccard
+similarity (sum of the lesser weights by sum of the greater ones), and the work for a document is its elements, times the
+logarithm of their weights, plus a few hundred darts; not elements times coordinates, nor the sum of weights. Ranks beyond
+a bound that fills all coordinates with near certainty are never looked at; the few documents with a gap take twice the
+bound.
 
 Documents with equal sets are one node. Nodes that agree in a whole band are candidates: all pairs in buckets of up to
-PAIRS nodes; in larger ones every node with LEADERS of the bucket, drawn anew for every bucket, which links a crowd of
-similar nodes without its pairs. Candidates are verified by the exact similarity of their sets; the verified links'
-connected components are the classes. Nodes of larger buckets that hold several classes then take an exact join by
-prefixes of their sets (rarest elements first, with the bounds of sizes and positions) for the links between classes that
-no leader showed. Classes are named after their least doc_id.
-
-Texts of fewer than five words have one shingle, all their words; texts without words are all equal. Rows with a null
-doc_id have no class; one_of_each() keeps them. Rows that share a doc_id are classed each, as nodes of one name;
-one_of_each() keeps one row of a doc_id, and none if one of its texts is a later copy. Other columns, whatever their
-names, are ignored or kept. Empty tables give empty results.
+PAIRS nodes; in larger ones every node with LEADERS leaders, which links a crowd of similar nodes without its pairs.
+Candidates are verified by the exact similarity of their sets: pairs that the sizes rule out go before any set is built,
+and a set moves to the hub of its pairs, a hub's set once for every PART of its pairs. The verified links' connected
+components are the classes. Nodes of larger buckets that hold several classes then take an exact join by prefixes of
+their sets (rarest elements first, with the bounds of sizes and positions) for the links between classes that no leader
+showed. Classes are named after their least doc_id.
+
+Texts of fewer than five words have one shingle, all their words; texts without words are all equal. Every row has a class
+of its own text's: rows of a null doc_id or of a doc_id that others have too are told apart by their texts, and a class of
+null doc_ids alone has a null name. one_of_each() keeps one row of each class, that of the least doc_id, nulls last; of
+rows equal in doc_id and text, any one. Other columns, whatever their names, are ignored or kept. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -27,27 +31,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, mix, prepare, scope, small_enough, stored, table, texts, window_hashes, word_hashes, words
+from .common import as_long, fresh, keyed, mix, prepare, scope, shared_ids, small_enough, stored, table, texts, window_hashes, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands, coordinates in a band. At a similarity of 0.8 a pair agrees in none with probability 3e-7.
 BANDS, ROWS = 21, 3
-#: Nodes of a bucket whose pairs are all candidates; leaders of a larger bucket; buckets of over 1/HOT of all entries,
-#: of which there are HOT at most, are joined by broadcast.
-PAIRS, HOT = 32, 2000
-LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85, 0x14057B7EF767814F, 0x7FFFFFFFFFFFFFFF)
+#: Nodes of a bucket whose pairs are all candidates; leaders of a larger bucket; keys of over 1/HOT of all rows of a
+#: join, of which there are HOT at most, are joined by broadcast.
+PAIRS, LEADERS, HOT = 32, 6, 2000
+#: Pairs of one hub that are verified together.
+PART = 4096
 CHUNK = 1 << 18
 #: Counters of elements by hash that order them by rarity. Any order is right; this one makes few candidates.
 SLOTS = 1 << 18
 #: Ids that are broadcast at most; beyond that texts are joined with them by shuffle.
 BROADCAST_ROWS = 2_000_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def elements(offs: np.ndarray, data: np.ndarray, k: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the unit cells of the texts' shingles, sorted: distinct shingles, or copies numbered too."""
+def elements(offs: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, weight) of the texts' distinct shingles, sorted."""
     starts, ends, first = words(offs, data)
     size = np.diff(first)
     own = np.repeat(np.arange(len(size)), size)
@@ -64,33 +70,55 @@ def elements(offs: np.ndarray, data: np.ndarray, k: int, weighted: bool) -> tupl
     row, cell = row[order], cell[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
-    if not weighted:
-        return row[new], cell[new]
-    copy = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-    return row, mix(cell + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(new)
+    return row[at], cell[at], np.diff(np.concatenate((at, [len(row)])))
 
 
-def dart_signatures(row: np.ndarray, cell: np.ndarray, n_rows: int, k: int) -> np.ndarray:
+def unit_cells(row: np.ndarray, cell: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every unit of weight, sorted: multisets become sets whose intersections have the lesser weights."""
+    if len(weight) == 0 or weight.max() == 1:
+        return row, cell
+    at = np.repeat(np.arange(len(row)), weight)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+    row, cell = row[at], np.where(copy == 0, cell[at], mix(cell[at] + copy.astype(np.uint64) * _GOLD))
+    order = np.lexsort((cell, row))
+    return row[order], cell[order]
+
+
+def dart_signatures(row: np.ndarray, cell: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """The k earliest darts (32 bits of their hashes) of each text; zeros for texts without elements."""
     out = np.zeros((n_rows, k), np.uint32)
-    weight = np.bincount(row, minlength=n_rows)
-    bound = np.where(weight > 0, (k * math.log(k) + 2 * k) / np.maximum(weight, 1), 0.0)
-    todo = weight > 0
+    total = np.bincount(row, weights=weight, minlength=n_rows)
+    bound = np.where(total > 0, (k * math.log(k) + 2 * k) / np.maximum(total, 1), 0.0)
+    # the regions of an element: weights from 0 to 1, and from each power of two below its weight to the next
+    regions = [(row, cell, weight, 0, 1)]
+    level = 0
+    while len(over := np.flatnonzero(weight > (1 << level))):
+        regions.append((row[over], mix(cell[over] ^ np.uint64(level + 1)), weight[over], 1 << level, 1 << level))
+        level += 1
+    row, cell, weight = (np.concatenate([x[i] for x in regions]) for i in range(3))
+    low, width = (np.concatenate([np.full(len(x[0]), x[i], np.float64) for x in regions]) for i in (3, 4))
+    todo = total > 0
     while todo.any():
         live = np.flatnonzero(todo[row])
-        r, seed, rank = row[live], cell[live], np.zeros(len(live))
+        r, seed, rank, base, span, top = row[live], cell[live], np.zeros(len(live)), low[live], width[live], weight[live]
         rs, ranks, marks, coords = [], [], [], []
         step = 0
         while len(r):
             step += 1
             dart = mix(seed + np.uint64(step * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span
             near = rank < bound[r]
-            r, seed, rank, dart = r[near], seed[near], rank[near], mix(dart[near] ^ np.uint64(0xA0761D6478BD642F))
-            rs.append(r)
-            ranks.append(rank)
-            coords.append((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32))
-            marks.append(dart.astype(np.uint32))
+            r, seed, rank, base, span, top = r[near], seed[near], rank[near], base[near], span[near], top[near]
+            dart = mix(dart[near] ^ np.uint64(0xA0761D6478BD642F))
+            hit = slice(None)
+            if level:
+                place = (mix(dart ^ _GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                hit = base + place * span < top
+            rs.append(r[hit])
+            ranks.append(rank[hit])
+            coords.append((dart[hit] >> np.uint64(32)) * np.uint64(k) >> np.uint64(32))
+            marks.append(dart[hit].astype(np.uint32))
         at = np.concatenate(rs) * k + np.concatenate(coords).astype(np.int64)
         rank, mark = np.concatenate(ranks), np.concatenate(marks)
         order = np.lexsort((rank, at))
@@ -106,97 +134,134 @@ def dart_signatures(row: np.ndarray, cell: np.ndarray, n_rows: int, k: int) -> n
     return out
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, s1, s2 (a 128-bit sum of the set), keys (one for each band), size (elements) of every document with an id."""
+def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, s1, s2 (a 128-bit sum of the set), keys (one for each band), size (sum of weights) of every row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, offs, data in texts(b.column(1), CHUNK):
                 n = len(offs) - 1
-                row, cell = elements(offs, data, k, weighted)
-                sig = dart_signatures(row, cell, n, bands * rows).reshape(n, bands, rows)
+                row, cell, weight = elements(offs, data, k)
+                sig = dart_signatures(row, cell, weight, n, bands * rows).reshape(n, bands, rows)
                 key = np.full((n, bands), 0, np.uint64) + mix(np.arange(1, bands + 1, dtype=np.uint64))
                 for i in range(rows):
                     key = mix(key ^ sig[:, :, i].astype(np.uint64))
                 sums = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
                 for j, s in enumerate(sums):
-                    np.add.at(s, row, mix(cell ^ np.uint64(0x1234567 * (j + 1))))
+                    np.add.at(s, row, mix(cell ^ np.uint64(0x1234567 * (j + 1))) * weight.astype(np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(as_long(key).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(as_long(sums[0])), pa.array(as_long(sums[1])), lists, pa.array(np.bincount(row, minlength=n))], names=["doc_id", "s1", "s2", "keys", "size"])
-
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, keys array<bigint>, size long")
-
-
-def shingle_sets(docs: DataFrame, k: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """node, cells: the set behind the signature of every document with an id."""
-    prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, offs, data in texts(b.column(1), CHUNK):
-                n = len(offs) - 1
-                row, cell = elements(offs, data, k, weighted)
-                at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(cell)))], names=["node", "cells"])
+                size = np.bincount(row, weights=weight, minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(as_long(sums[0])), pa.array(as_long(sums[1])), lists, pa.array(size)], names=["id", "s1", "s2", "keys", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, cells array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, "id long, s1 long, s2 long, keys array<bigint>, size long")
 
 
-def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(node, key) entries, buckets of two and more with their leaders, and the size from which a bucket is a hot one."""
+def _shared_entries(nodes: DataFrame) -> DataFrame:
+    """node, key, n, least: the entries of buckets of two and more nodes, with the number of nodes and the least one."""
     entries = stored(nodes.select("node", F.explode("keys").alias("key")), "band-entries")
-    lead = [F.min(F.col("node").bitwiseXOR(F.lit(c))).alias(f"l{i}") for i, c in enumerate(LEADERS)]
-    buckets = stored(entries.groupBy("key").agg(F.count("*").alias("n"), *lead).where("n > 1"), "buckets")
-    return entries, buckets, max(PAIRS, entries.count() // HOT)
-
-
-def _star(df: DataFrame, leaders: int) -> DataFrame:
-    """Pairs of each entry's node with the first `leaders` leaders of its bucket."""
-    own = F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(LEADERS[:leaders])]))
-    one = df.select("node", F.explode(own).alias("o")).where("node != o")
-    return one.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-
-
-def _joined(entries: DataFrame, buckets: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Entries with their buckets, hot ones (HOT buckets at most, by broadcast) and the others."""
+    buckets = stored(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
+    hot = max(PAIRS, entries.count() // HOT)
     very = F.broadcast(buckets.where(F.col("n") > hot))
-    return entries.join(very, "key"), entries.join(very.select("key"), "key", "left_anti").join(buckets.where(F.col("n") <= hot), "key")
+    rest = entries.join(very.select("key"), "key", "left_anti").join(buckets.where(F.col("n") <= hot), "key")
+    return stored(entries.join(very, "key").unionByName(rest), "shared-entries")
 
 
-def first_candidates(entries: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
+def first_candidates(shared: DataFrame) -> DataFrame:
     """a, b: every node with the least node of all its buckets."""
-    very, rest = _joined(entries, buckets, hot)
-    return very.select("node", "l0").union(rest.select("node", "l0")).groupBy("node").agg(F.min("l0").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    return shared.groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
 
 
-def all_candidates(entries: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
-    """a, b: all pairs of small buckets, every node of the others with all leaders."""
-    very, rest = _joined(entries, buckets, hot)
-    lists = rest.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+def all_candidates(shared: DataFrame) -> DataFrame:
+    """a, b: all pairs of small buckets, every node of the others with the bucket's leaders: the least nodes by LEADERS
+    orders, which are drawn anew for every bucket."""
+    lists = shared.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = lists.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    return pairs.where("a < b").union(_star(rest.where(F.col("n") > PAIRS), len(LEADERS))).union(_star(very, len(LEADERS))).distinct()
+    large = shared.where(F.col("n") > PAIRS).select("node", "key")
+    lead = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)).alias("o"), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
+    leaders = stored(large.groupBy("key").agg(*lead).select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("o")), "leaders")
+    led = large.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST_ROWS) else leaders, "key").where("node != o")
+    return pairs.union(led.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))).distinct()
+
+
+def _fit(a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of the two sizes can have the similarity."""
+    return F.least(a, b) + 1e-9 >= F.lit(threshold) * F.greatest(a, b)
+
 
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """The distinct pairs a, b whose sets have at least the similarity.
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """The pairs whose sets have at least the similarity."""
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-    asked = F.broadcast(asked) if small_enough(asked, BROADCAST_ROWS) else asked
-    sets = stored(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id"), k, weighted), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cb")), "b")
-    na, nb = F.size("ca"), F.size("cb")
-    near = F.least(na, nb) + 1e-9 >= F.lit(threshold) * F.greatest(na, nb)
-    same = F.when(near, F.size(F.array_intersect("ca", "cb"))).otherwise(0)
-    return both.where(near & (same * (1 + threshold) + 1e-9 >= F.lit(threshold) * (na + nb))).select("a", "b").distinct()
+    The set of b goes to its hub a, in parts of about PART pairs, and that of a to each part; within a part sorted by hub,
+    the hub's set comes first and is held while the others pass."""
+    prepare(docs.sparkSession)
+    parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "hubs")
+    many = parts.where("parts > 1")
+    many = F.broadcast(many) if small_enough(many, BROADCAST_ROWS) else many
+    moves = pairs.join(many, "a", "left").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    hubs = parts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.expr("-parts").cast("int").alias("part"))
+    asked = stored(moves.union(hubs), "asked")
+    few = F.broadcast(asked) if small_enough(asked, BROADCAST_ROWS) else asked
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # repeated rows have equal texts
+        for b in batches:
+            for lo, offs, data in texts(b.column(3), CHUNK):
+                n = len(offs) - 1
+                row, cell = unit_cells(*elements(offs, data, k))
+                at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+                own = [b.column(i).slice(lo, n) for i in range(3)]
+                new = []
+                for i, x in enumerate(zip(own[0].to_pylist(), own[1].to_pylist(), strict=True)):
+                    if x[0] >= 0 or x not in done:
+                        new.append(i)
+                    if x[0] < 0:
+                        done.add(x)
+                out = pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(cell)))], names=["node", "hub", "part", "cells"])
+                yield out if len(new) == n else out.take(pa.array(new, pa.int32()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, held = None, 0, np.zeros(0, np.uint64)
+        for b in batches:
+            node, at = b.column(0).to_pylist(), b.column(1).to_pylist()
+            lists = b.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            found = []
+            for i, (x, h) in enumerate(zip(node, at, strict=True)):
+                own = flat[ends[i] : ends[i + 1]]
+                if x == h:
+                    hub, size, held = h, len(own), own.copy()
+                elif h == hub and (size == len(own) == 0 or min(size, len(own)) + 1e-9 >= threshold * max(size, len(own))):
+                    place = np.minimum(np.searchsorted(held, own), max(0, size - 1))
+                    same = int((held[place] == own).sum()) if size else 0
+                    if same * (1 + threshold) + 1e-9 >= threshold * (size + len(own)):
+                        found.append(i)
+            taken = pa.array(found, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(taken), b.column(0).take(taken)], names=["a", "b"])
+
+    with_sets = docs.join(few.withColumnRenamed("node", "id"), "id").select("id", "hub", "part", "text").mapInArrow(sets, "node long, hub long, part int, cells array<bigint>")
+    own_part = F.when(F.col("part") < 0, F.sequence(F.lit(0), -F.col("part") - 1)).otherwise(F.array("part"))
+    dealt = with_sets.select("node", "hub", "cells", F.explode(own_part).alias("part")).repartition("hub", "part")
+    ordered = dealt.sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    return ordered.select("node", "hub", "cells").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node that links lead to. Labels spread over links, and jump to their labels' labels."""
+    """node, label: the least node that links lead to. Labels spread over links, and jump to their labels' labels.
+    Nodes of very many links take their label to them by broadcast."""
     with scope(links.sparkSession) as own:
         ends = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-        labels = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("o")).select("node", F.least("node", "o").alias("label")), "labels")
+        degree = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("o"), F.count("*").alias("n"))
+        labels = stored(degree.select("node", F.least("node", "o").alias("label"), "n"), "labels")
+        hot = max(PART, ends.count() // HOT)
+        stars = [r[0] for r in labels.where(F.col("n") > hot).select("node").collect()]  # HOT at most
+        star = F.col("a").isin(stars) if stars else F.lit(False)
         while True:
-            spread = ends.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("o"))
+            of = labels.select(F.col("node").alias("a"), "label")
+            met = ends.where(~star).join(of.where(~star), "a").select("b", "label")
+            if stars:
+                met = met.union(ends.where(star).join(F.broadcast(of.where(star)), "a").select("b", "label"))
+            spread = met.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("o"))
             least = labels.join(spread, "node").select("node", "label", F.least("label", "o").alias("new"))
             up = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
             now = stored(least.join(up, "new", "left").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved")), "labels")
@@ -207,21 +272,22 @@ def components(links: DataFrame) -> DataFrame:
                 return labels
 
 
-def mixed_nodes(entries: DataFrame, buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def mixed_nodes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """node, label: the nodes of buckets of over PAIRS nodes that hold more than one class."""
-    large = stored(entries.join(buckets.where(F.col("n") > PAIRS).select("key"), "key").join(classes, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "crowded-entries")
+    large = stored(shared.where(F.col("n") > PAIRS).select("node", "key").join(classes, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "crowded-entries")
     mixed = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    mixed = F.broadcast(mixed) if small_enough(mixed, BROADCAST_ROWS) else mixed
     return large.join(mixed, "key", "left_semi").select("node", "label").distinct()
 
 
-def _rarity(docs: DataFrame, k: int, weighted: bool) -> np.ndarray:
+def _rarity(docs: DataFrame, k: int) -> np.ndarray:
     """How many elements of the documents' sets fall into each of SLOTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for b in batches:
             for _, offs, data in texts(b.column(1), CHUNK):
-                n += np.bincount((elements(offs, data, k, weighted)[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                n += np.bincount((unit_cells(*elements(offs, data, k))[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
 
@@ -231,15 +297,16 @@ def _rarity(docs: DataFrame, k: int, weighted: bool) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int, weighted: bool) -> DataFrame:
+def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int) -> DataFrame:
     """cell, node, label, size, at: of every set the first elements, rarest first, one of which a similar set must share."""
+    held = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, offs, data in texts(b.column(1), CHUNK):
                 n = len(offs) - 1
-                row, cell = elements(offs, data, k, weighted)
-                order = np.lexsort((cell, rarity[(cell % np.uint64(SLOTS)).astype(np.int64)], row))
+                row, cell = unit_cells(*elements(offs, data, k))
+                order = np.lexsort((cell, held.value[(cell % np.uint64(SLOTS)).astype(np.int64)], row))
                 row, cell = row[order], cell[order]
                 size = np.bincount(row, minlength=n)
                 at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
@@ -251,14 +318,14 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int, weig
     return docs.mapInArrow(run, "cell long, node long, label long, size long, at long")
 
 
-def crowd_candidates(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, weighted: bool = False) -> DataFrame:
+def crowd_candidates(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """a, b: all pairs of the nodes, of different classes, that can have the similarity by size and prefix.
 
     At a similarity of t two sets share t / (1 + t) of their sizes' sum, so their first common element in any order is in
     both prefixes, and neither has less left from there on. On each element the nodes outside its largest class meet all."""
     few = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, "node").select("node", "text", "label")
-    entries = stored(prefixes(own, _rarity(own, k, weighted), threshold, k, weighted), "prefixes")
+    own = docs.select(F.col("id").alias("node"), "text").join(few, "node").select("node", "text", "label")
+    entries = stored(prefixes(own, _rarity(own, k), threshold, k).distinct(), "prefixes")
     main = entries.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
     shared = stored(entries.join(main.select("cell", "main"), "cell"), "shared-prefixes")
     x = shared.where("label <> main").select("cell", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "size", "at")])
@@ -277,39 +344,85 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(up.join(classes, "node", "left_anti").select("node", "label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id: the class of every document, named after its least doc_id."""
+def _row_nodes(rows: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
+    """id, node of every row; sets of very many rows (HOT at most) are joined by broadcast."""
+    very = F.broadcast(nodes.where(F.col("n") > hot).drop("n"))
+    rest = rows.join(very.select("s1", "s2"), ["s1", "s2"], "left_anti").join(nodes.where(F.col("n") <= hot).drop("n"), ["s1", "s2"])
+    return rows.join(very, ["s1", "s2"]).select("id", "node").union(rest.select("id", "node"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, exact: bool = True) -> DataFrame:
+    """id, label of rows with a long id, which repeated rows alone share: the least id of the class, the ids of rows
+    without a doc_id of their own being negative. Without `exact` the join of crowded buckets by prefixes is left out."""
     spark = docs.sparkSession
-    sig = stored(signatures(docs, k, bands, rows, weighted), "signatures")
-    nodes = stored(sig.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size")), "nodes")
     with scope(spark) as own:
-        found = _buckets(nodes.select("node", "keys"))
+        sig = stored(signatures(docs, k, bands, rows), "signatures")
+        nodes = stored(sig.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n")), "nodes")
+        lean = stored(nodes.select("node", "size"), "sizes")
+        ids = stored(_row_nodes(sig.select("id", "s1", "s2"), nodes.select("s1", "s2", "node", "n"), max(PART, sig.count() // HOT)), "row-nodes")
+        shared = _shared_entries(nodes.select("node", "keys"))
+        own.drop(shared, lean, ids)
+        of = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns]).withColumnRenamed(f"node_{x}", x)
         # the least nodes of buckets link most of each class; other pairs are verified only between classes so far
         with scope(spark) as first:
-            links = stored(verified(stored(first_candidates(*found), "candidates"), docs, threshold, k, weighted), "links")
+            pairs = first_candidates(shared).join(of(lean, "a"), "a").join(of(lean, "b"), "b")
+            links = stored(verified(stored(pairs.where(_fit(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b"), "candidates"), docs, threshold, k), "links")
             first.drop(links)
-        so_far = components(links)
-        sizes = nodes.groupBy("node").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-        known = stored(sizes.join(so_far, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("label")), "sizes")
-        of = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]).withColumnRenamed(f"node_{x}", x)
-        fit = (F.col("high_a") + 1e-9 >= F.lit(threshold) * F.col("low_b")) & (F.col("high_b") + 1e-9 >= F.lit(threshold) * F.col("low_a"))
-        apart = all_candidates(*found).join(of("a"), "a").join(of("b"), "b").where((F.col("label_a") != F.col("label_b")) & fit).select("a", "b")
-        more = verified(stored(apart, "candidates"), docs, threshold, k, weighted)
-        classes = components(links.union(more))
-        apart = stored(mixed_nodes(*found[:2], classes), "mixed-nodes")
-        if apart.limit(1).count():
-            rest = verified(stored(crowd_candidates(apart, docs, threshold, k, weighted), "candidates"), docs, threshold, k, weighted)
-            classes = joined_classes(classes, stored(rest, "links"))
-        own.drop(classes)
-    named = nodes.select("s1", "s2", "node").join(classes, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("class_id"))
-    return sig.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id")
+        with scope(spark) as second:
+            known = stored(lean.join(components(links), "node", "left").select("node", "size", F.coalesce("label", "node").alias("label")), "known")
+            pairs = all_candidates(shared).join(of(known, "a"), "a").join(of(known, "b"), "b")
+            apart = pairs.where((F.col("label_a") != F.col("label_b")) & _fit(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
+            more = stored(verified(stored(apart, "candidates"), docs, threshold, k), "links")
+            second.drop(more)
+        found = components(links.union(more))
+        if exact:
+            with scope(spark) as third:
+                apart = stored(mixed_nodes(shared, found), "mixed-nodes")
+                if apart.limit(1).count():
+                    rest = verified(stored(crowd_candidates(apart, docs, threshold, k), "candidates"), docs, threshold, k)
+                    found = joined_classes(found, stored(rest, "links"))
+                third.drop(found)
+        out = stored(ids.join(found, "node", "left").select("id", F.coalesce("label", "node").alias("label")), "classes")
+        own.drop(out)
+    return out
+
+
+def _names(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """id, class_id, first: of every id the least doc_id of its class, nulls last, and the id of a row that has it."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("m")
+    of = label.distinct()
+    named = stored(rows.select("id", "doc_id").distinct().join(of, "id").groupBy("label").agg(least), "class-names")
+    return of.join(named, "label").select("id", F.col("m.doc_id").alias("class_id"), F.col("m.id").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, exact: bool = True) -> DataFrame:
+    """doc_id, class_id: the class of every row, named after its least doc_id; null if all of its are."""
+    shared, kind = shared_ids(docs), docs.schema["doc_id"].dataType
+    slim = keyed(docs.select("doc_id", "text"), "id", shared)
+    label = classes(slim, threshold, k, bands, rows, exact)
+    if shared is None:
+        return label.select(F.col("id").cast(kind).alias("doc_id"), F.col("label").cast(kind).alias("class_id"))
+    return slim.select("id", "doc_id").join(stored(_names(slim, label).select("id", "class_id"), "class-ids"), "id").select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their class, one row each, and those without an id, with their own columns."""
-    others = stored(near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct(), "later-copies")
-    left = docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return left.where(F.col("doc_id").isNull()).union(left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """One row of each class with its own columns: that of the least doc_id, nulls last."""
+    key, columns = fresh(docs, "_key"), [F.col(f"`{c}`") for c in docs.columns]
+    with scope(docs.sparkSession) as own:
+        shared = shared_ids(docs)
+        rows = keyed(docs, key, shared)
+        slim = rows.select(F.col(key).alias("id"), "doc_id", "text")
+        label = classes(slim)
+        later = label.where("id != label") if shared is None else _names(slim, label).where("id != first")
+        others = stored(later.select(F.col("id").alias(key)), "later-copies")
+        left = rows.join(F.broadcast(others) if small_enough(others, BROADCAST_ROWS) else others, key, "left_anti")
+        if shared is None:
+            own.drop(others)
+            return left.select(*columns)
+        many = stored(label.groupBy(F.col("id").alias(key)).count().where("count > 1").select(key), "repeated-rows")
+        own.drop(others, many)
+    few = F.broadcast(many) if small_enough(many, BROADCAST_ROWS) else many
+    return left.join(few, key, "left_anti").select(*columns).union(left.join(few, key, "left_semi").dropDuplicates([key]).select(*columns))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,11 +430,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
-sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s, count(*) AS c FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 9 >= 4 * (x.n + y.n)
     UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON len(x.ws) = 0 AND len(y.ws) = 0 AND x.doc_id <> y.doc_id),
 r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b)

@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
-from quillspark.llm import classifier, decontaminate, near_dedup, quality, queries, substring_dedup
+from quillspark.llm import classifier, common, decontaminate, near_dedup, quality, queries, substring_dedup
 
 RND = random.Random(11)
 VOCAB = [f"w{i}" for i in range(400)]
@@ -144,9 +144,14 @@ def test_substring_dedup_of_random_repeats(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == removed(df.collect())
 
 
+def weights(t, k=5):
+    w = words(t)
+    return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter({tuple(w): 1}) if w else Counter()
+
+
 def classes(rows):
-    ids = [r.doc_id for r in rows]
-    sets = [shingles(r.text) for r in rows]
+    """Brute force: the place of the first row of each row's class."""
+    sets = [weights(r.text) for r in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -156,27 +161,42 @@ def classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (not sets[i] and not sets[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            if (not sets[i] and not sets[j]) or (sets[i] and sets[j] and sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values())):
                 parent[root(i)] = root(j)
-    least = {}
-    for i, d in enumerate(ids):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return {d: least[root(i)] for i, d in enumerate(ids)}
+    first = {}
+    for i in range(len(rows)):
+        first.setdefault(root(i), i)
+    return [first[root(i)] for i in range(len(rows))]
+
+
+def named(rows):
+    """(doc_id, class_id) of all rows: the least doc_id of the class."""
+    own, least = classes(rows), {}
+    for r, c in zip(rows, own, strict=True):
+        least[c] = min([x for x in (least.get(c), r.doc_id) if x is not None], default=None)
+    return Counter((r.doc_id, least[c]) for r, c in zip(rows, own, strict=True))
 
 
 def test_near_duplicates(docs):
-    rows = near_dedup.near_duplicates(docs).collect()
-    want = classes([d for d in docs.collect() if d.doc_id is not None])
-    assert len(rows) == docs.where("doc_id IS NOT NULL").count() and {r.doc_id: r.class_id for r in rows} == want
+    """Null ids, an id that two texts share, repeated rows."""
+    rows = docs.collect()
+    assert Counter(map(tuple, near_dedup.near_duplicates(docs).collect())) == named(rows)
     one = near_dedup.one_of_each(docs)
-    assert one.columns == docs.columns
-    assert sorted(r.doc_id for r in one.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values())) and one.where("doc_id IS NULL").count() == 1
+    kept = one.collect()
+    own = classes(rows)
+    assert one.columns == docs.columns and len(kept) == len(set(own))
+    at = [own[next(i for i, x in enumerate(rows) if (x.doc_id, x.text) == (r.doc_id, r.text))] for r in kept]
+    assert sorted(at) == sorted(set(own))
+    least = [min((rows[i].doc_id for i in range(len(rows)) if own[i] == c and rows[i].doc_id is not None), default=None) for c in at]
+    assert [r.doc_id for r in kept] == least
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0 == near_dedup.one_of_each(docs.limit(0)).count()
 
 
 def test_near_duplicates_of_a_crowd(spark, monkeypatch):
-    """A bucket of more nodes than have all pairs, chains of edits, and hot buckets joined by broadcast."""
+    """A bucket of more nodes than have all pairs, chains of edits, hubs in parts, and hot buckets joined by broadcast."""
     monkeypatch.setattr(near_dedup, "PAIRS", 8)
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    monkeypatch.setattr(near_dedup, "HOT", 50)
     base = words(BASE)
     texts = []
     for _ in range(120):
@@ -188,17 +208,37 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch):
         w = words(chain[-1])
         w[i * 12 % len(w)] = f"c{i}"
         chain.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate([*texts, *chain, *[prose(80) for _ in range(40)]])), "doc_id long, text string")
-    want = classes(df.collect())
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+    copies = [prose(50)] * 90
+    repeats = [" ".join([prose(12)] * n) for n in (30, 33, 60)]
+    df = spark.createDataFrame(list(enumerate([*texts, *chain, *[prose(80) for _ in range(40)], *copies, *repeats])), "doc_id long, text string")
+    want = named(df.collect())
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == want
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == want
+
+
+def test_links_into_a_crowd(spark):
+    """400 texts that differ in one word, and 60 that are linked to one of them each."""
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        w[rnd.randrange(200)] = f"e{i}"
+        texts.append(w)
+    for i in range(60):
+        w = list(texts[rnd.randrange(400)])
+        for j in range(4):
+            w[20 + 45 * j + rnd.randrange(8)] = f"x{i}_{j}"
+        texts.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == named(df.collect())
 
 
 def test_near_duplicates_that_no_leader_shows(spark, monkeypatch):
     """Crowded buckets of one leader each, with links between nodes that are far from all leaders."""
     monkeypatch.setattr(near_dedup, "PAIRS", 2)
-    monkeypatch.setattr(near_dedup, "LEADERS", (0,))
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
     rnd = random.Random(1)
     base = [rnd.choice(VOCAB) + "b" for _ in range(200)]
     texts = []
@@ -208,7 +248,19 @@ def test_near_duplicates_that_no_leader_shows(spark, monkeypatch):
             w[j] = f"e{i}_{j}"
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes(df.collect())
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == named(df.collect())
+
+
+def test_shared_ids_and_null_ids_by_shuffle(spark, monkeypatch):
+    """Half of the ids null, others shared by different texts; joins by shuffle."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    texts = [prose(40) for _ in range(8)]
+    rows = [(None if i % 2 else i % 7, RND.choice(texts) + (f" t{i % 3}" if i % 5 == 0 else ""), f"x{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, id string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == named(df.collect())
+    one = near_dedup.one_of_each(df)
+    assert one.columns == df.columns and one.count() == len(set(classes(df.collect())))
 
 
 def test_dart_signatures_estimate_similarity():
@@ -217,15 +269,23 @@ def test_dart_signatures_estimate_similarity():
     cells = rnd.integers(1, 1 << 62, 400).astype(np.uint64)
     row = np.concatenate((np.zeros(n, int), np.ones(n, int)))
     cell = np.concatenate((np.sort(cells[:n]), np.sort(cells[100:])))
-    a, b = near_dedup.dart_signatures(row, cell, 3, k)[:2]
+    a, b = near_dedup.dart_signatures(row, cell, np.ones(2 * n, int), 3, k)[:2]
     assert abs((a == b).mean() - 200 / 400) < 0.05
-    tiny = near_dedup.dart_signatures(np.array([0]), cells[:1], 1, 63)
+    # any weights: the sum of the lesser ones by that of the greater
+    x, y = rnd.integers(1, 40, n), rnd.integers(1, 40, n)
+    same = np.concatenate((cells[:n], cells[:n]))
+    a, b = near_dedup.dart_signatures(row, same, np.concatenate((x, y)), 2, k)
+    assert abs((a == b).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.05
+    tiny = near_dedup.dart_signatures(np.array([0]), cells[:1], np.array([1]), 1, 63)
     assert (tiny != 0).all()
-    # weights: three copies against one agree in a third
-    offs = np.array([0, 11 * 3, 11 * 4])
+
+
+def test_units_of_weight():
     data = np.frombuffer(b"a b c d e  " * 4, np.uint8)
-    r, c = near_dedup.elements(offs, data, 5, True)
-    assert len(r) > len(near_dedup.elements(offs, data, 5, False)[0])
+    row, cell, weight = near_dedup.elements(np.array([0, 11 * 3, 11 * 4]), data, 5)
+    assert weight.sum() == 11 + 1 and (weight[row == 1] == 1).all() and weight[row == 0].max() == 3
+    r, c = near_dedup.unit_cells(row, cell, weight)
+    assert len(r) == 12 == len(set(zip(r.tolist(), c.tolist(), strict=True))) and len(np.intersect1d(c[r == 0], c[r == 1])) == 1
 
 
 def test_importance(spark):
@@ -274,7 +334,8 @@ def test_pipeline(spark, tmp_path):
             verdicts = {r.doc_id for r in quality.quality_verdicts(before).collect() if r.kept}
             assert {r.doc_id for r in kept[name]} == verdicts
         elif name == "near_duplicates":
-            assert {r.doc_id for r in kept[name]} == set(classes(before.collect()).values())
+            rows = sorted(before.collect())
+            assert {r.doc_id for r in kept[name]} == {rows[c].doc_id for c in classes(rows)}
         elif name == "decontamination":
             items = [shingles(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
             assert {r.doc_id for r in kept[name]} == {r.doc_id for r in before.collect() if not any(len(s & shingles(r.text)) >= 0.8 * len(s) for s in items)}
