@@ -8,11 +8,13 @@ compared. Those windows are verified by 96-bit digests of their words, and every
 start earlier too is removed. After FANOUT runs, the runs are compacted into one.
 
 Hot passages: each chunk of texts puts an entry for a fingerprint, or for a window, into the shuffle once, however many
-of its documents share it; of equal windows in a chunk all but the first are decided on the spot.
+of its documents share it; of equal windows in a chunk all but the first are decided on the spot. Windows whose fingerprint
+is in more than HOT chunks find their first place by an aggregate, which combines before the shuffle, and a join.
 
-Nulls and empty texts have no words. Documents with a null doc_id come last. Rows that share a doc_id are taken as copies
-of one document: none is earlier than the other, and what is removed from one is removed from each. Other columns are
-ignored. An empty table gives an empty result. Batches are ranges of doc_id, so earlier batches have smaller ids.
+Nulls and empty texts have no words. Every row is a document with a place of its own: by doc_id, nulls last; rows that share
+a doc_id, or have none, by a hash of doc_id and text. Rows equal in both share a place, so none is earlier than the other.
+Other columns are ignored. An empty table gives an empty result. Batches are ranges of doc_id, so earlier batches have
+smaller ids; rows without a doc_id are in the last one.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_long, prepare, scope, shared_dir, small_enough, stored, table, texts, window_hashes, word_hashes, words
+from .common import as_long, keyed, prepare, remove, scope, shared_dir, shared_ids, small_enough, stored, table, texts, window_hashes, word_hashes, words
 
 WINDOW, SHINGLE = 20, 10
 #: Runs that are compacted; batches of the query; bytes of text that are handled together.
-FANOUT, BATCHES, CHUNK = 4, 2, 1 << 18
+FANOUT, BATCHES, CHUNK = 2, 3, 1 << 18
+#: Chunks with a fingerprint from which its windows are hot.
+HOT = 100_000
 #: Ids that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 #: The id in place of null.
@@ -121,18 +125,20 @@ class FingerprintIndex:
         return self.runs[-1]
 
     def _counts(self, run: str) -> DataFrame:
-        return self.spark.table(run).groupBy("fp").agg(F.sum(1 + F.greatest(F.coalesce(F.size("rest"), F.lit(0)), F.lit(0))).alias("n"))
+        return self.spark.table(run).groupBy("fp").agg(F.sum(1 + F.greatest(F.coalesce(F.size("rest"), F.lit(0)), F.lit(0))).alias("n"), F.count("*").alias("chunks"))
 
     def shared(self, run: str) -> DataFrame:
-        """doc_id, fp: documents of the run and of earlier ones, with the fingerprints of the run that occur twice or more."""
+        """doc_id, fp, hot: documents of the run and of earlier ones, with the fingerprints of the run that occur twice or
+        more, and whether very many chunks have them."""
         both = self._counts(run)
         older = self.runs[: self.runs.index(run)]
+        more = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
         for old in older:
-            both = both.join(self._counts(old).withColumnRenamed("n", "m"), "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        keys = both.where("n > 1").select("fp")
+            both = both.join(self._counts(old).withColumnsRenamed({"n": "m", "chunks": "c"}), "fp", "left").select("fp", more("n", "m").alias("n"), more("chunks", "c").alias("chunks"))
+        keys = both.where("n > 1").select("fp", (F.col("chunks") > HOT).alias("hot"))
         out = None
         for name in [*older, run]:
-            own = self.spark.table(name).join(keys, "fp", "left_semi").select("fp", F.explode(F.concat(F.array("doc"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("doc_id"))
+            own = self.spark.table(name).join(keys, "fp").select("fp", "hot", F.explode(F.concat(F.array("doc"), F.coalesce("rest", F.array().cast("array<bigint>")))).alias("doc_id"))
             out = own if out is None else out.union(own)
         return out
 
@@ -146,11 +152,9 @@ class FingerprintIndex:
         self._drop(old)
 
     def _drop(self, names: list[str]) -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
-            path.getFileSystem(hadoop).delete(path, True)
+            remove(self.spark, f"{shared_dir(self.spark)}/{name}")
 
     def drop(self) -> None:
         self._drop(self.runs)
@@ -158,16 +162,16 @@ class FingerprintIndex:
 
 
 def windows(asked: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """h1, h2, doc_id, start, done of the windows that have a fingerprint in `fps`: each chunk's first ones, and as lists
-    those that repeat an earlier one of the chunk. Lists have start -1 and a key of their own."""
+    """h1, h2, doc_id, sub, start, done of the windows that have a fingerprint in `fps`: each chunk's first ones, and as
+    lists those that repeat an earlier one of the chunk. Lists have start -1 and a key of their own."""
     prepare(asked.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps = _ids(b.column(0)), b.column(2)
+            ids, subs, fps = _ids(b.column(0)), _ids(b.column(1)), b.column(3)
             size = fps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             asked_of, asked_fp = np.repeat(np.arange(len(ids)), size), fps.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, offs, data in texts(b.column(1), CHUNK):
+            for lo, offs, data in texts(b.column(2), CHUNK):
                 c = _Chunk(offs, data, window, shingle)
                 if not c.valid.any():
                     continue
@@ -177,48 +181,55 @@ def windows(asked: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
                 at = np.flatnonzero(c.valid & np.isin(tag(own, c.prints), tag(asked_of[here] - lo, asked_fp[here])))
                 h1 = as_long(window_hashes(c.hashes, window))[at]
                 h2 = as_long(window_hashes(c.hashes, window, 1))[at].astype(np.int32)
-                doc, start = ids[lo + own[at]], (at - c.first[own[at]]).astype(np.int32)
-                order = np.lexsort((start, doc, h2, h1))
-                h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+                doc, sub, start = ids[lo + own[at]], subs[lo + own[at]], (at - c.first[own[at]]).astype(np.int32)
+                order = np.lexsort((start, sub, doc, h2, h1))
+                h1, h2, doc, sub, start = h1[order], h2[order], doc[order], sub[order], start[order]
                 lead = np.ones(len(h1), bool)
                 lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
                 first = np.maximum.accumulate(np.where(lead, np.arange(len(h1)), 0))
-                later = (doc != doc[first]) | (start != start[first])
-                ld, ls = doc[later], start[later]
-                order = np.lexsort((ls, ld))
-                ld, ls = ld[order], ls[order]
-                edge = np.flatnonzero(np.concatenate(([True], ld[1:] != ld[:-1]))) if len(ld) else np.zeros(0, np.int64)
+                later = (doc != doc[first]) | (sub != sub[first]) | (start != start[first])
+                ld, lb, ls = doc[later], sub[later], start[later]
+                order = np.lexsort((ls, lb, ld))
+                ld, lb, ls = ld[order], lb[order], ls[order]
+                edge = np.flatnonzero(np.concatenate(([True], (ld[1:] != ld[:-1]) | (lb[1:] != lb[:-1])))) if len(ld) else np.zeros(0, np.int64)
                 n = int(lead.sum())
                 lists = np.concatenate((np.zeros(n, np.int64), np.diff(np.concatenate((edge, [len(ld)])))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate((h1[lead], ld[edge] * np.int64(0x5851F42D4C957F2D)))),
+                        pa.array(np.concatenate((h1[lead], (ld[edge] ^ lb[edge]) * np.int64(0x5851F42D4C957F2D)))),
                         pa.array(np.concatenate((h2[lead], ls[edge]))),
                         pa.array(np.concatenate((doc[lead], ld[edge]))),
+                        pa.array(np.concatenate((sub[lead], lb[edge]))),
                         pa.array(np.concatenate((start[lead], np.full(len(edge), -1, np.int32)))),
                         _lists(ls, lists),
                     ],
-                    names=["h1", "h2", "doc_id", "start", "done"],
+                    names=["h1", "h2", "doc_id", "sub", "start", "done"],
                 )
 
-    return asked.select("doc_id", "text", "fps").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, done array<int>")
+    return asked.select("doc_id", "sub", "text", "fps").mapInArrow(run, "h1 long, h2 int, doc_id long, sub long, start int, done array<int>")
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _among(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """Documents with an id among the others, or not, without a shuffle of texts if the ids are few enough to broadcast."""
-    return docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, on, how)
 
 
 def verify(docs: DataFrame, shared: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, starts: windows of documents that start earlier too, among those with shared fingerprints."""
-    by_doc = stored(shared.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "shared-fingerprints")
-    asked = _among(docs, by_doc.select("doc_id"), "left_semi").join(by_doc, "doc_id")
-    w = windows(asked, window, shingle)
-    at = F.struct("doc_id", "start")
-    earlier = F.min(F.when(F.col("start") >= 0, at)).over(Window.partitionBy("h1", "h2"))
-    found = w.withColumn("_first", earlier).where((F.col("start") < 0) | (at > F.col("_first")))
+    """doc_id, sub, starts: windows of documents that start earlier too, among those with shared fingerprints."""
+    sets = [F.collect_set(F.when(F.col("hot") == hot, F.col("fp"))).alias(name) for name, hot in (("fps", False), ("hot", True))]
+    by_doc = stored(shared.groupBy("doc_id").agg(*sets), "shared-fingerprints")
+    asked = _among(docs, by_doc.select("doc_id"), ["doc_id"], "left_semi").join(by_doc, "doc_id")
+    at = F.struct("doc_id", "sub", "start")
+    first = F.min(F.when(F.col("start") >= 0, at))
+    w = windows(asked, window, shingle).withColumn("_first", first.over(Window.partitionBy("h1", "h2")))
+    if by_doc.where(F.size("hot") > 0).limit(1).count():
+        hot = stored(windows(asked.where(F.size("hot") > 0).withColumn("fps", F.col("hot")), window, shingle), "hot-windows")
+        firsts = stored(hot.where("start >= 0").groupBy("h1", "h2").agg(first.alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
+        met = hot.where("start >= 0").join(F.broadcast(firsts) if small_enough(firsts, BROADCAST_ROWS) else firsts, ["h1", "h2"])
+        w = w.unionByName(met).unionByName(hot.where("start < 0").withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType)))
+    found = w.where((F.col("start") < 0) | (at > F.col("_first")))
     starts = F.when(F.col("start") < 0, F.col("done")).otherwise(F.array("start"))
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list(starts)).alias("starts"))
+    return found.groupBy("doc_id", "sub").agg(F.flatten(F.collect_list(starts)).alias("starts"))
 
 
 def _kept(text: bytes, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
@@ -234,11 +245,20 @@ def _kept(text: bytes, starts: list[int] | None, window: int) -> tuple[int, int,
     return len(own), int(covered.sum()), b" ".join([x for x, c in zip(own, covered.tolist(), strict=True) if not c])
 
 
-def removed_starts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, starts: the windows whose words start earlier too; all documents, in batches by doc_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    cuts = [int(x) for x in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
+def _placed(docs: DataFrame) -> DataFrame:
+    """own_id, doc_id, sub, text: the place of every row; sub is 0 where the doc_id is the row's own."""
+    shared = shared_ids(docs)
+    slim = keyed(docs.select("doc_id", "text"), "sub", shared)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
+    sub = F.lit(0) if shared is None else F.when(F.col("sub").eqNullSafe(F.col("doc_id").cast("long")), 0).otherwise(F.col("sub"))
+    return slim.select(F.col("doc_id").alias("own_id"), own, sub.cast("long").alias("sub"), "text")
+
+
+def removed_starts(placed: DataFrame, batches: int = BATCHES, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, sub, starts: the windows whose words start earlier too; all documents, in batches by doc_id."""
+    spark = placed.sparkSession
+    docs, known = placed.select("doc_id", "sub", "text"), placed.where("own_id IS NOT NULL")
+    cuts = [min(int(x), LAST - 1) for x in known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
     index, found, low = FingerprintIndex(spark), [], None
     for high in [*sorted(set(cuts)), None]:
         own = docs if low is None else docs.where(F.col("doc_id") > low)
@@ -249,7 +269,8 @@ def removed_starts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
             hits = verify(seen, index.shared(run), window, shingle)
             found.append(stored(hits if low is None else hits.where(F.col("doc_id") > low), "repeated-windows"))
             made.drop(found[-1])
-        index.compact()
+        if high is not None:
+            index.compact()
         low = high
     index.drop()
     out = found[0]
@@ -261,11 +282,11 @@ def removed_starts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
 def dedup_words(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words' text of every document."""
     prepare(docs.sparkSession)
-    starts = removed_starts(docs, batches, window, shingle)
-    keyed = docs.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    ids = starts.select("doc_id")
-    hit = _among(keyed, ids, "left_semi").join(starts, "doc_id").select("own_id", "text", "starts")
-    rest = _among(keyed, ids, "left_anti").select("own_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    placed = _placed(docs)
+    starts = removed_starts(placed, batches, window, shingle)
+    ids = starts.select("doc_id", "sub")
+    hit = _among(placed, ids, ["doc_id", "sub"], "left_semi").join(starts, ["doc_id", "sub"]).select("own_id", "text", "starts")
+    rest = _among(placed, ids, ["doc_id", "sub"], "left_anti").select("own_id", "text", F.lit(None).cast("array<int>").alias("starts"))
     joined = hit.union(rest)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,43 +105,59 @@ def test_contained(spark, docs, monkeypatch):
     assert {tuple(r) for r in decontaminate.contained(docs, table).collect()} == want
 
 
-def removed(rows):
-    """Brute force: (doc_id, words, removed words, hash of the kept ones) of every row."""
-    key = lambda r: (1 << 63) - 1 if r.doc_id is None else r.doc_id
+def removed(df):
+    """Brute force: (doc_id, words, removed words, hash of the kept ones) of every row. Places: by id, nulls last; rows
+    without an id of their own by a hash."""
+    rows = df.select("doc_id", "text", F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63))).alias("h")).collect()
+    n = Counter(r.doc_id for r in rows)
+    last = (1 << 63) - 1
+    key = lambda r: (last, r.h) if r.doc_id is None else (r.doc_id, r.h if n[r.doc_id] > 1 else 0)
     first = {}
-    for r in sorted(rows, key=key):
+    for r in rows:
         w = words(r.text)
         for i in range(len(w) - 19):
             k = tuple(w[i : i + 20])
             first[k] = min(first.get(k, (key(r), i)), (key(r), i))
-    gone = {}
+    out = []
     for r in rows:
-        w = words(r.text)
+        w, g = words(r.text), set()
         for i in range(len(w) - 19):
             if first[tuple(w[i : i + 20])] < (key(r), i):
-                gone.setdefault(key(r), set()).update(range(i, i + 20))
-    out = []
-    for r in rows:
-        w, g = words(r.text), gone.get(key(r), set())
-        out.append((key(r), len(w), sum(i in g for i in range(len(w))), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()))
+                g.update(range(i, i + 20))
+        out.append((last if r.doc_id is None else r.doc_id, len(w), len(g), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()))
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 6])
+def deduplicated(df, batches):
+    return sorted(map(tuple, substring_dedup.dedup_words(df, batches).withColumn("kept", F.sha2("kept", 256)).fillna((1 << 63) - 1, ["doc_id"]).collect()))
+
+
+@pytest.mark.parametrize("batches", [1, 3])
 def test_substring_dedup(docs, batches):
-    out = substring_dedup.dedup_words(docs, batches).withColumn("kept", F.sha2("kept", 256)).fillna((1 << 63) - 1, ["doc_id"])
-    assert sorted(map(tuple, out.collect())) == removed(docs.collect())
+    assert deduplicated(docs, batches) == removed(docs)
     assert substring_dedup.dedup_words(docs.limit(0), batches).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 6])
+def test_substring_dedup_of_rows_without_ids(spark, monkeypatch, batches):
+    """Half of the ids null, others shared; all repeated windows hot."""
+    monkeypatch.setattr(substring_dedup, "HOT", 0 if batches == 1 else 1)
+    passages = [prose(60) for _ in range(5)]
+    texts = [RND.choice(passages) + " " + prose(RND.randrange(30)) for _ in range(40)] + passages + [prose(60), "word " * 25_000]
+    rows = [(None if i % 2 else i % 9, t) for i, t in enumerate([*texts, *texts[:3]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert deduplicated(df, batches) == removed(df)
+    alone = spark.createDataFrame([(1, passages[0]), (None, passages[0]), (None, prose(60))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in substring_dedup.dedup_words(alone, batches).collect() if r.n_removed] == [(None, 60)]
+
+
 def test_substring_dedup_of_random_repeats(spark, monkeypatch):
     """Few different words, so that windows overlap and repeat within documents; joins by shuffle."""
     monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
     passages = [" ".join(RND.choice("ab") for _ in range(30)) for _ in range(6)]
     texts = [" ".join(RND.choice(passages) if RND.random() < 0.6 else prose(7) for _ in range(8)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = substring_dedup.dedup_words(df, 3).withColumn("kept", F.sha2("kept", 256))
-    assert sorted(map(tuple, out.collect())) == removed(df.collect())
+    assert deduplicated(df, 3) == removed(df)
 
 
 def weights(t, k=5):
