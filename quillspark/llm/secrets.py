@@ -1,20 +1,26 @@
 """Secret scans.
 
 Three patterns find secrets by their form. Besides, every long token of an encoding (hexadecimal, base 32, base 36,
-base 62, base 64) takes a battery of randomness tests: chi-squared uniformity over its inferred alphabet, the runs test about the
-alphabet's middle, and serial correlation. Fisher's method combines them into one p-value for "drawn at random from its
-alphabet". Within a document a Benjamini-Hochberg step, weighted by token length since long tokens give the tests more
-power, controls the share of random tokens thrown out; the tokens that it doesn't reject are reported as random. Runs of
-name=value are cut at '=', and each field is tested whole and in its parts between separators, which an encoding may have
-or not; of parts that overlap the longest one that stands is reported.
+base 62, base 64) takes a battery of tests: chi-squared uniformity over its inferred alphabet (digits, letters that are
+common in words, others), the runs test on kinds of characters, and the serial test on neighbouring letters. What is
+tested is "this is ordinary text": the statistics' means and deviations per character are those of names made of words in
+the ways that programs and addresses write them, hexadecimal ones apart. The three scores, in deviations towards
+uniform independent characters, add up to one p-value. Within a document a Benjamini-Hochberg step, weighted by token
+length since long tokens give the tests more power, bounds the share of ordinary names among those reported at FDR. A
+reported token must also pass for a random one: the same three tests against uniform independent characters, combined by
+Fisher's method, reject a random token in one of 10,000 cases. Runs of name=value are cut at '=', and each field is tested
+whole and in its parts between separators, which an encoding may have or not; of parts that overlap the longest one that
+is reported counts.
 
 Nulls and empty texts have no spans. Null doc_ids, repeated rows and other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,12 +37,29 @@ _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Alphabets, smallest first, in the order of their values.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("base36", _DIGITS + _LOWER), ("base36", _DIGITS + _UPPER), ("base62", _DIGITS + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64", _UPPER + _LOWER + _DIGITS + "-_"))
-#: Least length of a token by encoding, for the tests to tell it from prose.
-LEAST = {"hex": 32, "base32": 28, "base36": 25, "base62": 24, "base64": 24}
+#: Least length of a token.
+LEAST = 20
 #: What may part a field, the separators of one base 64 or of the other or of both.
 _PARTS = tuple(re.compile(x) for x in ("[^=]+", "[^=_-]+", "[^=/+]+", "[^=/+_-]+"))
-#: False discovery rate of the step that rejects randomness.
-FDR = 0.05
+#: Share of ordinary names among the reported tokens at most; chance that a random token fails to pass for one.
+FDR, REFUSED = 0.005, 1e-4
+#: Words that ordinary names are made of, and those that have only hexadecimal letters.
+WORDS = """account action address after again agent always analysis answer archive argument article attribute author
+balance before begin between binary block body bottom branch buffer button cache call cancel capture category center
+change channel check city clear client clock cloud code collection column command company compare component config
+content context control convert count country create current custom data default delete design detail device display
+document driver dynamic element enable engine error event example execute export factor feature field filter first folder
+format forward frame function general global graph group handle have height history host image import index input
+instance interface issue item join kernel key language large layer length level library light list load local lock
+machine main manage map market match maximum member memory message method model module money move network next normal
+number object offset open order output owner package page parent people picture place power price primary process
+product project protocol public quality query question range read record region remote report request resource response
+result return right sample schema score screen script search section select server service session shape simple small
+source special state station status storage stream string structure summary support switch system table target task
+template test text thread time title token total trace transfer type unit update user value vector version video view
+warning water window work world write year und der nicht wird haben arbeit gesellschaft les pour dans avec cette entre
+travail los para como pero todo tiempo ciudad""".split()
+HEX_WORDS = "ace add added bad bed bee beef cafe dad dead deed decade face facade fade faded fed feed".split()
 
 
 def _normal_tail(z: float) -> float:
@@ -66,7 +89,7 @@ def tokens(run: str) -> list[tuple[int, str, str]]:
     out = {}
     for cut in _PARTS:
         for m in cut.finditer(run):
-            if m.span() not in out and m.end() - m.start() >= min(LEAST.values()) and (kind := infer(m.group())) and m.end() - m.start() >= LEAST[kind[0]]:
+            if m.span() not in out and m.end() - m.start() >= LEAST and (kind := infer(m.group())):
                 out[m.span()] = (m.start(), m.group(), kind[1])
     return list(out.values())
 
@@ -101,14 +124,93 @@ def random_p(token: str, alphabet: str) -> float:
     return _chi2_tail(fisher, 6)
 
 
-def not_rejected(found: list[tuple[int, float]], q: float = FDR) -> list[bool]:
-    """Length-weighted Benjamini-Hochberg over (length, p): True where randomness stands."""
+# ---- the same tests against ordinary text ----
+
+
+def _kind(c: str) -> int:
+    return 0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3
+
+
+@functools.cache
+def _pairs() -> tuple[dict[str, float], frozenset[str]]:
+    """How much likelier two neighbouring letters are in words than at random, as logarithms; the ten common letters."""
+    seen, letters = {}, {}
+    for w in WORDS:
+        for x in w:
+            letters[x] = letters.get(x, 0) + 1
+        for x, y in zip(w, w[1:], strict=False):
+            seen[x + y] = seen.get(x + y, 0) + 1
+    n = sum(seen.values())
+    scores = {x + y: math.log((seen.get(x + y, 0) + 0.3) / (n + 0.3 * 26 * 26) * 26 * 26) for x in _LOWER for y in _LOWER}
+    return scores, frozenset(sorted(letters, key=letters.get)[-10:])
+
+
+def statistics(token: str, alphabet: str) -> list[tuple[float, int]]:
+    """(mean, observations) of chi-squared for a character, changes of kind, and the score of neighbouring letters; the
+    first and last one are less in random tokens, the other more."""
+    scores, common = _pairs()
+    part = lambda c: 0 if c in _DIGITS else 3 if not c.isalpha() else 1 if c.lower() in common else 2
+    n, want, have = len(token), [0.0] * 4, [0] * 4
+    for c in alphabet:
+        want[part(c)] += n / len(alphabet)
+    for c in token:
+        have[part(c)] += 1
+    chi = sum((h - w) ** 2 / w for h, w in zip(have, want, strict=True) if w)
+    kinds = [_kind(c) for c in token]
+    turns = list(zip(kinds, kinds[1:], strict=False))
+    changes = sum(x != y and 3 not in (x, y) and (x, y) != (2, 1) for x, y in turns)
+    low = token.lower()
+    letters = [scores[low[i : i + 2]] for i, t in enumerate(turns) if t in ((1, 1), (2, 1), (2, 2))]
+    return [(chi / n, n), (changes / (n - 1), n - 1), (sum(letters) / max(1, len(letters)), len(letters))]
+
+
+def ordinary_name(rnd: random.Random, words: list[str]) -> str:
+    """Words, some with numbers, in one of the ways that names are written."""
+    way, out, size = rnd.randrange(7), [], rnd.randrange(LEAST, 48)
+    while sum(map(len, out)) < size:
+        out.append(rnd.choice(words) + (str(rnd.randrange(10 ** rnd.randrange(1, 5))) if rnd.random() < 0.25 else ""))
+    if not set("".join(out)) & set(_DIGITS):
+        out[-1] += str(rnd.randrange(100))
+    if words is HEX_WORDS:
+        return "".join(out) if way % 2 else "".join(out).upper()
+    caps = [w.capitalize() for w in out]
+    return ["".join(caps), out[0] + "".join(caps[1:]), "_".join(out), "-".join(caps), "/".join(caps), "".join(out), "_".join(out).upper()][way]
+
+
+@functools.cache
+def _ordinary(hexadecimal: bool) -> tuple[list[tuple[float, float]], float]:
+    """Mean and deviation of an observation of each statistic in ordinary names, and the deviation of the scores' sum."""
+    rnd, rows = random.Random(5), []
+    for _ in range(800):
+        t = ordinary_name(rnd, HEX_WORDS if hexadecimal else WORDS)
+        rows.append(statistics(t, (infer(t) or ENCODINGS[-3])[1]))
+    norms = []
+    for i in range(3):
+        mean = sum(r[i][0] for r in rows) / len(rows)
+        norms.append((mean, math.sqrt(sum((r[i][0] - mean) ** 2 * r[i][1] for r in rows) / len(rows)) or 1.0))
+    sums = [_sum(r, norms) for r in rows]
+    return norms, math.sqrt(sum(x * x for x in sums) / len(sums))
+
+
+def _sum(stats: list[tuple[float, int]], norms: list[tuple[float, float]]) -> float:
+    z = [(x - mean) / sd * math.sqrt(n) for (x, n), (mean, sd) in zip(stats, norms, strict=True)]
+    return z[1] - z[0] - z[2]
+
+
+def ordinary_p(token: str, alphabet: str) -> float:
+    """Combined p-value of the three tests under ordinary text."""
+    norms, sd = _ordinary(len(alphabet) == 16)
+    return _normal_tail(_sum(statistics(token, alphabet), norms) / sd)
+
+
+def rejected(found: list[tuple[int, float]], q: float = FDR) -> list[bool]:
+    """Length-weighted Benjamini-Hochberg over (length, p): True where the hypothesis falls."""
     m, mean = len(found), sum(n for n, _ in found) / max(1, len(found))
     scaled = sorted((p * mean / n, i) for i, (n, p) in enumerate(found))
     last = max((k for k, (p, _) in enumerate(scaled, 1) if p <= q * k / m), default=0)
-    out = [True] * m
+    out = [False] * m
     for _, i in scaled[:last]:
-        out[i] = False
+        out[i] = True
     return out
 
 
@@ -128,11 +230,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     for at, run in long:
         for lo, token, alphabet in tokens(run):
             if not any(s < at + lo + len(token) and at + lo < e for s, _, e in out):
-                tested.append((at + lo, token, random_p(token, alphabet)))
+                tested.append((at + lo, token, alphabet, ordinary_p(token, alphabet)))
     if tested:
-        stands = not_rejected([(len(t), p) for _, t, p in tested])
+        falls = rejected([(len(t), p) for _, t, _, p in tested])
         taken: list[tuple[int, int, int]] = []
-        for n, at in sorted(((-len(t), at) for (at, t, _), ok in zip(tested, stands, strict=True) if ok)):
+        for n, at in sorted((-len(t), at) for (at, t, alphabet, _), hit in zip(tested, falls, strict=True) if hit and random_p(t, alphabet) >= REFUSED):
             if not any(s < at - n and at < e for s, _, e in taken):
                 taken.append((at, 3, at - n))
         out += taken
