@@ -2,10 +2,13 @@
 
 Every node of the page's tree gets its link-adjusted characters per tag; the sum over its children tells how much dense
 text it holds directly. The node of the largest sum is the core of the article; the smallest density on its path to the
-body is the threshold that the other parts of the page, elements or bare text anywhere in it, must reach to belong to it. Parts that never are an article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before, by tag, role and class.
-Words of classes also stand on wrappers of the article: a word whose elements hold most of the page's text without links
-names no such part there, and an element around an article or main of some size isn't one.
+body is the threshold that the other parts of the page, elements or bare text anywhere in it, must reach to belong to it.
+Where the core lies in an article or main that holds PLACE_SHARE of the page's text without links, the parts are those of
+the outermost such element, and other articles as dense. Parts that never are an article (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) are left out before, by tag, role and class. Words of classes
+also stand on wrappers of the article: a word whose elements hold most of the page's text without links names no such part
+there (a form around the page, for one), and an element around an article or main of some size isn't one. On paragraphs and
+other single texts a word counts only as the whole class. Hidden text and formulas stay.
 
 A null page is an empty one, and has an empty text. Null ids, repeated rows and other columns are kept as they are.
 Broken markup is read as browsers do: unclosed elements end with their parents, stray end tags are ignored.
@@ -28,7 +31,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold article text.
-NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg math canvas audio video dialog menu search datalist".split())
+NEVER = frozenset("script style noscript template head title nav footer aside button select option textarea input iframe object embed svg canvas audio video dialog menu search datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in classes and ids of parts that aren't the article.
 NAMES = frozenset(
@@ -40,8 +43,14 @@ ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 NAME_SHARE = 0.5
 #: Elements that name the article's place.
 PLACES = frozenset(("article", "main"))
-#: Share of the page's text without links from which a named place is the article, though the core lies higher.
+#: Share of the page's text without links from which elements around a named place aren't parts beside the article.
 PLACE_SHARE = 0.3
+#: Share of the page's density that articles of a page without another core must reach.
+TOGETHER = 0.5
+#: Elements whose children make up a text: the core is the nearest of them.
+HOLDERS = frozenset("article main div section td center table form".split())
+#: Elements that are a block of text of their own: a word in their class names a part only as the whole class.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption caption td th span b i em strong a code".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -60,7 +69,6 @@ _ENDS = {
     "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
 }
 _WORD = re.compile(r"[a-z0-9]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
@@ -72,13 +80,15 @@ class Node:
         self.names: set[tuple[str, bool]] | None = None
 
 
-def _names(attrs: list[tuple[str, str | None]]) -> set[tuple[str, bool]] | None:
-    """The words of NAMES in classes and ids, and whether each is a whole class or id."""
-    out = set()
+def _names(tag: str, attrs: list[tuple[str, str | None]]) -> set[tuple[str, bool]] | None:
+    """The words of NAMES in classes and ids, and whether each is a whole class or id. A form is one by its tag."""
+    out = {("form", False)} if tag == "form" else set()
     for k, v in attrs:
         if v and k in ("class", "id"):
             for x in v.lower().split():
-                out |= {(w, w == x) for w in _WORD.findall(x) if w in NAMES}
+                out |= {(w, w == x) for w in _WORD.findall(x) if w in NAMES and (w == x or tag not in TEXTS)}
+    if tag in PLACES:
+        out = {(w, whole) for w, whole in out if whole and w in ASIDE}
     return out or None
 
 
@@ -142,8 +152,8 @@ class _Tree(HTMLParser):
         if tag in _ENDS and (n := self._open_among(*_ENDS[tag])):
             self.at = n.up
         node = Node(tag, self.at, self.at.skip or tag in NEVER or bool(attrs) and self._unwanted(tag, attrs) or tag == "header" and not self._open_among(PLACES, ()))
-        if attrs and not node.skip and tag not in PLACES:
-            node.names = _names(attrs)
+        if (attrs or tag == "form") and not node.skip:
+            node.names = _names(tag, attrs)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -153,8 +163,6 @@ class _Tree(HTMLParser):
 
     def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         for k, v in attrs:
-            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v.lower()):
-                return True
             if v and tag not in PLACES and k == "role" and v.strip().lower() in ROLES:
                 return True
         return False
@@ -256,33 +264,49 @@ def article(root: Node) -> list[Node | str | None]:
     """What makes up the article, in page order."""
     own_links = _page_links(root)
     order = _measure(root, own_links)
-    core = best = max(reversed(order), key=lambda n: n.total if n.total else n.density * 1e-9)
-    threshold, n, inner, outer = core.density, core, None, None
+    core = max(reversed(order), key=lambda n: n.total if n.total else n.density * 1e-9)
+    threshold, n, place = core.density, core, None
     while n is not None:
         threshold = min(threshold, n.density)
-        if n.tag in PLACES:
-            inner, outer = inner or n, n
+        place = n if n.tag in PLACES else place
         n = n.up
     threshold = max(threshold, 1e-9)
-    places = [n for n in order if n.tag in PLACES]
-    if not inner:
-        largest = max(places, key=lambda n: n.chars - n.link_chars, default=None)
-        if largest and largest.chars - largest.link_chars >= PLACE_SHARE * (root.chars - root.link_chars) > 0:
-            inner = outer = _outermost(largest)
-    if inner:
-        own = _dense(outer, inner, threshold, own_links)
-        tops = [n for n in places if n is outer or _outermost(n) is n and n.density >= threshold]
-        return [x for n in tops for x in (own if n is outer else (None, n, None))]
-    while best.up is not None and best.tag not in ("div", "section", "td", "center", "table"):
-        best = best.up
-    return [best] if best.up is None else _dense(root, best, threshold, own_links)
-
-
-def _outermost(place: Node) -> Node:
-    n = out = place
-    while n is not None:
-        out = n if n.tag in PLACES else out
+    while core.up is not None and core.tag not in HOLDERS:
+        core = core.up
+    places = _outermost(root)
+    if place is None:  # the core may be what is around the articles, and as dense as they are together
+        threshold = threshold * TOGETHER if core.up is None else threshold
+        place = max((n for n in places if _within(n, core)), key=lambda n: n.chars - n.link_chars, default=None)
+    if place is None or place.chars - place.link_chars < PLACE_SHARE * (root.chars - root.link_chars):
+        return _dense(root, core, threshold, own_links) if core.up is not None else _unlinked(core)
+    own = core if _within(core, place) else place
+    out: list[Node | str | None] = []
+    for n in places:
+        out += _dense(n, own, threshold, own_links) if n is place else [None, n, None] if n.density >= threshold else []
+    return out
+
+
+def _within(n: Node | None, top: Node) -> bool:
+    while n is not None and n is not top:
         n = n.up
+    return n is not None
+
+
+def _unlinked(root: Node) -> list[Node | str | None]:
+    """All of a page that is one text, without the lists that are links alone."""
+    only_links = lambda x: type(x) is Node and x.tag in ("ul", "ol", "dl", "table", "div", "center") and not x.skip and x.link_tags > 1 and x.link_chars == x.chars
+    return [x for x in root.items if not only_links(x)]
+
+
+def _outermost(root: Node) -> list[Node]:
+    """The named places that lie in no other one, in page order."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in PLACES:
+            out.append(n)
+        else:
+            todo += [x for x in reversed(n.items) if type(x) is Node and not x.skip]
     return out
 
 

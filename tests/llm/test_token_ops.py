@@ -306,6 +306,35 @@ def test_main_text_in_several_parts():
         assert found == list(range(12)) and more in text and "Home" not in text, html[:60]
 
 
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/b">More of it</a></li></ul>'
+TEN = paragraphs(*range(10))
+DESIGNS = {
+    "bare": f"<body>{MENU}{TEN}{MENU}</body>",
+    "div": f'<body><div class="top">{MENU}</div><div id="c">{TEN}</div><div class="bottom">{MENU}</div></body>',
+    "table": f"<body><table><tr><td>{MENU}</td><td>{TEN}</td></tr></table></body>",
+    "center": f"<body><center><font>{TEN}</font></center>{MENU}</body>",
+    "form": f'<body><form action="/p.aspx"><input name="v"><div>{MENU}</div><div>{TEN}</div></form></body>',
+    "sections": f"<body>{MENU}" + "".join(f"<section><h2>Part {i} of the text</h2>{paragraphs(2 * i, 2 * i + 1)}</section>" for i in range(5)) + "</body>",
+    "main": f"<body><nav>{MENU}</nav><main><div>{TEN}</div></main></body>",
+    "articles": "<body>" + "".join(f"<article>{paragraphs(*x)}</article>" for x in ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))) + "</body>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(DESIGNS))
+def test_main_text_of_designs(name):
+    text = html_text.main_text(DESIGNS[name])
+    assert [int(x.split()[1]) for x in text.split("\n") if x.startswith("Paragraph")] == list(range(10)) and "Home" not in text
+
+
+def test_main_text_keeps_what_is_in_the_article():
+    more = '<p class="social-history">The social history of it, told at length and with some care, for all who ask.</p><p id="share-price">The share price fell by a tenth within the week, and rose again after some time.</p><p hidden>This part is hidden at first but belongs to the text as much as any other one does.</p><p>The sum is <math><mi>x</mi><mo>+</mo><mn>1</mn></math>, which no one had thought of before that day came.</p>'
+    drop = '<form><p>Your mail address, please</p><button>Send</button></form><div class="share-buttons">Share this</div><p class="advertisement">Buy it now, and never look back again, for this is the very best.</p><article class="comment"><p>I have read all of it, and must say that it is a good text, on the whole.</p></article>'
+    for page in (f"<body>{MENU}<article>{TEN}{more}{drop}</article></body>", f"<body>{MENU}<div>{TEN}{more}{drop}</div></body>"):
+        text = html_text.main_text(page)
+        assert all(x in text for x in ("social history", "share price", "hidden at first", "x+1")), page[:80]
+        assert not any(x in text for x in ("mail address", "Share this", "Buy it", "read all of it", "Home"))
+
+
 def test_op2(spark):
     import html
     import re
