@@ -76,6 +76,8 @@ class Codec:
         self.ranks = read_ranks(path)
         self.tokens = list(self.ranks)
         self.table = PerfectHash(self.tokens)
+        #: The token and the id in each slot of the perfect hash.
+        self.by_slot = [(self.tokens[k], self.ranks[self.tokens[k]]) if k >= 0 else (b"", -1) for k in self.table.slots]
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
@@ -84,8 +86,8 @@ class Codec:
 
     def whole(self, piece: bytes) -> int | None:
         """Tier one: the id of a pre-token that is a token."""
-        k = self.table.slots[self.table.slot(piece)] if self.tokens else -1
-        return self.ranks[self.tokens[k]] if k >= 0 and self.tokens[k] == piece else None
+        token, i = self.by_slot[self.table.slot(piece)]
+        return i if token == piece and i >= 0 else None
 
     def merged(self, piece: bytes) -> list[int]:
         """Tier two: merge the pair of lowest rank, leftmost first, until no pair is a token."""
@@ -141,7 +143,8 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, out: str = "ids") -> DataFrame:
-    """The rows with a binary column of ids (little-endian unsigned 32-bit) after their own columns."""
+    """The rows with a binary column `out` of ids (little-endian unsigned 32-bit) after their own columns; a column of that
+    name that they have is replaced."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
