@@ -1,10 +1,12 @@
 """Minimax contiguous sharding.
 
-Documents with equal texts form one atomic group. Groups are put into a fixed order by a hash of their text and
-gathered into CELLS consecutive cells of that order, so that the driver holds a bounded list of sizes however large the
+Documents with equal texts form one atomic group. Groups are put into a fixed order by a 64-bit hash of their text and
+gathered into CELLS consecutive cells of that order, so that the driver holds bounded lists of sizes however large the
 corpus is; a group never straddles cells. A binary search finds the smallest capacity that lets the ordered sizes be cut
-into the wanted number of contiguous shards; each probe packs greedily. The cuts are then placed within that capacity,
-as evenly as the remaining shards allow.
+into the wanted number of contiguous shards; each probe packs greedily. Cells in which the best solution may have a cut
+are then split anew, CELLS parts at a time, until every such cell holds one group or no better capacity is possible: the
+capacity is the smallest one for the groups themselves. The cuts are placed within it, as evenly as the remaining shards
+allow.
 
 Nulls: a null text has no bytes and counts as an empty one; a null doc_id is kept. Repeated rows get slots of their own.
 An empty table gives an empty result. Other columns are ignored.
@@ -13,9 +15,9 @@ An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import stored, table
@@ -68,6 +70,49 @@ def cut(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def _doubtful(cells: pd.DataFrame, shards: int) -> np.ndarray:
+    """Which of the ordered cells have several groups and may hold a cut of a solution better than the best one by cells.
+
+    A greedy packing of groups gets at least as far as one of cells, so with any capacity from `least` on, shard k ends
+    no earlier than it does for cells at `least`, nor than the rest allows, and no later than at k times the best."""
+    sizes, many = cells["size"].to_numpy(np.int64), (cells["low"] != cells["high"]).to_numpy()
+    total = int(sizes.sum())
+    best = smallest_capacity(sizes, shards)
+    least = max(-(-total // shards), int(sizes[~many].max(initial=0)))
+    out = np.zeros(len(sizes), bool)
+    if least >= best:
+        return out
+    ends, at = np.cumsum(sizes), 0
+    for k in range(1, shards):
+        at = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + least, "right"))
+        first = max(ends[at - 1] if at else 0, total - (shards - k) * best)
+        out |= (ends > first) & (ends - sizes < k * best)
+    return out & many
+
+
+def _cells(slim: DataFrame, bits: int) -> pd.DataFrame:
+    """size, n, least and greatest hash of each cell, a stretch of 2**bits hashes, in their order."""
+    found = slim.groupBy(F.shiftright("h", bits).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    return found.toPandas().assign(bits=bits).sort_values("cell")
+
+
+def group_cells(slim: DataFrame, shards: int, cells: int = CELLS) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The cells of the first level, and cells as fine as the smallest capacity of the groups needs; in order."""
+    bits = 64 - (cells - 1).bit_length()
+    coarse = fine = _cells(slim, bits)
+    while len(fine):
+        doubtful = _doubtful(fine, shards)
+        if not doubtful.any():
+            break
+        split, finer = max(1, (cells // int(doubtful.sum())).bit_length() - 1), [fine[~doubtful]]
+        for level, own in fine[doubtful].groupby("bits"):
+            asked = slim.sparkSession.createDataFrame([(int(x),) for x in own["cell"]], "_cell long")
+            rows = slim.join(F.broadcast(asked), F.shiftright("h", int(level)) == F.col("_cell"))
+            finer.append(_cells(rows, max(0, int(level) - split)))
+        fine = pd.concat(finer).sort_values("low")
+    return coarse, fine
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, cells: int = CELLS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: every document in a shard, equal texts in the same one."""
     spark = docs.sparkSession
@@ -76,25 +121,28 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, cells:
         "doc_id",
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 64 - (cells - 1).bit_length()).cast("int").alias("cell"),
+        F.xxhash64(text).alias("h"),
     )
     slim = stored(slim, "shard-sizes")
-    by_cell = slim.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toPandas().sort_values("cell")
-    total = int(by_cell["n"].sum())
-    shard_of = cut(by_cell["size"].to_numpy(np.int64), shards)
-    parts = np.minimum(np.maximum(1, np.ceil(by_cell["n"].to_numpy() / max(1, total * PART_SHARE))), 1 / PART_SHARE).astype(np.int64)
-    cell_schema = "cell int, shard int, parts int"
-    rows = list(zip(by_cell["cell"].tolist(), shard_of.tolist(), parts.tolist(), strict=True))
-    known = spark.createDataFrame(rows, cell_schema)
-    placed = slim.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    coarse, fine = group_cells(slim, shards, cells)
+    shard_of = cut(fine["size"].to_numpy(np.int64), shards)
+    shard = F.lit(int(shard_of[0]) if len(fine) else 0)
+    for i in np.flatnonzero(np.diff(shard_of)) + 1:  # fewer than `shards` places
+        shard = shard + F.when(F.col("h") >= int(fine["low"].iloc[i]), int(shard_of[i] - shard_of[i - 1])).otherwise(0)
+    total = int(coarse["n"].sum())
+    parts = np.minimum(np.maximum(1, np.ceil(coarse["n"].to_numpy() / max(1, total * PART_SHARE))), 1 / PART_SHARE).astype(np.int64)
+    known = spark.createDataFrame(list(zip(coarse["cell"].tolist(), parts.tolist(), strict=True)), "cell long, parts int")
+    bits = 64 - (cells - 1).bit_length()
+    own = slim.withColumn("cell", F.shiftright("h", bits)).withColumn("shard", shard.cast("int"))
+    placed = own.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     by_part = placed.groupBy("shard", "cell", "part").agg(F.count("*").alias("n")).toPandas().sort_values(["shard", "cell", "part"])
     by_part["base"] = by_part.groupby("shard")["n"].cumsum() - by_part["n"]
     base = spark.createDataFrame(
-        list(by_part[["cell", "part", "base"]].itertuples(index=False, name=None)),
-        T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("base", T.LongType())]),
+        list(by_part[["shard", "cell", "part", "base"]].itertuples(index=False, name=None)),
+        "shard int, cell long, part int, base long",
     )
-    within = Window.partitionBy("cell", "part").orderBy("doc_id")
-    return placed.join(F.broadcast(base), ["cell", "part"]).select(
+    within = Window.partitionBy("shard", "cell", "part").orderBy("doc_id")
+    return placed.join(F.broadcast(base), ["shard", "cell", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.row_number().over(within) - 1).cast("long").alias("slot")
     )
 

@@ -125,6 +125,23 @@ def test_op3(spark):
     assert sharding.assign_shards(edge_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("cells", [4, 64, sharding.CELLS])
+def test_op3_capacity_is_that_of_the_groups(spark, cells):
+    """Whatever the cells, the largest shard is the optimum over the groups in the order of their hashes."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(docs.limit(30))
+    groups = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 16).alias("size")).orderBy("h").collect()
+    sizes = np.array([g["size"] for g in groups])
+    for shards in (7, 40):
+        rows = sharding.assign_shards(docs, shards, cells=cells).collect()
+        held = {}
+        for r in rows:
+            held[r.shard] = held.get(r.shard, 0) + r["size"]
+        assert max(held.values()) == sharding.smallest_capacity(sizes, shards) and sum(held.values()) == sizes.sum()
+
+
 def test_op3_hot_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE concat('t', id) END AS text")
     rows = sharding.assign_shards(docs, 10).collect()
