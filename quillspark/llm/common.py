@@ -79,14 +79,14 @@ SHARED = "shared-ids"
 
 class Scope:
     """The folders that stored() made while the scope was open; drop() removes them, but for those of kept frames, which
-    are stored ones themselves, and the shared ids that keyed() rows need."""
+    are stored ones themselves, and then the shared ids that keyed() rows need."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def drop(self, *keep: DataFrame) -> None:
         kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
-        kept |= {x.rsplit("/", 1)[-1] for x in self.paths if x.rsplit("/", 1)[-1].startswith(SHARED)}
+        kept |= {x.rsplit("/", 1)[-1] for x in self.paths if keep and x.rsplit("/", 1)[-1].startswith(SHARED)}
         for text in self.paths:
             if text.rsplit("/", 1)[-1] not in kept:
                 remove(self.spark, text)

@@ -10,7 +10,7 @@ candidate pair is then verified by exact containment of the shingles as text.
 
 Items with under SHINGLE words have one shingle, all their words. Null and empty texts contain nothing and, as items, are
 left out. Repeated documents give one row for each doc_id and item_id (the largest containment). Null ids are kept out of
-the pairs. Other columns, whatever their names, are ignored (pairs) or kept (clean documents). Empty tables give no pairs.
+the pairs (clean_documents() judges their rows too). Other columns, whatever their names, are ignored (pairs) or kept (clean documents). Empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, small_enough, stored, table, word_array
+from .common import BROADCAST_IDS, fresh, keyed, let, scope, shared_ids, small_enough, stored, table, word_array
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Sketch rows and candidate documents that are broadcast at most; beyond that the joins are by shuffle.
-BROADCAST_ROWS = 200_000
+#: Sketch rows that are broadcast together; there is a pass over the documents for each such slice.
+SLICE_ROWS = 1_000_000
+#: Candidate pairs, and bytes of item texts with them, that are broadcast at most; beyond that the joins are by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 26
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -64,20 +66,21 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k
     """doc_id, item_id, n_shingles, n_found: all pairs with n_found >= threshold * n_shingles."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sketch = stored(item_sketches(items, threshold, k), "item-sketches")
-    small = small_enough(sketch, BROADCAST_ROWS)
-    sizes = sorted(r[0] for r in sketch.select("words").distinct().collect())  # at most k values
-    found = None
+    counts = dict(map(tuple, sketch.groupBy("words").count().collect()))  # at most k values
+    sizes, found = sorted(counts), None
     for n in sizes:
-        own = sketch.where(F.col("words") == n).select("item_id", "h")
         probes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), n)).alias("h"))
-        hits = probes.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id")
-        found = hits if found is None else found.union(hits)
+        slices = -(-counts[n] // SLICE_ROWS)
+        for i in range(slices):
+            own = sketch.where((F.col("words") == n) & (F.pmod(F.xxhash64("h"), F.lit(slices)) == i)).select("item_id", "h")
+            hits = probes.join(F.broadcast(own), "h").select("doc_id", "item_id")
+            found = hits if found is None else found.union(hits)
     if found is None:  # no items
         kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
         return docs.sparkSession.createDataFrame([], f"{kinds}, n_shingles long, n_found long")
     pairs = stored(found.distinct(), "containment-candidates")
     asked = pairs.join(items.select("item_id", F.col("text").alias("item_text")).where(F.col("item_id").isNotNull()).distinct(), "item_id")
-    few = small_enough(asked, BROADCAST_ROWS)
+    few = small_enough(asked, BROADCAST_ROWS) and (asked.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) <= BROADCAST_BYTES
     both = docs.join(F.broadcast(asked) if few else asked, "doc_id")
     n_words = F.size(word_array(F.col("item_text")))
     item, cut = shingle_texts(F.col("item_text"), k), F.least(n_words, F.lit(k))
@@ -92,9 +95,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item."""
-    bad = stored(contained(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if small_enough(bad, BROADCAST_ROWS) else bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that contain no item, each row judged by its own text, whatever its doc_id."""
+    key, columns = fresh(docs, "_key"), [F.col(f"`{c}`") for c in docs.columns]
+    with scope(docs.sparkSession) as own:
+        rows = keyed(docs, key, shared_ids(docs))
+        found = contained(rows.select(F.col(key).alias("doc_id"), "text"), items)
+        bad = stored(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+        own.drop(bad)
+    return rows.join(F.broadcast(bad) if small_enough(bad, BROADCAST_IDS) else bad, key, "left_anti").select(*columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

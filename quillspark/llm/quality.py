@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, small_enough, stored, table, word_array
+from .common import BROADCAST_IDS, fresh, keyed, let, scope, shared_ids, small_enough, stored, table, word_array
 
 #: Words of a document at least; percent of words in repeated windows at most; words in a window.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -134,9 +134,8 @@ def _measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return docs.select(*keep, group("lang"), group("source"), measures(docs["text"]).alias("_m"))
 
 
-def _judged(measured: DataFrame, key: Column) -> DataFrame:
+def _judged(measured: DataFrame, limits: DataFrame, key: Column) -> DataFrame:
     """The rows with _failed and _kept."""
-    limits = stored(thresholds(measured), "quality-thresholds")
     if small_enough(limits, BROADCAST_ROWS):
         joined = measured.join(F.broadcast(limits), ["_lang", "_source"], "left")
     else:
@@ -154,14 +153,23 @@ def _judged(measured: DataFrame, key: Column) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
-    measured = stored(_measured(docs, [F.col("doc_id")]), "quality-measures")
-    return _judged(measured, F.col("doc_id")).select("doc_id", "_m.*", F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    with scope(docs.sparkSession) as own:
+        measured = stored(_measured(docs, [F.col("doc_id")]), "quality-measures")
+        limits = stored(thresholds(measured), "quality-thresholds")
+        own.drop(measured, limits)
+    return _judged(measured, limits, F.col("doc_id")).select("doc_id", "_m.*", F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    measured = stored(_measured(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")]), "quality-measures")
-    return _judged(measured, F.xxhash64("_doc")).where("_kept").select("_doc.*")
+    """The documents that the rules keep, with their own columns. Counts are held by row, not texts."""
+    key, columns = fresh(docs, "_key"), [F.col(f"`{c}`") for c in docs.columns]
+    with scope(docs.sparkSession) as own:
+        rows = keyed(docs, key, shared_ids(docs), "lang", "source")
+        measured = stored(_measured(rows, [F.col(key)]), "quality-measures")
+        limits = stored(thresholds(measured), "quality-thresholds")
+        out = stored(_judged(measured, limits, F.col(key)).where(~F.col("_kept")).select(key).distinct(), "rejected")
+        own.drop(out)
+    return rows.join(F.broadcast(out) if small_enough(out, BROADCAST_IDS) else out, key, "left_anti").select(*columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

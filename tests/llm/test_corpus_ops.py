@@ -88,20 +88,22 @@ def test_contained(spark, docs, monkeypatch):
     base = words(BASE)
     items = [(0, " ".join(base[10:40])), (1, " ".join(base[10:40][:26] + ["x"] * 4)), (2, " ".join(base[10:30] + ["x"] * 20)), (3, "one two"), (4, "one"), (5, ""), (6, None), (None, BASE), (7, "zz"), (0, " ".join(base[10:40]))]
     table = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
-    want = set()
+    want, bad = set(), set()
     for d in docs.collect():
         for i, t in items:
             w = words(t)
             own = shingles(t)
             have = {tuple(words(d.text)[j : j + min(5, len(w))]) for j in range(len(words(d.text)))} if w else set()
-            if own and d.doc_id is not None and i is not None and len(own & have) >= 0.8 * len(own):
-                want.add((d.doc_id, i, len(own), len(own & have)))
+            if own and i is not None and len(own & have) >= 0.8 * len(own):
+                bad.add(d.text)
+                if d.doc_id is not None:
+                    want.add((d.doc_id, i, len(own), len(own & have)))
     assert {tuple(r) for r in decontaminate.contained(docs, table).collect()} == want and want
     clean = decontaminate.clean_documents(docs, table)
-    bad = {w[0] for w in want}
-    assert clean.columns == docs.columns and clean.count() == sum(d.doc_id not in bad for d in docs.collect())
+    assert clean.columns == docs.columns and sorted(str(d.text) for d in clean.collect()) == sorted(str(d.text) for d in docs.collect() if d.text not in bad)
     assert decontaminate.contained(docs, table.limit(0)).count() == decontaminate.contained(docs.limit(0), table).count() == 0
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "SLICE_ROWS", 12)
     assert {tuple(r) for r in decontaminate.contained(docs, table).collect()} == want
 
 
@@ -319,6 +321,38 @@ def test_importance(spark):
     assert all(r.log_weight == 0 and r.kept for r in none) and classifier.select(docs.limit(0), labels).count() == 0
 
 
+def test_importance_by_brute_force(spark):
+    """Weights from counts of every document's words and pairs of words, keys, and the documents of the largest keys."""
+    rows = [(i, prose(RND.randrange(60)) + (" good stuff" if i % 3 else " bad luck")) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3, i % 7 == 0, "x") for i in range(120)], "doc_id long, quality int, toxic boolean, text string").withColumn("toxic", F.col("toxic").cast("int"))
+    good = {i for i in range(120) if i % 3 == 1 and i % 7}
+
+    def own(text):
+        w = text.encode().split() if text else []
+        data = np.frombuffer(b" ".join(w), np.uint8)
+        return Counter(classifier.grams(np.array([0, len(data)]), data, classifier.BUCKETS)[1].tolist())
+
+    grams = {i: own(t) for i, t in rows}
+    assert sum(grams[0].values()) == 2 * len(words(rows[0][1])) - 1
+    raw, target = Counter(), Counter()
+    for i, c in grams.items():
+        raw.update(c)
+        if i in good:
+            target.update(c)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = {b: np.log((target[b] + classifier.PRIOR) / (raw[b] * n_target / n_raw + classifier.PRIOR)) for b in raw}
+    weight = {i: sum(ratio[b] * n for b, n in c.items()) for i, c in grams.items()}
+    noise = dict(zip(grams, classifier.gumbel(np.array(list(grams)), classifier.SEED).tolist(), strict=True))
+    out = {r.doc_id: r for r in classifier.select(docs, labels).collect()}
+    for i in grams:
+        assert abs(out[i].log_weight - weight[i]) < 1e-6 and abs(out[i].key - weight[i] - noise[i]) < 1e-6
+    k = round(len(rows) * len(good) / 120)
+    assert {i for i, r in out.items() if r.kept} == set(sorted(grams, key=lambda i: -out[i].key)[:k])
+    u = np.exp(-np.exp(-classifier.gumbel(np.arange(20_000), 1)))
+    assert abs(u.mean() - 0.5) < 0.01 and abs((u < 0.1).mean() - 0.1) < 0.01
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999])
 def test_kth_largest(spark, k):
     values = [RND.gauss(0, 100) for _ in range(1000)]
@@ -357,9 +391,52 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in kept[name]} == {r.doc_id for r in before.collect() if not any(len(s & shingles(r.text)) >= 0.8 * len(s) for s in items)}
         if i < len(p.STAGES) - 1:
             assert docs.columns == columns
+        if name == "secret_scans":
+            secrets = __import__("quillspark.llm.secrets", fromlist=["x"])
+            cut = {}
+            for r in before.collect():
+                spans, out, at = secrets.spans(r.text), "", 0
+                gone = sorted({c for s, _, e in spans for c in range(s, e)})
+                for c in gone:
+                    out += r.text[at:c] + ("" if c - 1 in gone and not any(c == s and not any(x < c < y for x, _, y in spans) for s, _, _ in spans) else "[SECRET]")
+                    at = c + 1
+                cut[r.doc_id] = out + r.text[at:]
+            assert {r.doc_id: (r.text, r.n_chars) for r in kept[name]} == {i: (x, len(x)) for i, x in cut.items()}
     texts = {r.doc_id: r.text for r in kept["secret_scans"]}
     c = __import__("quillspark.llm.byte_bpe", fromlist=["x"])
     P = __import__("public_tokenizers")
     codec = c.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert {r.doc_id: codec.decode(bytes(r.ids)).decode() for r in kept["tokenization"]} == texts
     assert sorted(r.doc_id for r in p.run(spark, DATA).select("doc_id").collect()) == sorted(texts)
+
+
+ODD_ROWS = [
+    (None, None, None, None, None),
+    (None, prose(50), "en", "s", 1),
+    (None, prose(60) + " token=abcdefgh1", "en", None, 2),
+    (7, prose(55), "en", "s", 3),
+    (7, prose(45), None, "s", 3),
+    (8, "", "en", "s", 0),
+    (9, "x", "en", "s", 1),
+    (10, prose(30_000), "en", "s", 9),
+]
+
+
+def test_stages_handle_odd_rows(spark, tmp_path):
+    """Nulls, shared ids, repeated rows, clashing columns, an empty table."""
+    import corpus_pipeline as p
+
+    rows = [(*r, "a", "b", i) for i, r in enumerate(ODD_ROWS)]
+    rows += [(*rows[3][:5], "other", "b", 99), (None, *rows[1][1:]), (11, BASE, "en", "s", 1, "a", "b", 50)]
+    spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, id string, n long")
+    good = {r[1] for r in rows if r[1] and len(words(r[1])) >= 20}
+    at = [(p.quality_rules, good, 8), (p.near_duplicates, {*(r[1] or "" for r in rows)}, 8), (p.decontamination, {r[1] for r in rows} - {BASE}, 10), (p.secret_scans, None, 11)]
+    for stage, texts, n in at:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) == n, (stage.__name__, len(got))
+        assert texts is None or {r.text or ("" if "" in texts else None) for r in got} - {None} == texts - {None}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert p.tokenization(spark, docs, str(tmp_path)).count() == len(rows) and p.tokenization(spark, docs.limit(0), str(tmp_path)).count() == 0
