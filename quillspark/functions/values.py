@@ -127,3 +127,29 @@ def retry_delay_ms(attempt: Column) -> Column:
 
 def short_model(model: Column) -> Column:
     return F.when(model.contains("opus-4-6"), "opus-4.6").when(model.contains("sonnet-4-6"), "sonnet-4.6").otherwise(model)
+
+
+def source_badge(kind: Column) -> Column:
+    """label and cls of a wiki's source."""
+    badge = lambda label: F.struct(F.lit(label).alias("label"), F.lit(label.lower()).alias("cls"))
+    return F.when(kind == "local", badge("Local")).otherwise(badge("GitHub"))
+
+
+def app_date(text: Column) -> Column:
+    """The day of a time text, as month/day/year; empty if it isn't a time."""
+    day = F.date_format(F.timestamp_millis(app_time(text)), "M/d/yyyy")
+    return F.coalesce(day, F.lit(""))
+
+
+#: Keys of a JSON schema whose values name schemas.
+_NAMED = ("properties", "$defs", "definitions")
+
+
+def strict_schema(node: object, names: bool = False) -> object:
+    """A JSON schema whose objects take no other keys, unless they say so."""
+    if isinstance(node, list):
+        return [strict_schema(x) for x in node]
+    if not isinstance(node, dict):
+        return node
+    closed = {} if names or node.get("type") != "object" else {"additionalProperties": False}
+    return {k: strict_schema(v, not names and k in _NAMED and isinstance(v, dict)) for k, v in (node | {k: v for k, v in closed.items() if k not in node}).items()}

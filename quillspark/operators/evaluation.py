@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.paths import cited_paths
 from ..functions.text import keyword_score, word_count
@@ -14,15 +15,26 @@ from .relational import valid_citations
 VERDICTS = ("correct", "partial", "incorrect", "unanswerable")
 
 
-def citations(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: distinct citations of all pages, valid ones, their share (null if there are none), invalid ones sorted."""
+def judged_citations(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """path, valid: the distinct citations of all pages."""
     found = pages.where(F.col("content").isNotNull()).select(F.explode(cited_paths(F.col("content"))).alias("path")).distinct()
-    judged = valid_citations(found, files)
-    return judged.agg(
+    return valid_citations(found, files)
+
+
+def invalid_citations(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """path: the citations that name no file, sorted."""
+    return judged_citations(pages, files).where(~F.col("valid")).select("path").orderBy("path")
+
+
+def citations(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: distinct citations of all pages, valid ones, their share (null if there are none), the number of the others
+    and the first of them."""
+    return judged_citations(pages, files).agg(
         F.count("*").alias("candidate_count"),
         F.count_if("valid").alias("valid_count"),
         F.try_divide(F.count_if("valid"), F.count("*")).alias("validity"),
-        F.sort_array(F.collect_set(F.when(~F.col("valid"), F.col("path")))).alias("invalid_paths"),
+        F.count_if(~F.col("valid")).alias("invalid_count"),
+        F.min(F.when(~F.col("valid"), F.col("path"))).alias("first_invalid"),
     )
 
 
@@ -53,8 +65,11 @@ def corpus(pages: DataFrame, key: Sequence[str], order: str, limit: int) -> Data
     """Completed pages of each key as one text in order, cut at a limit, with a note if it was."""
     own = pages.where((F.col("status") == "completed") & (F.coalesce("content", F.lit("")) != ""))
     part = F.concat(F.lit("# "), "title", F.coalesce(F.concat(F.lit("\n_Section: "), F.nullif("section", F.lit("")), F.lit("_")), F.lit("")), F.lit("\n\n"), "content")
-    full = own.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, part.alias("t")))), lambda x: x["t"]), "\n\n---\n\n").alias("full"))
-    over = F.length("full") > limit
+    # pages that begin beyond the limit never reach an aggregate
+    before = Window.partitionBy(*key).orderBy(order, "t").rowsBetween(Window.unboundedPreceding, -1)
+    near = own.select(*key, order, part.alias("t")).withColumn("_at", F.coalesce(F.sum(F.length("t") + F.lit(7)).over(before), F.lit(0))).where(F.col("_at") <= limit)
+    full = near.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("full"), F.max(F.col("_at") + F.length("t")).alias("_n"))
+    over = F.col("_n") > limit
     return full.select(*key, F.when(over, F.concat(F.left("full", F.lit(limit)), F.lit("\n\n[wiki content truncated for evaluation]"))).otherwise(F.col("full")).alias("corpus"), over.alias("truncated"))
 
 

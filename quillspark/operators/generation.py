@@ -6,7 +6,7 @@ to keep of it and how it is stored are DataFrame plans.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from ..functions import markdown as md
 from ..functions.prompts import NO_CHANGES
 from ..functions.text import without_title
 from ..functions.values import DEFAULT_MODEL, PRICES
-from ..streaming.jobs import bounded_map
 from .relational import overlapping
+from .snapshots import Store, delete_paths, update_by_id
 
 Generator = Callable[[str, Mapping[str, object]], str]
 _generators: dict[str, Generator] = {}
@@ -51,6 +51,8 @@ def cleaned(pages: DataFrame, repo: str | None, branch: str | None, files: list[
 
 def generate_pages(pages: DataFrame, model: str | None, at_once: int = 2) -> DataFrame:
     """page_id, content, status, error_message of pages with prompts. The driver calls the generator: a wiki has a few dozen pages."""
+    from ..streaming.jobs import bounded_map
+
     run = generator(model)
     done = bounded_map([r.asDict() for r in pages.select("page_id", "prompt").collect()], lambda r: run(r["prompt"], {"page_id": r["page_id"]}), at_once)
     rows = [(r["page_id"], text, "failed" if error else "completed", error) for r, text, error in done]
@@ -61,6 +63,48 @@ def to_resume(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status").isin(*UNFINISHED))
 
 
+def rescanned(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Scanned files that a change set names."""
+    return files.join(changed.select("file_path").distinct(), "file_path", "left_semi")
+
+
+def stored_pages(outline_pages: DataFrame, pages: DataFrame, key: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Pages of an outline with the stored ones of their ids; those that aren't stored are left out."""
+    return outline_pages.join(pages, list(key))
+
+
+def sync(store: Store, repo_id: int, pull: Callable[[], tuple[str, str]], changes: Callable[[str, str], DataFrame], scan: Callable[[str], DataFrame], update: Callable[[DataFrame], DataFrame]) -> str:
+    """Bring a repository's newest wiki up to date with its newest commit; says what was done.
+
+    pull() gives a folder and a commit, changes(folder, since) the changed files (file_path), scan(folder) all files
+    (file_path, content_hash), update(pages) new contents (page_id, content, status). The commit moves last, so that a
+    run that fails is done again."""
+    repo = store.read("repos").where(F.col("id") == repo_id).first()
+    wiki = store.read("wikis").where(F.col("repo_id") == repo_id).orderBy(F.desc("created_at"), F.desc("id")).first()
+    if repo is None or wiki is None:
+        raise LookupError("no such wiki")
+    if not repo.last_commit_sha:
+        raise ValueError("the repository was never scanned; generate the wiki anew")
+    folder, sha = pull()
+    if sha == repo.last_commit_sha:
+        return "up to date"
+    changed = changes(folder, repo.last_commit_sha).select("file_path").distinct()
+    advance = lambda: store.change("repos", lambda r: update_by_id(r, repo_id, {"clone_path": folder, "last_commit_sha": sha}, F.current_timestamp()))
+    if changed.limit(1).count() == 0:
+        advance()
+        return "no files changed"
+    store.change("documents", lambda d: delete_paths(d, repo_id, changed))
+    store.upsert("documents", rescanned(scan(folder), changed).select(F.lit(repo_id).cast("bigint").alias("repo_id"), "file_path", "content_hash"))
+    own = store.read("wiki_pages").where(F.col("wiki_id") == wiki.id).withColumn("file_paths", F.from_json("file_paths", "array<string>"))
+    todo = to_sync(own, changed, repo.last_commit_sha, sha)
+    n = todo.count()
+    if n:
+        new = synced(todo, update(todo)).select("wiki_id", "page_id", "title", "parent_id", "sort_order", "content", F.to_json("file_paths").alias("file_paths"), "status")
+        store.upsert("wiki_pages", new)
+    advance()
+    return f"{n} pages updated"
+
+
 def to_sync(pages: DataFrame, changed: DataFrame, last_sha: str | None, sha: str | None) -> DataFrame:
     """Pages that a change set touches; none when the commit is the same."""
     if last_sha is not None and last_sha == sha:

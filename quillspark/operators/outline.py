@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.markdown import headings_column
 from ..functions.paths import is_doc, is_readme
+from ..functions.text import heading_id, heading_text
 
 # Likely entry points in order, exact paths first, then patterns; limits of a page.
 ENTRY_PATHS = [
@@ -118,3 +122,24 @@ def tree_lines(files: DataFrame) -> DataFrame:
     key = F.transform("p", lambda name, i: F.struct(((i == depth - 1) & F.col("file")).alias("f"), F.collate(name, "UNICODE").alias("c"), name.alias("n")))
     line = F.concat(F.repeat(F.lit("  "), depth - 1), F.element_at("p", -1), F.when(F.col("file"), "").otherwise("/"))
     return nodes.select(key.alias("place"), line.alias("line"))
+
+
+def toc(pages: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, pos, level, id, plain: headings of the second and third level outside fenced blocks. The nth repeat of an id
+    on a page, among headings of all levels, gets -n."""
+    found = pages.select(key, F.explode(headings_column(F.col(content))).alias("h")).select(key, "h.*")
+    based = found.withColumn("base", heading_id(F.col("heading")))
+    nth = F.row_number().over(Window.partitionBy(key, "base").orderBy("pos")) - 1
+    own = F.when(nth > 0, F.concat("base", F.lit("-"), nth.cast("string"))).otherwise(F.col("base"))
+    return based.withColumn("id", own).where(F.col("level").isin(2, 3)).select(key, F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "id", heading_text(F.col("heading")).alias("plain"))
+
+
+def with_section_titles(pages: DataFrame, sections: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Pages with the title of their section (parent_id): the id itself where no section has it, null for none."""
+    titles = sections.select(*key, F.col("id").alias("parent_id"), F.col("title").alias("_title"))
+    return pages.join(titles, [*key, "parent_id"], "left").withColumn("section", F.coalesce("_title", "parent_id")).drop("_title")
+
+
+def root_readme(files: DataFrame, key: str) -> DataFrame:
+    """key, path: the first file by `pos` that is a README at the root, whatever the case."""
+    return files.where(F.lower("path").isin("readme.md", "readme")).groupBy(key).agg(F.min_by("path", "pos").alias("path"))

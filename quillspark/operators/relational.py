@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Values of a change set that are tested in place.
+FEW = 1000
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each group that is last in `order` (nulls first): an aggregate, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -32,11 +36,10 @@ def with_count(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFr
     return left.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-def first_of_group(df: DataFrame, key: Column, order: Sequence[Column | str], count: str) -> DataFrame:
-    """The first row of each group, with the group's size."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn(count, F.count("*").over(w))
-    return ranked.where("_rn = 1").drop("_rn")
+def last_of_group(df: DataFrame, key: Column, order: Sequence[str], count: str) -> DataFrame:
+    """The row of each group that is last in `order` (nulls first), with the group's size: one aggregate."""
+    row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.groupBy(key.alias("_key")).agg(row, F.count("*").alias(count)).select("_row.*", count)
 
 
 def changes_only(df: DataFrame, key: str, order: Sequence[str], watched: Sequence[str]) -> DataFrame:
@@ -47,7 +50,12 @@ def changes_only(df: DataFrame, key: str, order: Sequence[str], watched: Sequenc
 
 
 def overlapping(df: DataFrame, array: str, key: Sequence[str], wanted: DataFrame, column: str) -> DataFrame:
-    """Rows whose array shares a value with a column of another frame; null arrays share nothing."""
+    """Rows whose array shares a value with a column of another frame; null arrays share nothing. Up to FEW values are
+    tested in place, without a shuffle."""
+    few = [r[0] for r in wanted.select(column).where(F.col(column).isNotNull()).distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        values = F.array(*map(F.lit, few)).cast(df.schema[array].dataType)
+        return df.where(F.coalesce(F.arrays_overlap(array, values), F.lit(False)))
     hit = df.select(*key, F.explode(array).alias(column)).join(wanted.select(column).distinct(), column, "left_semi").select(*key).distinct()
     return df.join(hit, list(key), "left_semi")
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import repo_address
 from ..functions.values import PRICES, parallel_limit, resolved_model
+from ..sources.json_files import OUTLINE
 from .generation import UNFINISHED
+from .outline import flat_pages, plain_slug, resolve_slug, slug_entry
 from .relational import latest, with_count
 from .snapshots import ACTIVE, Store, cancel, with_ids
 
@@ -29,7 +31,7 @@ def _active(store: Store, repo_id: int) -> dict | None:
 def _create_job(store: Store, kind: str, repo_id: int | None, wiki_id: int | None, params: dict) -> int:
     jobs = store.read("jobs")
     row = store.spark.createDataFrame([(kind, repo_id, wiki_id, json.dumps(params))], "type string, repo_id long, wiki_id long, params string")
-    new = with_ids(row, jobs, ["type"]).withColumn("created_at", F.current_timestamp())
+    new = with_ids(row, jobs, ["type"], after=store.largest_id("jobs")).withColumn("created_at", F.current_timestamp())
     made = _one(new.select("id"))["id"]
     store.write("jobs", jobs.unionByName(new.withColumn("id", F.lit(made)), allowMissingColumns=True))
     return made
@@ -93,10 +95,10 @@ def cancel_job(store: Store, job_id: int | str) -> Answer:
     return 200, {"success": True}
 
 
-def delete_wiki(store: Store, wiki_id: int) -> Answer:
+def delete_wiki(store: Store, wiki_id: int, clones: str | None = None) -> Answer:
     if _one(store.read("wikis").where(F.col("id") == wiki_id)) is None:
         return 404, {"error": "no such wiki"}
-    store.delete_wiki(wiki_id)
+    store.delete_wiki(wiki_id, clones)
     return 200, {"success": True}
 
 
@@ -136,6 +138,28 @@ def wikis(store: Store) -> DataFrame:
     return listed.join(repos, "repo_id", "left").join(last, "id", "left").orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def home(store: Store) -> dict[str, object]:
+    """What the first page shows: active jobs, all wikis, whether owners are shown."""
+    return {"jobs": active_jobs(store), "wikis": wikis(store), "show_owner": settings(store)["showRepoOwner"]}
+
+
+def page_view(store: Store, owner: str, name: str, slug: str, version: int | None = None) -> Answer:
+    """A page of a wiki by its slug; other forms of the address lead to the slug."""
+    code, shown = view(store, owner, name, version)
+    if code != 200:
+        return code, shown
+    outline = store.spark.createDataFrame([(1, shown["wiki"]["structure"])], "wiki int, s string").select("wiki", F.from_json("s", OUTLINE).alias("outline"))
+    entries = flat_pages(outline, "wiki").select("wiki", F.col("id").alias("page_id"), "sort_order", slug_entry(F.col("section_pos"), F.col("page_pos"), plain_slug(F.col("title"))).alias("slug"))
+    found = resolve_slug(entries, store.spark.createDataFrame([(1, slug)], "wiki int, slug string"), "wiki").select("page_id")
+    hit = _one(entries.select("page_id", "slug").join(found, "page_id"))
+    page = hit and _one(shown["pages"].where(F.col("page_id") == hit["page_id"]))
+    if not page:
+        return 404, {"error": "no such page"}
+    if hit["slug"] != slug:
+        return 302, {"location": f"/{owner}/{name}/{hit['slug']}" + (f"?v={version}" if version is not None else "")}
+    return 200, {**shown, "page": page}
+
+
 def view(store: Store, owner: str, name: str, version: int | None = None) -> Answer:
     """A wiki's page: the latest wiki or the asked version, its pages in order, versions, active job and last numbers."""
     repo = _repo(store, f"{owner}/{name}")

@@ -1,13 +1,18 @@
 """A catalogue of tables kept as Parquet snapshots: upserts, updates, cascading deletes, versions and job transitions.
 
-Parquet has no MERGE, keys or identity columns. Every change is a function from frames to frames; Store writes the result
-as a new snapshot and then moves a pointer to it, so readers see the old state or the new one. One writer at a time.
+Parquet has no MERGE, keys or identity columns. Every change is a function from frames to frames; Store writes the results
+as new snapshots and then one manifest that names them, so readers see the old state or the new one. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import shutil
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +46,24 @@ PAGE_KEEPS = ("content", "diagrams", "prompt_tokens", "completion_tokens", "mode
 ACTIVE = ("pending", "processing")
 
 
-def with_ids(new: DataFrame, old: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
-    """Ids after the largest one. The numbering is over the new rows alone, which a change set bounds."""
-    top = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    return new.withColumn(key, F.lit(top).cast("long") + F.row_number().over(Window.orderBy(*order)))
+#: New rows that one task numbers at most.
+ONE_TASK = 100_000
+
+
+def with_ids(new: DataFrame, old: DataFrame, order: Sequence[str], key: str = "id", after: int = 0) -> DataFrame:
+    """Ids in order after the largest one, and after `after`. Many rows are dealt into ranges of the order, which are
+    numbered each after the rows before it."""
+    top = max(after, old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0])
+    if new.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return new.withColumn(key, F.lit(top).cast("long") + F.row_number().over(Window.orderBy(*order)))
+    dealt = new.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    base, starts = top, []
+    for part, n in sorted(map(tuple, dealt.groupBy("_range").count().collect())):  # one for each partition
+        starts.append((part, base))
+        base += n
+    known = new.sparkSession.createDataFrame(starts, "_range int, _base long")
+    numbered = dealt.join(F.broadcast(known), "_range").withColumn(key, F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.drop("_range", "_base")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Mapping[str, Column] | None = None) -> DataFrame:
@@ -130,11 +149,15 @@ def last_of_repo(wikis: DataFrame, wiki_id: int) -> DataFrame:
 # ---- jobs ----
 
 
-def claim(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs with the oldest pending one started."""
-    oldest = jobs.where("status = 'pending'").agg(F.min(F.struct("created_at", "id"))["id"]).first()[0]
-    hit = F.col("id").eqNullSafe(F.lit(oldest)) & F.col("id").isNotNull()
-    return jobs.withColumn("status", F.when(hit, "processing").otherwise(F.col("status"))).withColumn("started_at", F.when(hit, now).otherwise(F.col("started_at")))
+def oldest_pending(jobs: DataFrame) -> int | None:
+    return jobs.where("status = 'pending'").agg(F.min(F.struct("created_at", "id"))["id"]).first()[0]
+
+
+def claim(jobs: DataFrame, now: Column, job_id: int | None = None) -> DataFrame:
+    """Jobs with one pending job started: that of the id, or the oldest; a job that isn't pending is left as it is."""
+    one = oldest_pending(jobs) if job_id is None else job_id
+    hit = F.coalesce((F.col("id") == F.lit(one).cast("long")) & (F.col("status") == "pending"), F.lit(False))
+    return jobs.withColumns({"status": F.when(hit, "processing").otherwise(F.col("status")), "started_at": F.when(hit, now).otherwise(F.col("started_at"))})
 
 
 def finish(jobs: DataFrame, job_id: int, now: Column, error: str | None = None, prompt: int | None = None, completion: int | None = None, cost: float | None = None) -> DataFrame:
@@ -159,42 +182,70 @@ def cancel(jobs: DataFrame, job_id: int | None, now: Column) -> DataFrame:
     return jobs.withColumns({"completed_at": F.when(hit, now).otherwise(F.col("completed_at")), "status": F.when(hit, "cancelled").otherwise(F.col("status"))})
 
 
+def safe_to_delete(path: str | None, root: str) -> bool:
+    """Whether a folder lies below the root, dots resolved."""
+    return bool(path) and os.path.abspath(path).startswith(os.path.abspath(root) + "/")
+
+
 class Store:
-    """Snapshots of the tables under a folder: <folder>/<table>/v<number>, the newest one counts."""
+    """Snapshots of the tables under a folder, and manifests that name the snapshot of each table that counts, with the
+    largest id that it ever had. A change of several tables writes their snapshots and then one manifest, so readers see
+    all of it or nothing. Manifests are numbered; of two writers that write the same number the second one fails."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
 
     def _path(self, text: str):
-        path = self._hadoop.Path(text)
+        path = self._hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[int]:
-        path, fs = self._path(f"{self.folder}/{name}")
-        if not fs.exists(path):
-            return []
-        found = (s.getPath() for s in fs.listStatus(path))
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(self._hadoop.Path(p, "_SUCCESS")))
+    def _manifest(self) -> tuple[int, dict]:
+        """The number and content of the newest manifest."""
+        path, fs = self._path(f"{self.folder}/manifests")
+        found = sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()) if fs.exists(path) else []
+        if not found:
+            return 0, {}
+        stream = fs.open(self._hadoop.fs.Path(path, str(found[-1])))
+        try:
+            return found[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def largest_id(self, name: str) -> int:
+        return self._manifest()[1].get(name, {}).get("id", 0)
 
     def read(self, name: str) -> DataFrame:
         """The newest snapshot, with columns that it lacks as nulls or defaults: older snapshots need no migration."""
-        schema, versions = _schema(SCHEMAS[name]), self._versions(name)
-        if not versions:
+        schema, own = _schema(SCHEMAS[name]), self._manifest()[1].get(name)
+        if own is None:
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.parquet(f"{self.folder}/{name}/v{versions[-1]}")
+        found = self.spark.read.parquet(f"{self.folder}/{name}/{own['at']}")
         missing = {f.name: F.lit(DEFAULTS.get(name, {}).get(f.name)).cast(f.dataType) for f in schema if f.name not in found.columns}
         return found.withColumns(missing).select(*schema.names) if missing else found.select(*schema.names)
 
+    def commit(self, tables: Mapping[str, DataFrame]) -> None:
+        """New snapshots of the tables, all at once; the ones before stay for readers, older ones go."""
+        number, manifest = self._manifest()
+        after = {k: dict(v) for k, v in manifest.items()}
+        for name, df in tables.items():
+            at = f"v{number + 1}-{uuid.uuid4().hex[:8]}"
+            defaults = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.get(name, {}).items() if c in df.columns}
+            df.withColumns(defaults).select(*_schema(SCHEMAS[name]).names).write.parquet(f"{self.folder}/{name}/{at}")
+            top = self.spark.read.parquet(f"{self.folder}/{name}/{at}").agg(F.max("id")).first()[0] or 0
+            old = manifest.get(name, {})
+            after[name] = {"at": at, "before": old.get("at"), "id": max(top, old.get("id", 0))}
+        path, fs = self._path(f"{self.folder}/manifests/{number + 1}")
+        out = fs.create(path, False)  # fails if another writer has made it
+        out.write(bytearray(json.dumps(after).encode()))
+        out.close()
+        for name in tables:
+            if gone := manifest.get(name, {}).get("before"):
+                path, fs = self._path(f"{self.folder}/{name}/{gone}")
+                fs.delete(path, True)
+
     def write(self, name: str, df: DataFrame) -> None:
-        """A new snapshot; the one before stays for readers, older ones go."""
-        versions = self._versions(name)
-        n = versions[-1] + 1 if versions else 0
-        defaults = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.get(name, {}).items() if c in df.columns}
-        df.withColumns(defaults).select(*_schema(SCHEMAS[name]).names).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{n}")
-        for old in versions[:-1]:
-            path, fs = self._path(f"{self.folder}/{name}/v{old}")
-            fs.delete(path, True)
+        self.commit({name: df})
 
     def change(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
         self.write(name, f(self.read(name)))
@@ -204,7 +255,7 @@ class Store:
         now = F.current_timestamp() if now is None else now
         old, keys = self.read(name), KEYS[name]
         given = [c for c in rows.columns if c not in keys and c != "id"]
-        fresh = with_ids(rows.drop("id").join(old.select(*keys), keys, "left_anti"), old, keys)
+        fresh = with_ids(rows.drop("id").join(old.select(*keys), keys, "left_anti"), old, keys, after=self.largest_id(name))
         known = rows.drop("id").join(old.select("id", *keys), keys)
         both = known.unionByName(fresh.select(*known.columns))
         times = {c: now for c in ("created_at", "updated_at") if c in old.columns and c not in rows.columns}
@@ -213,11 +264,16 @@ class Store:
             rules["updated_at"] = F.coalesce(F.col("_n.updated_at"), now)
         self.write(name, upsert(old, both.withColumns(times), keys, rules))
 
-    def delete_wiki(self, wiki_id: int) -> None:
-        """The wiki with its pages; with its repository and documents if that has no other."""
+    def delete_wiki(self, wiki_id: int, clones: str | None = None) -> None:
+        """The wiki with its pages, at once with its repository and documents if that has no other. The repository's clone
+        goes too if it lies below `clones` and the wiki isn't that of a local folder."""
         tables = {n: self.read(n) for n in SCHEMAS}
         alone = last_of_repo(tables["wikis"], wiki_id)
         ids = self.spark.createDataFrame([(wiki_id,)], "id bigint")
+        local = tables["wikis"].where((F.col("id") == wiki_id) & (F.col("source_type") == "local")).count() > 0
+        paths = [r[0] for r in tables["repos"].join(alone, "id", "left_semi").select("clone_path").collect()]  # one at most
         after = delete_repos(delete_wikis(tables, ids), alone)
-        for name in ("repos", "documents", "wikis", "wiki_pages", "jobs"):
-            self.write(name, after[name])
+        self.commit({name: after[name] for name in ("repos", "documents", "wikis", "wiki_pages", "jobs")})
+        for path in paths:
+            if clones and not local and safe_to_delete(path, clones):
+                shutil.rmtree(path, ignore_errors=True)

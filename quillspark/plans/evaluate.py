@@ -50,7 +50,7 @@ def citation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of all pages held against the files that a scan keeps."""
     out = ev.citations(cited_pages(spark, sf_dir), scanned(spark, sf_dir).select("path"))
-    return out.select("candidate_count", "valid_count", F.round("validity", 4).alias("validity"), F.size("invalid_paths").cast("long").alias("n_invalid"), F.element_at("invalid_paths", 1).alias("first_invalid"))
+    return out.select("candidate_count", "valid_count", F.round("validity", 4).alias("validity"), F.col("invalid_count").alias("n_invalid"), "first_invalid")
 
 
 def core_file_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import first_of_group, latest, next_version, numbered, with_count
+from ..operators.relational import last_of_group, latest, next_version, numbered, with_count
+from ..operators.snapshots import claim
 from ..sources.tables import ACTIVE, SQL_CTES, jobs, pages, repos, time_text, wikis
 
 
@@ -83,15 +84,15 @@ def active_job_for_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest pending job, as it is once claimed."""
-    one = jobs(spark, sf_dir).where("status = 'pending'").orderBy("created_at", "job_id").limit(1)
-    return one.select("job_id", "type", "repo_id", F.lit("processing").alias("status"))
+    j = jobs(spark, sf_dir).select(F.col("job_id").alias("id"), "type", "repo_id", "status", "created_at", F.lit(None).cast("timestamp").alias("started_at"))
+    return claim(j, F.current_timestamp()).where("started_at IS NOT NULL").select(F.col("id").alias("job_id"), "type", "repo_id", "status")
 
 
 def dedupe_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest wiki of each repository with the number of its versions; wikis without one stand for themselves."""
     listed = wikis(spark, sf_dir).join(repos(spark, sf_dir), "repo_id", "left")
     key = F.coalesce(F.concat(F.lit("id:"), F.col("repo_id").cast("string")), F.concat(F.lit("nm:"), F.col("wiki_id").cast("string")))
-    return first_of_group(listed, key, [F.desc("created_at"), F.desc("wiki_id")], "version_count").select("repo_id", "wiki_id", "owner", "name", "version_count")
+    return last_of_group(listed, key, ["created_at", "wiki_id"], "version_count").select("repo_id", "wiki_id", "owner", "name", "version_count")
 
 
 def search_repositories(spark: SparkSession, sf_dir: str, query: str = " building/customer#00000001 ") -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import outline as ol
+from ..operators.generation import rescanned, stored_pages, to_resume
 from ..operators.relational import overlapping
 from ..sources.json_files import OUTLINE
 from ..sources.tables import table
+from .ingest import FILES_SQL, files
 
 
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +86,48 @@ def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages left to do of wikis that are not finished."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    todo = li.where(F.col("l_returnflag").isin("A", "R")).select(F.col("l_orderkey").alias("wiki_id"), F.col("l_linenumber").alias("sort_order"), F.col("l_returnflag").alias("flag"))
+    status = F.when(F.col("l_returnflag") == "A", "failed").when(F.col("l_returnflag") == "R", "pending").otherwise("completed")
+    todo = to_resume(li.select(F.col("l_orderkey").alias("wiki_id"), F.col("l_linenumber").alias("sort_order"), F.col("l_returnflag").alias("flag"), status.alias("status"))).drop("status")
     return todo.join(o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("wiki_id")), "wiki_id", "left_semi")
 
 
-QUERIES = {f.__name__: f for f in (outline_pages_flat, page_slugs, resolved_slugs, outline_validate, outline_summary, outline_normalize, affected_pages, resume_pages)}
+def rescanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a new scan that a change set names; some of it is gone."""
+    f = files(spark, sf_dir)
+    changed = f.where("part_id % 7 = 0").select(F.when(F.col("part_id") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit(".gone"))).alias("file_path"))
+    return rescanned(f.select("part_id", F.col("path").alias("file_path")), changed).select("part_id", "file_path")
+
+
+def outline_to_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each order's outline lists, with those that are stored: the ones that were returned never were."""
+    li = table(spark, sf_dir, "lineitem")
+    listed = li.select(F.col("l_orderkey").alias("wiki_id"), F.col("l_linenumber").alias("page_id")).distinct()
+    stored = li.where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("wiki_id"), F.col("l_linenumber").alias("page_id")).agg(F.max("l_partkey").alias("id"))
+    return stored_pages(listed, stored, ["wiki_id", "page_id"])
+
+
+def section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the title of their section, its id where the outline lacks it, none where they have none."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("s"), (F.col("c_nationkey") + F.col("c_custkey") % 3 * 10).cast("string"))).alias("parent_id"))
+    sections = table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"))
+    return ol.with_section_titles(c, sections).select("c_custkey", "section")
+
+
+def root_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The README at the root of each customer's repository, from files in the order of a scan."""
+    names = F.array(*map(F.lit, ["README.md", "docs/README.md", "ReadMe", "src/a.ts", "readme.MD", "README.txt"]))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("pos"), F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("path"))
+    return ol.root_readme(o, "repo_id")
+
+
+QUERIES = {f.__name__: f for f in (rescanned_files, outline_to_stored, section_titles, root_readmes, outline_pages_flat, page_slugs, resolved_slugs, outline_validate, outline_summary, outline_normalize, affected_pages, resume_pages)}
 
 _SLUG = "(section_pos + 1) || '.' || (page_pos + 1) || '-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g')"
 SQL = {
+    "rescanned_files": f"WITH {FILES_SQL}, c AS (SELECT CASE WHEN part_id % 2 = 0 THEN path ELSE path || '.gone' END AS p FROM files WHERE part_id % 7 = 0) SELECT part_id, path AS file_path FROM files WHERE path IN (SELECT p FROM c)",
+    "outline_to_stored": "SELECT l_orderkey AS wiki_id, l_linenumber AS page_id, max(l_partkey) FILTER (l_returnflag <> 'R') AS id FROM lineitem GROUP BY ALL HAVING id IS NOT NULL",
+    "section_titles": "SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN coalesce(n_name, 's' || (c_nationkey + c_custkey % 3 * 10)) END AS section FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + c_custkey % 3 * 10",
+    "root_readmes": "WITH f AS (SELECT o_custkey AS repo_id, o_orderkey AS pos, (['README.md', 'docs/README.md', 'ReadMe', 'src/a.ts', 'readme.MD', 'README.txt'])[o_orderkey % 6 + 1] AS path FROM orders) SELECT repo_id, arg_min(path, pos) AS path FROM f WHERE regexp_full_match(path, '(?i)readme(.md)?') AND NOT contains(path, 'txt') GROUP BY ALL",
     "outline_pages_flat": f"WITH {_PAGES} SELECT 1 AS wiki_id, section_pos, section_id, page_pos::INTEGER AS page_pos, sort_order::INTEGER AS sort_order, page_id, title, len(paths)::INTEGER AS n_paths FROM np",
     "page_slugs": f"WITH {_PAGES} SELECT page_id, {_SLUG} AS slug FROM np",
     "resolved_slugs": f"WITH {_PAGES} SELECT upper({_SLUG}) AS slug, page_id FROM np UNION ALL SELECT '%20' || regexp_replace(page_id, '[^a-z0-9]+', '-', 'g'), page_id FROM np UNION ALL SELECT 'no-' || {_SLUG}, NULL FROM np",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import markdown as md
 from ..functions import paths, prompts, text, values
+from ..operators.outline import toc
 from ..operators.relational import longest_suffix
 from ..sources.tables import table
 from .ingest import FILES_SQL, files
@@ -73,13 +73,19 @@ def leaky_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second and third level headings outside fences, with ids made distinct within a page."""
-    lines = _titled(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    fences = F.sum(F.when(F.col("line").startswith("```"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    heads = lines.withColumn("fences", fences).where((F.col("fences") % 2 == 0) & F.col("line").rlike(r"^#{2,3}\s+\S"))
-    own = heads.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("level"), F.regexp_extract("line", r"^#+\s+(.*)$", 1).alias("heading"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("pos")) - 1
-    based = own.withColumn("base", text.heading_id(F.col("heading")))
-    return based.select("doc_id", F.col("pos").cast("long").alias("pos"), "level", F.when(nth > 0, F.concat("base", F.lit("-"), nth.cast("string"))).otherwise(F.col("base")).alias("id"), text.heading_text(F.col("heading")).alias("plain"))
+    return toc(_titled(spark, sf_dir), "doc_id")
+
+
+def app_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of events, from texts with and without a zone, and from what isn't a time."""
+    e = table(spark, sf_dir, "events")
+    text_ = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T"), F.date_format("ts", "HH:mm:ss"), F.lit("+02:00"))).otherwise(F.col("event_type"))
+    return e.select("event_id", values.app_date(text_).alias("day"))
+
+
+def source_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "local").when(F.col("o_orderstatus") == "O", "github")
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.source_badge(kind).alias("b")).select("o_orderkey", "b.*")
 
 
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +200,7 @@ def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_repo_url, validators, format_display_name, page_addresses, title_headings, leaky_headings, toc_headings, link_rewrite, diagram_stats, diagram_policy, tidy_diagrams, json_extract_outline, final_messages, usage_cost, settings_effective, time_texts,
+        parse_repo_url, validators, format_display_name, page_addresses, title_headings, leaky_headings, toc_headings, app_dates, source_badges, link_rewrite, diagram_stats, diagram_policy, tidy_diagrams, json_extract_outline, final_messages, usage_cost, settings_effective, time_texts,
         progress_values, page_prompts, escaped_html, retry_plan,
     )
 }
@@ -222,9 +228,11 @@ SQL = {
     "page_addresses": "SELECT c_custkey, '/' || c_mktsegment || '/' || replace(c_name, '#', '%23') || '%20(x)~%C3%A9%2B' || CASE WHEN c_custkey % 2 = 0 THEN '/1.2-a%20b' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '?v=' || c_nationkey ELSE '' END AS path FROM customer",
     "title_headings": f"WITH {_TITLED}, r AS (SELECT *, {_AS_WRITTEN} AS rest FROM t) SELECT doc_id, sha256(rest) AS content_hash, length({_CONTENT}) AS n_other FROM r",
     "leaky_headings": f"WITH {_TITLED}, r AS (SELECT *, {_WITHOUT} AS rest FROM t) SELECT doc_id, sha256({_CONTENT}) AS content_hash FROM r",
-    "toc_headings": rf"""WITH {_TITLED}, h AS (SELECT doc_id, unnest([{{'pos': 3, 'level': 2, 'h': 'Source of *Truth*'}}, {{'pos': 5, 'level': 2, 'h': a || ' & <b>' || b || '</b>'}}, {{'pos': 7, 'level': 3, 'h': chr(96) || c || chr(96)}}, {{'pos': 11, 'level': 2, 'h': a || ' & ' || b}}, {{'pos': 13, 'level': 2, 'h': 'Trust hierarchy'}}], recursive := true) FROM t),
+    "toc_headings": rf"""WITH {_TITLED}, h AS (SELECT doc_id, unnest([{{'pos': 0, 'level': 1, 'h': a || '  ' || b}}, {{'pos': 12, 'level': 4, 'h': 'deep'}}, {{'pos': 3, 'level': 2, 'h': 'Source of *Truth*'}}, {{'pos': 5, 'level': 2, 'h': a || ' & <b>' || b || '</b>'}}, {{'pos': 7, 'level': 3, 'h': chr(96) || c || chr(96)}}, {{'pos': 11, 'level': 2, 'h': a || ' & ' || b}}, {{'pos': 13, 'level': 2, 'h': 'Trust hierarchy'}}], recursive := true) FROM t),
         i AS (SELECT doc_id, pos, level, h, {_HEADING_ID} AS base FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) - 1 AS k FROM i)
-        SELECT doc_id, pos::BIGINT AS pos, level::BIGINT AS level, base || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS id, lower(trim(regexp_replace(regexp_replace(regexp_replace(h, '[`*_~]+', '', 'g'), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM n""",
+        SELECT doc_id, pos::BIGINT AS pos, level::BIGINT AS level, base || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS id, lower(trim(regexp_replace(regexp_replace(regexp_replace(h, '[`*_~]+', '', 'g'), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM n WHERE level IN (2, 3)""",
+    "app_dates": "WITH d AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR END AS t FROM events) SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '' ELSE month(t) || '/' || day(t) || '/' || year(t) END AS day FROM d",
+    "source_badges": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Local' ELSE 'GitHub' END AS label, CASE WHEN o_orderstatus = 'F' THEN 'local' ELSE 'github' END AS cls FROM orders",
     "link_rewrite": f"WITH {FILES_SQL} SELECT part_id, CASE WHEN part_id % 4 = 0 THEN '[x](/home/work/repo/gone/x.ts)' ELSE '[x](https://github.com/o/r/blob/main/' || path || ')' END AS link FROM files",
     "diagram_stats": "SELECT (count(*) * 4)::BIGINT AS total, (count(*) * 4 - count(*) FILTER (doc_id % 3 = 0))::BIGINT AS valid FROM documents",
     "diagram_policy": f"SELECT doc_id, sha256('Intro' || chr(10) || {_GRAPH} || {_QUOTED} || {_THIRD} || 'end') AS content_hash, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n_diagrams FROM documents",

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of a difference and lines of a log that are read.
+#: Bytes of a difference and lines of a log that are read.
 MAX_DIFF_BYTES, LOG_LINES = 10 * 1024 * 1024, 20
 _SHA = re.compile(r"[0-9a-fA-F]{40}\Z")
 _NAME = re.compile(r"[A-Za-z0-9._-]+\Z")
@@ -80,8 +80,8 @@ def changes(spark: SparkSession, path: str, since: str) -> tuple[DataFrame, str,
     if not _SHA.match(since):
         raise ValueError("bad commit id")
     span = f"{since}..HEAD"
-    names = [(x,) for x in git(["diff", "--name-only", span], path).splitlines() if x]
-    diff = git(["diff", span], path, 60)[:MAX_DIFF_BYTES]
+    names = [(x,) for x in git(["diff", "--name-only", "-z", span], path).split("\0") if x]
+    diff = git(["diff", span], path, 60).encode()[:MAX_DIFF_BYTES].decode(errors="ignore")
     count = int(git(["rev-list", "--count", span], path).strip() or 0)
     log = git(["log", "--no-merges", "--oneline", f"-{LOG_LINES}", span], path)
     return spark.createDataFrame(names, "file_path string"), diff, count, log

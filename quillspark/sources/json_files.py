@@ -46,10 +46,15 @@ def write_json(df: DataFrame, folder: str) -> None:
 def page_files(pages: DataFrame) -> DataFrame:
     """name, text: a Markdown file for each page, numbered by its place."""
     name = F.format_string("%02d-%s.md", F.col("sort_order") + 1, F.col("page_id"))
-    head = F.concat(F.lit("# "), "title", F.coalesce(F.concat(F.lit("\n\n_Section: "), "section", F.lit("_")), F.lit("")), F.lit("\n\n"))
-    return pages.select(name.alias("name"), F.concat(head, F.coalesce("content", F.lit(""))).alias("text"))
+    head = F.concat(F.lit("# "), "title", F.lit("\n\n> Section: "), F.coalesce("section", F.lit("(none)")), F.lit(" \u00b7 Status: "), "status", F.lit("\n\n"))
+    return pages.select(name.alias("name"), F.concat(head, F.coalesce("content", F.lit("_(no content)_"))).alias("text"))
 
 
 def write_page_files(pages: DataFrame, folder: str) -> None:
-    """The files of page_files(), written by the tasks through Hadoop's file system when partitioned by name."""
-    page_files(pages).write.mode("overwrite").partitionBy("name").text(folder)
+    """The files of page_files() in the folder, one after the other: a run has some dozen pages."""
+    hadoop = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    for r in page_files(pages).toLocalIterator():
+        path = hadoop.Path(f"{folder.rstrip('/')}/{r['name']}")
+        out = path.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(r["text"].encode()))
+        out.close()

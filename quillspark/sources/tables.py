@@ -1,7 +1,7 @@
 """Relations of the catalogue, over Parquet tables.
 
 The engine's relations are repos, wikis (versions of a repository's documentation), pages, jobs and documents. A store
-holds them as Parquet snapshots; `standin` derives them from the benchmark tables, so that queries run anywhere.
+holds them as Parquet snapshots; the functions here derive them from the benchmark tables, so that queries run anywhere.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.relational import changes_only
-from ..operators.snapshots import Store, cancel, claim, finish
+from ..operators.snapshots import Store, cancel, claim, finish, oldest_pending
 from ..sources.json_files import message_text
 
 TERMINAL = ("completed", "failed", "cancelled")
@@ -94,17 +94,24 @@ class Worker:
 
     def step(self) -> bool:
         """Run one job; False if none was pending."""
-        one = self.store.read("jobs").where("status = 'pending'").orderBy("created_at", "id").limit(1).collect()
-        if not one:
+        own = oldest_pending(self.store.read("jobs"))
+        if own is None:
             return False
-        self.store.change("jobs", lambda j: claim(j, self.now()))
+        self.store.change("jobs", lambda j: claim(j, self.now(), own))
+        one = self.store.read("jobs").where((F.col("id") == own) & (F.col("status") == "processing")).collect()
+        if not one:  # no longer pending when it was claimed
+            return True
         try:
-            done = self.handle(one[0].asDict())
-            self.store.change("jobs", lambda j: finish(j, one[0].id, self.now(), None, done.get("prompt"), done.get("completion"), done.get("cost")))
+            done = self.handle({**one[0].asDict(), "cancelled": lambda: self.cancelled(own)})
+            self.store.change("jobs", lambda j: finish(j, own, self.now(), None, done.get("prompt"), done.get("completion"), done.get("cost")))
         except Exception as e:
-            self.store.change("jobs", lambda j: finish(j, one[0].id, self.now(), str(e) or type(e).__name__))
+            self.store.change("jobs", lambda j: finish(j, own, self.now(), str(e) or type(e).__name__))
         return True
 
+    def cancelled(self, job_id: int) -> bool:
+        """Whether the job was cancelled meanwhile: work asks between its parts, and stops."""
+        return self.store.read("jobs").where((F.col("id") == job_id) & (F.col("status") == "cancelled")).count() > 0
+
     def run(self, polls: int, wait: float = 1.0) -> int:
         n = 0
         for _ in range(polls):
@@ -115,6 +122,10 @@ class Worker:
         return n
 
 
+#: Seconds that calls to a model may take: outlines, pages.
+OUTLINE_SECONDS, PAGE_SECONDS = 600, 1200
+
+
 def bounded_map(items: list, f: Callable, at_once: int = 2, retries: int = 3, wait: Callable[[int], float] = lambda n: 2**n * 2.0, retry: Callable[[str], bool] = lambda m: False) -> list[tuple]:
     """(item, result, error) of calls to an external function, `at_once` at a time (1 to 5); one failure stays one item's."""
 

@@ -157,3 +157,37 @@ def test_prompts(spark):
     assert "(none: find" in made.p and "flow" in made.p and "last message" in made.p
     assert "d" * 50_000 in made.u and "d" * 50_001 not in made.u and prompts.NO_CHANGES in made.u
     assert made.s == "System instructions:\ns\n\nUser request:\nq"
+
+
+FENCED = [
+    "", "plain", "a\n```mermaid\ngraph TD\n```\nb", "```mermaid\nx\n```", "````md\n```mermaid\npie\n```\n````\nend", "~~~ Mermaid wide\nA\n~~~", "```mermaid\nopen", "```mermaid\n\n```\nz",
+    "    ```mermaid\nx\n```\n", "```js\n~~~\n```\n```mermaid\nq\n````\ntail", "```mermaid\nx\n``` no\n```\n", "\u00e9\u00e9\n```mermaid\ny\n```\n\u00e9", "```mermaid\n1\n```\n```mermaid\n2\n```",
+]
+
+
+def test_fenced_blocks(spark):
+    found = [[c for _, _, c in md.diagram_fences(x)] for x in FENCED]
+    assert found == [[], [], ["graph TD"], ["x"], [], ["A"], [], [], [], ["q"], ["x\n``` no"], ["y"], ["1", "2"]]
+    for x in FENCED:
+        assert all(x[s:e].lstrip(" ")[:3] in ("```", "~~~") and x[s - 1 : s] in ("", "\n") and x[e : e + 1] in ("", "\n") for s, e, _ in md.diagram_fences(x))
+        texts = [v for k, v in md.chunks(x) if k == "text"]
+        assert "".join(texts) == "".join(x[a:b] for a, b in zip([0, *(e for _, e, _ in md.diagram_fences(x))], [*(s for s, _, _ in md.diagram_fences(x)), len(x)], strict=True)) and "" not in texts
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(FENCED)], "i int, x string").select("i", md.chunks_column(F.col("x")).alias("c"))
+    assert {r.i: [tuple(y) for y in r.c] for r in df.collect()} == {i: md.chunks(x) for i, x in enumerate(FENCED)}
+
+
+def test_toc(spark):
+    from quillspark.operators.outline import toc
+
+    text = "# Top\n## A <b>x</b>\n```\n## no\n```\n### A x ##\n~~~~\n```\n## no\n~~~~\n## Top\n#### A x\n##not\n    ## code\n## `a-x`\n```\n## open"
+    got = [(r.pos, r.level, r.id, r.plain) for r in toc(spark.createDataFrame([(1, text), (2, None)], "k int, content string"), "k").orderBy("pos").collect()]
+    assert got == [(1, 2, "a-x", "a b x b"), (5, 3, "a-x-1", "a x"), (10, 2, "top-1", "top"), (14, 2, "a-x-3", "a x")]
+
+
+def test_values_of_the_service(spark):
+    schema = {"type": "object", "properties": {"type": {"type": "string"}, "a": {"type": "array", "items": {"type": "object", "properties": {}}}}, "$defs": {"x": {"type": "object", "additionalProperties": True}}, "required": ["a"]}
+    strict = values.strict_schema(schema)
+    assert strict["additionalProperties"] is False and strict["properties"]["a"]["items"]["additionalProperties"] is False and strict["$defs"]["x"]["additionalProperties"] is True
+    assert strict["properties"]["type"] == {"type": "string"} and "additionalProperties" not in strict["properties"] and "additionalProperties" not in schema
+    one = spark.range(1).select(values.app_date(F.lit("2024-03-05 23:59:59")), values.app_date(F.lit("2024-03-05T23:00:00-05:00")), values.app_date(F.lit("x")), values.source_badge(F.lit("local"))["cls"], values.source_badge(F.lit(None).cast("string"))["label"], values.short_model(F.lit("a-opus-4-6")), values.input_tokens(F.lit(1), F.lit(None).cast("int"), F.lit(3))).first()
+    assert tuple(one) == ("3/5/2024", "3/6/2024", "", "local", "GitHub", "opus-4.6", 4)

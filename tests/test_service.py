@@ -34,3 +34,18 @@ def test_requests(spark, tmp_path):
     service.put_settings(s, {"parallelPageLimit": "9"})
     assert service.settings(s)["parallelPageLimit"] == 5
     assert service.delete_wiki(s, 1)[0] == 200 and service.delete_wiki(s, 1)[0] == 404 and s.read("repos").count() == 0
+
+
+def test_page_view(spark, tmp_path):
+    import json
+
+    s = Store(spark, str(tmp_path))
+    s.upsert("repos", spark.createDataFrame([("o", "r", "o/r")], "owner string, name string, full_name string"))
+    outline = {"title": "T", "sections": [{"id": "s", "title": "S", "pages": [{"id": "intro", "title": "First Steps"}, {"id": "gone", "title": "Gone"}]}]}
+    s.change("wikis", lambda w: insert_version(w, spark.createDataFrame([(1, 1, json.dumps(outline))], "id long, repo_id long, structure string")))
+    s.upsert("wiki_pages", spark.createDataFrame([(1, "intro", "First Steps", "text")], "wiki_id long, page_id string, title string, content string"))
+    code, shown = service.page_view(s, "o", "r", "1.1-first-steps")
+    assert code == 200 and shown["page"]["content"] == "text"
+    assert service.page_view(s, "o", "r", "intro") == (302, {"location": "/o/r/1.1-first-steps"})
+    assert service.page_view(s, "o", "r", "1.2-gone")[0] == service.page_view(s, "o", "r", "none")[0] == service.page_view(s, "o", "x", "intro")[0] == 404
+    assert service.home(s)["wikis"].count() == 1 and service.home(s)["show_owner"] is True

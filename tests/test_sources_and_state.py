@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluation as ev
 from quillspark.operators import generation, snapshots
 from quillspark.operators import outline as ol
-from quillspark.sources.json_files import OUTLINE, events, page_files
+from quillspark.sources.json_files import OUTLINE, events, write_page_files
 from quillspark.sources.repo_files import IgnoreRules, scan
 from quillspark.streaming import jobs
 
@@ -146,7 +147,8 @@ def test_evaluation(spark):
     pages = spark.createDataFrame([("a", "S", "completed", "`src/a.ts` and `fake.ts`"), ("b", None, "failed", None), ("c", "S", "completed", "x y")], "title string, section string, status string, content string")
     files = spark.createDataFrame([("src/a.ts",), ("lib/b.ts",)], "path string")
     c = ev.citations(pages, files).first()
-    assert (c.candidate_count, c.valid_count, c.validity, c.invalid_paths) == (2, 1, 0.5, ["fake.ts"])
+    assert (c.candidate_count, c.valid_count, c.validity, c.invalid_count, c.first_invalid) == (2, 1, 0.5, 1, "fake.ts")
+    assert [r.path for r in ev.invalid_citations(pages, files).collect()] == ["fake.ts"]
     assert ev.citations(pages.limit(0), files).first().validity is None
     s = ev.sizes(pages).first()
     assert (s.sections, s.pages, s.completed_pages, s.failed_pages, s.total_words, s.avg_words_per_page) == (1, 3, 2, 1, 5, 3)
@@ -169,6 +171,129 @@ def test_outline_normalised(spark):
     assert outlines.select(ol.problem(F.col("outline")).alias("r")).first().r is None
 
 
-def test_page_files(spark):
-    p = spark.createDataFrame([("p", "T", "S", "c", 0)], "page_id string, title string, section string, content string, sort_order int")
-    assert tuple(page_files(p).first()) == ("01-p.md", "# T\n\n_Section: S_\n\nc")
+def test_page_files(spark, tmp_path):
+    p = spark.createDataFrame([("p", "T", "S", "c", 0, "completed"), ("q", "U", None, None, 11, "failed")], "page_id string, title string, section string, content string, sort_order int, status string")
+    write_page_files(p, str(tmp_path / "pages"))
+    assert (tmp_path / "pages" / "01-p.md").read_text() == "# T\n\n> Section: S \u00b7 Status: completed\n\nc"
+    assert (tmp_path / "pages" / "12-q.md").read_text() == "# U\n\n> Section: (none) \u00b7 Status: failed\n\n_(no content)_"
+
+
+def test_store_of_several_tables(spark, tmp_path):
+    """One manifest for a change of several tables; ids that were given are never given again; one of two writers fails."""
+    s = snapshots.Store(spark, str(tmp_path))
+    row = lambda name: spark.createDataFrame([("o", name, f"o/{name}")], "owner string, name string, full_name string")
+    s.upsert("repos", row("a"))
+    s.upsert("repos", row("b"))
+    s.change("repos", lambda r: r.where("id < 2"))
+    s.upsert("repos", row("c"))
+    assert {(r.name, r.id) for r in s.read("repos").collect()} == {("a", 1), ("c", 3)}
+    number = s._manifest()[0]
+    (tmp_path / "manifests" / str(number + 1)).write_text("{}")
+    other = s._manifest
+    s._manifest = lambda: (number, other()[1])
+    with pytest.raises(Exception, match="exists"):
+        s.write("repos", s.spark.createDataFrame([], s.read("settings").schema).select(F.lit(1).alias("id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in snapshots._schema(snapshots.SCHEMAS["repos"]) if f.name != "id"]))
+
+
+def test_many_new_ids(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "ONE_TASK", 10)
+    new = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    rows = snapshots.with_ids(new, spark.range(5), ["k"], after=9).collect()
+    assert sorted((r.k, r.id) for r in rows) == [(i, i + 10) for i in range(1000)]
+
+
+def test_clone_goes_with_the_last_version(spark, tmp_path):
+    assert snapshots.safe_to_delete("/d/repos/a", "/d/repos") and not any(snapshots.safe_to_delete(p, "/d/repos") for p in ("/d/repos", "/d/repos/../x", "/d/reposx/a", "", None))
+    for i, (kind, below) in enumerate((("github", True), ("github", False), ("local", True))):
+        root = tmp_path / str(i)
+        clone = root / ("repos" if below else "other") / "o" / "a"
+        clone.mkdir(parents=True)
+        s = snapshots.Store(spark, str(root / "store"))
+        s.upsert("repos", spark.createDataFrame([("o/a", str(clone))], "full_name string, clone_path string"))
+        s.change("wikis", lambda w, k=kind: snapshots.insert_version(w, spark.createDataFrame([(1, 1, k)], "id long, repo_id long, source_type string")))
+        s.delete_wiki(1, str(root / "repos"))
+        assert clone.exists() == (i > 0) and s.read("repos").count() == 0
+
+
+def test_claim_of_a_job_that_is_gone(spark, tmp_path):
+    j = spark.createDataFrame([(1, "pending", 1), (2, "cancelled", 2), (3, "pending", 3)], "id long, status string, t long").select("id", "status", F.timestamp_seconds("t").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"))
+    state = lambda df: {r.id: r.status for r in df.collect()}
+    assert snapshots.oldest_pending(j) == 1 and state(snapshots.claim(j, F.current_timestamp())) == {1: "processing", 2: "cancelled", 3: "pending"}
+    assert state(snapshots.claim(j, F.current_timestamp(), 2)) == {1: "pending", 2: "cancelled", 3: "pending"}
+    s = snapshots.Store(spark, str(tmp_path))
+    w = jobs.Worker(s, lambda job: (s.change("jobs", lambda x: snapshots.cancel(x, job["id"], F.current_timestamp())), {"prompt": int(job["cancelled"]())})[1])
+    s.change("jobs", lambda x: x.unionByName(j.where("id = 3"), allowMissingColumns=True))
+    assert w.step() and not w.step() and [r.status for r in s.read("jobs").collect()] == ["cancelled"]
+
+
+def test_sync(spark, tmp_path):
+    s = snapshots.Store(spark, str(tmp_path))
+    s.upsert("repos", spark.createDataFrame([("o/a", "one")], "full_name string, last_commit_sha string"))
+    s.change("wikis", lambda w: snapshots.insert_version(w, spark.createDataFrame([(1, 1, "t")], "id long, repo_id long, title string")))
+    s.upsert("documents", spark.createDataFrame([(1, "a.ts", "h0"), (1, "b.ts", "h0"), (1, "c.ts", "h0")], "repo_id long, file_path string, content_hash string"))
+    s.upsert("wiki_pages", spark.createDataFrame([(1, "p", "P", "old", '["a.ts"]', "completed"), (1, "q", "Q", "old", '["c.ts"]', "completed")], "wiki_id long, page_id string, title string, content string, file_paths string, status string"))
+    at, changed = ["one"], []
+    scan = lambda folder: spark.createDataFrame([("a.ts", "h1"), ("c.ts", "h9")], "file_path string, content_hash string")
+    update = lambda pages: pages.select("page_id", F.lit("new").alias("content"), F.lit("completed").alias("status"))
+    run = lambda f=update: generation.sync(s, 1, lambda: ("/x", at[0]), lambda folder, since: spark.createDataFrame([(x,) for x in changed], "file_path string"), scan, f)
+    sha = lambda: s.read("repos").first().last_commit_sha
+    assert run() == "up to date"
+    at[0] = "two"
+    assert run() == "no files changed" and sha() == "two"
+    at[0] = "three"
+    changed += ["a.ts", "b.ts"]
+    with pytest.raises(ZeroDivisionError):
+        run(lambda pages: 1 / 0)
+    assert sha() == "two"
+    assert run() == "1 pages updated" and sha() == "three"
+    assert {(r.file_path, r.content_hash) for r in s.read("documents").collect()} == {("a.ts", "h1"), ("c.ts", "h0")}
+    assert {(r.page_id, r.content) for r in s.read("wiki_pages").collect()} == {("p", "new"), ("q", "old")}
+
+
+def test_git(spark, tmp_path):
+    from quillspark.sources import git_repos as g
+
+    env = ["-c", "user.name=n", "-c", "user.email=e@example.org"]
+    source = tmp_path / "source"
+    source.mkdir()
+    assert g.local_repo(str(source)) == (str(source), None)
+    with pytest.raises(ValueError):
+        g.local_repo(str(tmp_path / "none"))
+    g.git(["init", "-b", "trunk"], str(source))
+    (source / "a.txt").write_text("one\n")
+    g.git(["add", "."], str(source))
+    g.git([*env, "commit", "-m", "first"], str(source))
+    first = g.local_repo(str(source))[1]
+    path, sha = g.clone("o", "r", str(tmp_path / "clones"), str(source))
+    assert sha == first and g.default_branch(path) == "trunk" and g.default_branch(str(source)) == "main"
+    (source / "\u00e9 name.txt").write_text("x\n")
+    g.git(["add", "."], str(source))
+    g.git([*env, "commit", "-m", "second"], str(source))
+    again, sha = g.clone("o", "r", str(tmp_path / "clones"), str(source))
+    assert again == path and sha != first
+    files, diff, n, log = g.changes(spark, path, first)
+    assert [r.file_path for r in files.collect()] == ["\u00e9 name.txt"] and n == 1 and "second" in log and "+x" in diff
+    pinned = g.snapshot(str(source), first, str(tmp_path), "pin")
+    assert g.local_repo(pinned)[1] == first and g.snapshot(str(source), first, str(tmp_path), "pin") == pinned
+    for bad in (lambda: g.clone("o/..", "r", str(tmp_path)), lambda: g.changes(spark, path, "HEAD"), lambda: g.snapshot("x", "y", "z", "w")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(RuntimeError) as e:
+        g.git(["clone", "/no/such/secret"], token="secret")
+    assert "secret" not in str(e.value)
+
+
+def test_json_files(spark, tmp_path):
+    from quillspark.sources import json_files as j
+
+    df = spark.createDataFrame([("p", "T", None, "completed", "c")], j.PAGES)
+    j.write_json(df, str(tmp_path / "pages"))
+    assert j.read_json(spark, str(tmp_path / "pages"), j.PAGES).collect() == df.collect()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"type":"result","result":"x"}\nbroken\n\n{"type":"item.completed"}')
+    kinds = lambda d: sorted(r[0] for r in d.select("e.type").collect())
+    assert kinds(j.read_events(spark, str(tmp_path / "in"))) == ["item.completed", "result"]
+    q = j.stream_events(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("json_events").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert kinds(spark.table("json_events")) == ["item.completed", "result"]
