@@ -9,13 +9,14 @@ logarithm of their weights, plus a few hundred darts; not elements times coordin
 a bound that fills all coordinates with near certainty are never looked at; the few documents with a gap take twice the
 bound.
 
-Documents with equal sets are one node. Nodes that agree in a whole band are candidates: all pairs in buckets of up to
-PAIRS nodes; in larger ones every node with LEADERS leaders, which links a crowd of similar nodes without its pairs.
+Documents with equal sets are one node. Nodes that agree in a whole band share a bucket. Candidates are every node with the
+least one of its buckets, and then, between classes that these do not link, pairs that agree in AGREE bands: all pairs in
+buckets of up to PAIRS nodes; in larger ones every node with leaders, which links a crowd of similar nodes without its pairs.
 Candidates are verified by the exact similarity of their sets: pairs that the sizes rule out go before any set is built,
 and a set moves to the hub of its pairs, a hub's set once for every PART of its pairs. The verified links' connected
 components are the classes. Nodes of larger buckets that hold several classes then take an exact join by prefixes of
 their sets (rarest elements first, with the bounds of sizes and positions) for the links between classes that no leader
-showed. Classes are named after their least doc_id.
+showed, nor AGREE small buckets. Classes are named after their least doc_id.
 
 Texts of fewer than five words have one shingle, all their words; texts without words are all equal. Every row has a class
 of its own text's: rows of a null doc_id or of a doc_id that others have too are told apart by their texts, and a class of
@@ -37,16 +38,17 @@ from pyspark.sql import functions as F
 from .common import as_long, fresh, keyed, mix, prepare, scope, shared_ids, small_enough, stored, table, texts, window_hashes, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands, coordinates in a band. At a similarity of 0.8 a pair agrees in none with probability 3e-7.
-BANDS, ROWS = 21, 3
+#: Bands, coordinates in a band; bands in which a pair must agree. At a similarity of 0.8 a pair agrees in fewer with
+#: probability 8e-5.
+BANDS, ROWS, AGREE = 21, 3, 3
 #: Nodes of a bucket whose pairs are all candidates; leaders of a larger bucket; keys of over 1/HOT of all rows of a
 #: join, of which there are HOT at most, are joined by broadcast.
 PAIRS, LEADERS, HOT = 32, 6, 2000
 #: Pairs of one hub that are verified together.
-PART = 4096
+PART = 512
 CHUNK = 1 << 18
 #: Counters of elements by hash that order them by rarity. Any order is right; this one makes few candidates.
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 #: Ids that are broadcast at most; beyond that texts are joined with them by shuffle.
 BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -173,15 +175,17 @@ def first_candidates(shared: DataFrame) -> DataFrame:
 
 
 def all_candidates(shared: DataFrame) -> DataFrame:
-    """a, b: all pairs of small buckets, every node of the others with the bucket's leaders: the least nodes by LEADERS
-    orders, which are drawn anew for every bucket."""
+    """a, b: pairs of small buckets, and nodes of the others with the bucket's leaders (the least nodes in LEADERS random
+    orders), that meet at least AGREE times."""
     lists = shared.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = lists.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     large = shared.where(F.col("n") > PAIRS).select("node", "key")
-    lead = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)).alias("o"), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
-    leaders = stored(large.groupBy("key").agg(*lead).select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("o")), "leaders")
-    led = large.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST_ROWS) else leaders, "key").where("node != o")
-    return pairs.union(led.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))).distinct()
+    lead = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
+    leaders = stored(large.groupBy("key").agg(*lead).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("os")), "leaders")
+    with_leaders = large.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST_ROWS) else leaders, "key")
+    led = with_leaders.select("node", F.explode("os").alias("o")).where("node != o")
+    met = pairs.union(led.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")))
+    return met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
 
 
 def _fit(a: Column, b: Column, threshold: float) -> Column:
@@ -195,29 +199,27 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k:
     The set of b goes to its hub a, in parts of about PART pairs, and that of a to each part; within a part sorted by hub,
     the hub's set comes first and is held while the others pass."""
     prepare(docs.sparkSession)
-    parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "hubs")
-    many = parts.where("parts > 1")
-    many = F.broadcast(many) if small_enough(many, BROADCAST_ROWS) else many
-    moves = pairs.join(many, "a", "left").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    moves = pairs.join(parts.where("parts > 1"), "a", "left").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     hubs = parts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.expr("-parts").cast("int").alias("part"))
-    asked = stored(moves.union(hubs), "asked")
+    to = F.collect_list(F.struct("hub", "part")).alias("to")
+    asked = stored(moves.union(hubs).groupBy(F.col("node").alias("id")).agg(to), "asked")
     few = F.broadcast(asked) if small_enough(asked, BROADCAST_ROWS) else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # repeated rows have equal texts
+        done = set()  # repeated rows, which are those of negative ids, have equal texts
         for b in batches:
-            for lo, offs, data in texts(b.column(3), CHUNK):
+            for lo, offs, data in texts(b.column(1), CHUNK):
                 n = len(offs) - 1
                 row, cell = unit_cells(*elements(offs, data, k))
                 at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
-                own = [b.column(i).slice(lo, n) for i in range(3)]
-                new = []
-                for i, x in enumerate(zip(own[0].to_pylist(), own[1].to_pylist(), strict=True)):
-                    if x[0] >= 0 or x not in done:
+                ids, new = b.column(0).slice(lo, n), []
+                for i, x in enumerate(ids.to_pylist()):
+                    if x >= 0 or x not in done:
                         new.append(i)
-                    if x[0] < 0:
+                    if x < 0:
                         done.add(x)
-                out = pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(cell)))], names=["node", "hub", "part", "cells"])
+                out = pa.RecordBatch.from_arrays([ids, b.column(2).slice(lo, n), pa.ListArray.from_arrays(pa.array(at), pa.array(as_long(cell)))], names=["node", "to", "cells"])
                 yield out if len(new) == n else out.take(pa.array(new, pa.int32()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +241,10 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k:
             taken = pa.array(found, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(1).take(taken), b.column(0).take(taken)], names=["a", "b"])
 
-    with_sets = docs.join(few.withColumnRenamed("node", "id"), "id").select("id", "hub", "part", "text").mapInArrow(sets, "node long, hub long, part int, cells array<bigint>")
-    own_part = F.when(F.col("part") < 0, F.sequence(F.lit(0), -F.col("part") - 1)).otherwise(F.array("part"))
-    dealt = with_sets.select("node", "hub", "cells", F.explode(own_part).alias("part")).repartition("hub", "part")
-    ordered = dealt.sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    with_sets = docs.join(few, "id").select("id", "text", "to").mapInArrow(sets, "node long, to array<struct<hub:bigint,part:int>>, cells array<bigint>")
+    copies = F.when(F.col("t.part") < 0, F.sequence(F.lit(0), -F.col("t.part") - 1)).otherwise(F.array("t.part"))
+    places = with_sets.select("node", "cells", F.explode("to").alias("t")).select("node", "cells", "t.hub", F.explode(copies).alias("part"))
+    ordered = places.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
     return ordered.select("node", "hub", "cells").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -273,32 +275,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mixed_nodes(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, label: the nodes of buckets of over PAIRS nodes that hold more than one class."""
-    large = stored(shared.where(F.col("n") > PAIRS).select("node", "key").join(classes, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "crowded-entries")
-    mixed = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    """node, label: the nodes of at least AGREE buckets that hold more than one class, one of over PAIRS nodes among them.
+    Others agree in too few bands with the nodes of other classes, or had all those pairs as candidates."""
+    labelled = stored(shared.select("node", "key", "n").join(classes, "node", "left").select("node", "key", "n", F.coalesce("label", "node").alias("label")), "labelled-entries")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     mixed = F.broadcast(mixed) if small_enough(mixed, BROADCAST_ROWS) else mixed
-    return large.join(mixed, "key", "left_semi").select("node", "label").distinct()
+    own = labelled.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.count("*").alias("keys"), F.max("n").alias("n"))
+    return own.where((F.col("keys") >= AGREE) & (F.col("n") > PAIRS)).select("node", "label")
 
 
 def _rarity(docs: DataFrame, k: int) -> np.ndarray:
     """How many elements of the documents' sets fall into each of SLOTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
+        n = np.zeros(SLOTS, np.int32)
         for b in batches:
             for _, offs, data in texts(b.column(1), CHUNK):
-                n += np.bincount((unit_cells(*elements(offs, data, k))[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                np.add.at(n, (unit_cells(*elements(offs, data, k))[1] % np.uint64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    found = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    most = F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")
+    found = docs.mapInArrow(run, "slot int, n int").groupBy("slot").agg(most).toArrow()
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int) -> DataFrame:
-    """cell, node, label, size, at: of every set the first elements, rarest first, one of which a similar set must share."""
+    """cell, node, label, size, at: of every set the first elements, rarest first, one of which a similar set must share;
+    without those that no other set has, as their counter tells."""
     held = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +317,7 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int) -> D
                 size = np.bincount(row, minlength=n)
                 at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 keep = at <= (size - np.ceil(threshold * size - 1e-9).astype(np.int64))[row]
+                keep &= held.value[(cell % np.uint64(SLOTS)).astype(np.int64)] > 1
                 own = pa.array(row[keep])
                 cols = [pa.array(as_long(cell[keep])), b.column(0).slice(lo, n).take(own), b.column(2).slice(lo, n).take(own), pa.array(size[row[keep]]), pa.array(at[keep])]
                 yield pa.RecordBatch.from_arrays(cols, names=["cell", "node", "label", "size", "at"])
@@ -369,12 +376,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, ban
             links = stored(verified(stored(pairs.where(_fit(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b"), "candidates"), docs, threshold, k), "links")
             first.drop(links)
         with scope(spark) as second:
-            known = stored(lean.join(components(links), "node", "left").select("node", "size", F.coalesce("label", "node").alias("label")), "known")
+            so_far = components(links)
+            known = stored(lean.join(so_far, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label")), "known")
             pairs = all_candidates(shared).join(of(known, "a"), "a").join(of(known, "b"), "b")
             apart = pairs.where((F.col("label_a") != F.col("label_b")) & _fit(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
-            more = stored(verified(stored(apart, "candidates"), docs, threshold, k), "links")
-            second.drop(more)
-        found = components(links.union(more))
+            found = joined_classes(so_far, stored(verified(stored(apart, "candidates"), docs, threshold, k), "links"))
+            second.drop(found)
         if exact:
             with scope(spark) as third:
                 apart = stored(mixed_nodes(shared, found), "mixed-nodes")
