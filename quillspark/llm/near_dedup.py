@@ -174,16 +174,24 @@ def first_candidates(shared: DataFrame) -> DataFrame:
     return shared.groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
 
 
-def all_candidates(shared: DataFrame) -> DataFrame:
+def all_candidates(shared: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: pairs of small buckets, and nodes of the others with the bucket's leaders (the least nodes in LEADERS random
-    orders), that meet at least AGREE times."""
-    lists = shared.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    pairs = lists.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    large = shared.where(F.col("n") > PAIRS).select("node", "key")
-    lead = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
+    orders), that meet at least AGREE times, are of different classes so far, and whose sizes allow the similarity. Pairs
+    within a class are left out before any is made, so a crowd that is linked already makes none."""
+    own = stored(shared.select("node", "key", "n").join(known, "node"), "known-entries")
+    lists = own.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label", "size"))).alias("m"))
+
+    def later(x: Column, i: Column) -> Column:
+        others = F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (y["label"] != x["label"]) & _fit(x["size"], y["size"], threshold))
+        return F.transform(others, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    pairs = lists.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.a", "p.b")
+    large = own.where(F.col("n") > PAIRS).drop("n")
+    lead = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), F.struct("node", "label", "size").alias("x")))["x"].alias(f"l{i}") for i in range(LEADERS)]
     leaders = stored(large.groupBy("key").agg(*lead).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("os")), "leaders")
     with_leaders = large.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST_ROWS) else leaders, "key")
-    led = with_leaders.select("node", F.explode("os").alias("o")).where("node != o")
+    apart = F.filter("os", lambda o: (o["label"] != F.col("label")) & _fit(o["size"], F.col("size"), threshold))
+    led = with_leaders.select("node", F.explode(F.transform(apart, lambda o: o["node"])).alias("o"))
     met = pairs.union(led.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")))
     return met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
 
@@ -378,8 +386,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, ban
         with scope(spark) as second:
             so_far = components(links)
             known = stored(lean.join(so_far, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label")), "known")
-            pairs = all_candidates(shared).join(of(known, "a"), "a").join(of(known, "b"), "b")
-            apart = pairs.where((F.col("label_a") != F.col("label_b")) & _fit(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
+            apart = all_candidates(shared, known, threshold)
             found = joined_classes(so_far, stored(verified(stored(apart, "candidates"), docs, threshold, k), "links"))
             second.drop(found)
         if exact:
