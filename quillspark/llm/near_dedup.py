@@ -49,6 +49,8 @@ PART = 512
 CHUNK = 1 << 18
 #: Counters of elements by hash that order them by rarity. Any order is right; this one makes few candidates.
 SLOTS = 1 << 22
+#: Runs of slots whose counters are added up together.
+BLOCKS = 64
 #: Ids that are broadcast at most; beyond that texts are joined with them by shuffle.
 BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -293,21 +295,40 @@ def mixed_nodes(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """How many elements of the documents' sets fall into each of SLOTS."""
+    """How many elements of the documents' sets fall into each of SLOTS.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int32)
+    A task's counters travel as one row for each of BLOCKS runs of slots, and those of a block are added up as they come:
+    rows grow with tasks, not with elements, and a task holds SLOTS counters at most."""
+    width = SLOTS // BLOCKS
+
+    def rows(block: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate((np.flatnonzero(np.diff(block, prepend=-1)), [len(block)])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (slot, n)]
+        return pa.RecordBatch.from_arrays([pa.array(block[first[:-1]]), *lists], names=["block", "slot", "n"])
+
+    def packed(n: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(n).astype(np.int32)
+        return rows(at // np.int32(width), at, n[at])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
         for b in batches:
             for _, offs, data in texts(b.column(1), CHUNK):
                 np.add.at(n, (unit_cells(*elements(offs, data, k))[1] % np.uint64(SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["slot", "n"])
+        yield packed(n)
 
-    out = np.zeros(SLOTS, np.int32)
-    most = F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")
-    found = docs.mapInArrow(run, "slot int, n int").groupBy("slot").agg(most).toArrow()
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            np.add.at(n, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy())
+        yield packed(n)
+
+    kind = "block int, slot array<int>, n array<bigint>"
+    found = docs.mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    slots, counts = found["slot"].combine_chunks().flatten(), found["n"].combine_chunks().flatten()
+    out[slots.to_numpy()] = counts.to_numpy()
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
 def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int) -> DataFrame:
