@@ -62,13 +62,16 @@ def sizes(pages: DataFrame) -> DataFrame:
 
 
 def corpus(pages: DataFrame, key: Sequence[str], order: str, limit: int) -> DataFrame:
-    """Completed pages of each key as one text in order, cut at a limit, with a note if it was."""
+    """Completed pages of each key as one text in order, cut at a limit, with a note if it was. A text holds so few pages
+    below the limit that the first of each key are enough: tasks keep no more of them before the shuffle."""
+    rule = "\n\n---\n\n"
     own = pages.where((F.col("status") == "completed") & (F.coalesce("content", F.lit("")) != ""))
     part = F.concat(F.lit("# "), "title", F.coalesce(F.concat(F.lit("\n_Section: "), F.nullif("section", F.lit("")), F.lit("_")), F.lit("")), F.lit("\n\n"), "content")
-    # pages that begin beyond the limit never reach an aggregate
-    before = Window.partitionBy(*key).orderBy(order, "t").rowsBetween(Window.unboundedPreceding, -1)
-    near = own.select(*key, order, part.alias("t")).withColumn("_at", F.coalesce(F.sum(F.length("t") + F.lit(7)).over(before), F.lit(0))).where(F.col("_at") <= limit)
-    full = near.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("full"), F.max(F.col("_at") + F.length("t")).alias("_n"))
+    within = Window.partitionBy(*key).orderBy(order, "t")
+    first = own.select(*key, order, part.alias("t")).withColumn("_k", F.row_number().over(within)).where(F.col("_k") <= limit // len(rule) + 2)
+    before = F.coalesce(F.sum(F.length("t") + len(rule)).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = first.withColumn("_at", before).where(F.col("_at") <= limit + len(rule))  # the text before it, without the rule, is not over the limit
+    full = near.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "t"))), lambda x: x["t"]), rule).alias("full"), F.max(F.col("_at") + F.length("t")).alias("_n"))
     over = F.col("_n") > limit
     return full.select(*key, F.when(over, F.concat(F.left("full", F.lit(limit)), F.lit("\n\n[wiki content truncated for evaluation]"))).otherwise(F.col("full")).alias("corpus"), over.alias("truncated"))
 
