@@ -13,14 +13,10 @@ RULE, NOTE = "\n\n---\n\n", "\n\n[wiki content truncated for evaluation]"
 
 def joined(pages, limit):
     """What joining all completed pages first and cutting then gives."""
-    text = RULE.join(f"# {t}" + (f"\n_Section: {s}_" if s else "") + f"\n\n{c}" for _, t, s, _, c in sorted(pages, key=lambda p: p[0]) if c and _status(p) == "completed")
+    text = RULE.join(f"# {t}" + (f"\n_Section: {s}_" if s else "") + f"\n\n{c}" for _, t, s, status, c in sorted(pages, key=lambda p: p[0]) if c and status == "completed")
     return (text[:limit] + NOTE, True) if len(text) > limit else (text, False)
 
 
-def _status(page):
-    return page[3]
-
-
 def test_cut_at_limits_around_every_end(spark):
     rnd = random.Random(3)
     wikis = {k: [(i, f"t{i}", rnd.choice([None, "", "s"]), rnd.choice(["completed"] * 5 + ["failed"]), rnd.choice([None, "", "x", "text é " * rnd.randint(1, 6)])) for i in range(rnd.randint(1, 9))] for k in range(6)}
@@ -34,7 +30,7 @@ def test_cut_at_limits_around_every_end(spark):
             ends |= {at + d for d in (-8, -7, -1, 0, 1, 6, 7, 8)}
     for limit in sorted(x for x in ends if x > 0)[::7] + [1, 2]:
         got = {r.wiki: (r.corpus, r.truncated) for r in ev.corpus(df, ["wiki"], "pos", limit).collect()}
-        want = {k: joined(p, limit) for k, p in wikis.items() if any(_status(x) == "completed" and x[4] for x in p)}
+        want = {k: joined(p, limit) for k, p in wikis.items() if any(x[3] == "completed" and x[4] for x in p)}
         assert got == want, limit
 
 
