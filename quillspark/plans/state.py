@@ -10,6 +10,7 @@ from ..operators import snapshots as snap
 from ..operators.relational import numbered
 from ..sources.json_files import events as parsed_events
 from ..sources.tables import SQL_CTES, jobs, table
+from ..streaming import transitions as tr
 from ..streaming.jobs import folded_calls, folded_jobs, progress_reports
 
 
@@ -71,6 +72,28 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded_jobs(j.select(F.col("repo_id").alias("job_id"), "seq", "status", F.floor(F.col("value")).cast("long").alias("progress")))
 
 
+#: Limits of the query's steps: its events are hours apart.
+STEP_LIMITS = {"outline": 90_000, "page": 180_000}
+
+
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions and time-outs of jobs. A user's events of three days ask for those of one job, many of them in vain."""
+    e = table(spark, sf_dir, "events")
+    kind, value, n = F.col("event_type"), F.col("value"), F.col("event_id")
+    asked = (
+        F.when(kind == "signup", "create").when(kind == "click", "claim").when((kind == "purchase") & (value > 80), "complete")
+        .when((kind == "error") & (value > 100), "fail").when((kind == "error") & (n % 7 == 0), "cancel").when(kind != "error", "progress").otherwise("other")
+    )
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")  # whatever the session's zone
+    day = F.floor(ms / 259_200_000)
+    events = e.select(
+        (F.col("user_id") * 100_000 + day).cast("long").alias("job_id"), n.alias("seq"), F.timestamp_millis(ms).alias("at"), asked.alias("kind"),
+        F.when(n % 5 == 0, None).when(n % 2 == 0, "page").otherwise("outline").alias("step"), F.when(n % 3 > 0, F.floor(value % 100)).cast("int").alias("progress"), F.when(n % 4 > 0, kind).alias("message"),
+    )
+    out = tr.job_transitions(events, limits=STEP_LIMITS)
+    return out.select("job_id", "seq", F.unix_millis("at").alias("at_ms"), "status", "progress", "message")
+
+
 def progress_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a listener hears of the jobs."""
     j = numbered(jobs(spark, sf_dir).where("status <> 'cancelled'"), ["repo_id"], ["created_at", "job_id"], "seq")
@@ -97,7 +120,7 @@ def jsonl_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request", F.sha2("text", 256).alias("text_hash"), "input_tokens", "output_tokens", "cached_tokens", "is_error")
 
 
-QUERIES = {f.__name__: f for f in (upsert_documents, upsert_pages_coalesce, delete_cascade, delete_paths, next_ids, cancel_stale_jobs, job_state_fold, progress_change_events, jsonl_stream_fold)}
+QUERIES = {f.__name__: f for f in (upsert_documents, upsert_pages_coalesce, delete_cascade, delete_paths, next_ids, cancel_stale_jobs, job_state_fold, job_transitions, progress_change_events, jsonl_stream_fold)}
 
 SQL = {
     "upsert_documents": "SELECT source || '/' || doc_id AS file_path, CASE WHEN source = 'src4' AND lang = 'de' THEN 'old' ELSE sha256(text) END AS content_hash FROM documents",
@@ -111,6 +134,27 @@ SQL = {
     "cancel_stale_jobs": f"WITH {SQL_CTES} SELECT job_id, CASE WHEN status IN ('pending', 'processing') THEN 'cancelled' ELSE status END AS status, status IN ('pending', 'processing') AS ended FROM jobs",
     "job_state_fold": f"""WITH {SQL_CTES}, j AS (SELECT repo_id, status, floor(value)::BIGINT AS progress, row_number() OVER (PARTITION BY repo_id ORDER BY created_at, job_id) AS seq FROM jobs)
         SELECT repo_id AS job_id, coalesce(arg_min(status, seq) FILTER (status IN ('completed', 'failed', 'cancelled')), arg_max(status, seq)) AS status, max(CASE WHEN status = 'completed' THEN 100 ELSE progress END)::BIGINT AS progress, count(*) AS n_events FROM j GROUP BY repo_id""",
+    # one event of each job at a time: first its time-out, then the transition if its status admits it
+    "job_transitions": """WITH RECURSIVE e AS (SELECT user_id * 100000 + (epoch_us(ts) // 1000) // 259200000 AS job_id, event_id AS seq, (epoch_us(ts) // 1000) AS tms,
+            CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'click' THEN 'claim' WHEN event_type = 'purchase' AND value > 80 THEN 'complete' WHEN event_type = 'error' AND value > 100 THEN 'fail'
+                WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'cancel' WHEN event_type <> 'error' THEN 'progress' END AS kind,
+            CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'page' ELSE 'outline' END AS step, CASE WHEN event_id % 3 > 0 THEN floor(value % 100)::INTEGER END AS p, CASE WHEN event_id % 4 > 0 THEN event_type END AS m FROM events),
+        o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY tms, seq) AS k FROM e), horizon AS (SELECT max(tms) AS t FROM e),
+        r AS (SELECT DISTINCT job_id, 0::BIGINT AS k, NULL::VARCHAR AS status, 0::INTEGER AS progress, NULL::VARCHAR AS message, NULL::VARCHAR AS step, NULL::BIGINT AS due, NULL::BIGINT AS late, NULL::BIGINT AS seq, NULL::BIGINT AS tms FROM e
+            UNION ALL SELECT job_id, k, coalesce(made, held), CASE WHEN made = 'completed' THEN 100 WHEN made IS NOT NULL THEN coalesce(p, progress) ELSE progress END,
+                CASE WHEN made IS NOT NULL THEN m WHEN late IS NOT NULL THEN step || ': nothing heard for ' || (CASE step WHEN 'page' THEN 180000 ELSE 90000 END) || ' s' ELSE message END,
+                CASE WHEN made = 'processing' THEN next_step WHEN made IS NULL AND late IS NULL THEN step END,
+                CASE WHEN made = 'processing' THEN tms + (CASE next_step WHEN 'page' THEN 180000000 WHEN 'outline' THEN 90000000 END) WHEN made IS NULL AND late IS NULL THEN due END,
+                late, CASE WHEN made IS NOT NULL THEN seq END, tms
+            FROM (SELECT *, CASE WHEN kind = 'create' AND held IS NULL THEN 'pending' WHEN kind = 'claim' AND held = 'pending' THEN 'processing' WHEN kind = 'progress' AND held = 'processing' THEN 'processing' WHEN kind = 'complete' AND held = 'processing' THEN 'completed'
+                    WHEN kind = 'fail' AND held IN ('pending', 'processing') THEN 'failed' WHEN kind = 'cancel' AND held IN ('pending', 'processing') THEN 'cancelled' END AS made
+                FROM (SELECT r.job_id, o.k, r.progress, r.message, r.step, r.due, o.seq, o.tms, o.kind, o.step AS next_step, o.p, o.m, CASE WHEN r.due <= o.tms THEN r.due END AS late, CASE WHEN r.due <= o.tms THEN 'failed' ELSE r.status END AS held
+                    FROM r JOIN o ON r.job_id = o.job_id AND o.k = r.k + 1) x) y),
+        ended AS (SELECT *, lead(k) OVER (PARTITION BY job_id ORDER BY k) AS after, lag(progress) OVER (PARTITION BY job_id ORDER BY k) AS before, lag(step) OVER (PARTITION BY job_id ORDER BY k) AS waited FROM r),
+        out_ AS (SELECT job_id, seq, tms AS at_ms, status, progress, message FROM ended WHERE seq IS NOT NULL
+            UNION ALL SELECT job_id, NULL, late, 'failed', before, waited || ': nothing heard for ' || (CASE waited WHEN 'page' THEN 180000 ELSE 90000 END) || ' s' FROM ended WHERE late IS NOT NULL
+            UNION ALL SELECT job_id, NULL, due, 'failed', progress, step || ': nothing heard for ' || (CASE step WHEN 'page' THEN 180000 ELSE 90000 END) || ' s' FROM ended WHERE after IS NULL AND due <= (SELECT t FROM horizon))
+        SELECT * FROM out_""",
     "progress_change_events": f"""WITH {SQL_CTES}, j AS (SELECT repo_id, CASE status WHEN 'completed' THEN 'processing' ELSE status END AS status, floor(value / 50)::BIGINT AS progress, row_number() OVER (PARTITION BY repo_id ORDER BY created_at, job_id) AS seq FROM jobs WHERE status <> 'cancelled'),
         e AS (SELECT *, min(seq) FILTER (status = 'failed') OVER (PARTITION BY repo_id) AS stop, lag(status || progress) OVER (PARTITION BY repo_id ORDER BY seq) AS before FROM j)
         SELECT repo_id AS job_id, seq, status, progress FROM e WHERE (stop IS NULL OR seq <= stop) AND before IS DISTINCT FROM status || progress""",

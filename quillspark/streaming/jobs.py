@@ -14,8 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.relational import changes_only
 from ..operators.snapshots import Store, cancel, claim, finish, oldest_pending
 from ..sources.json_files import message_text
+from .cancel import Cancelled, run_job
+from .transitions import TERMINAL
 
-TERMINAL = ("completed", "failed", "cancelled")
 #: Progress reports of the change-only stream.
 REPORT = "job_id long, seq long, status string, progress long, message string"
 
@@ -86,10 +87,11 @@ def folded_calls(events: DataFrame, key: str = "request", order: str = "seq") ->
 
 
 class Worker:
-    """Takes pending jobs of a store one at a time, oldest first, and hands them to a function; polls every second."""
+    """Takes pending jobs of a store one at a time, oldest first, and hands them to a function; polls every second. A job
+    that is cancelled while it runs is stopped within about `watch` seconds, Spark actions included."""
 
-    def __init__(self, store: Store, handle: Callable[[dict], dict], now: Callable[[], Column] = F.current_timestamp):
-        self.store, self.handle, self.now = store, handle, now
+    def __init__(self, store: Store, handle: Callable[[dict], dict], now: Callable[[], Column] = F.current_timestamp, watch: float = 0.5):
+        self.store, self.handle, self.now, self.watch = store, handle, now, watch
         store.change("jobs", lambda j: cancel(j, None, now()))  # what an earlier run left behind
 
     def step(self) -> bool:
@@ -102,8 +104,11 @@ class Worker:
         if not one:  # no longer pending when it was claimed
             return True
         try:
-            done = self.handle({**one[0].asDict(), "cancelled": lambda: self.cancelled(own)})
+            row = {**one[0].asDict(), "cancelled": lambda: self.cancelled(own)}
+            done = run_job(self.store.spark, own, lambda: self.handle(row), lambda: self.cancelled(own), self.watch)
             self.store.change("jobs", lambda j: finish(j, own, self.now(), None, done.get("prompt"), done.get("completion"), done.get("cost")))
+        except Cancelled:  # its row says so
+            pass
         except Exception as e:
             self.store.change("jobs", lambda j: finish(j, own, self.now(), str(e) or type(e).__name__))
         return True
@@ -122,10 +127,6 @@ class Worker:
         return n
 
 
-#: Seconds that calls to a model may take: outlines, pages.
-OUTLINE_SECONDS, PAGE_SECONDS = 600, 1200
-
-
 def bounded_map(items: list, f: Callable, at_once: int = 2, retries: int = 3, wait: Callable[[int], float] = lambda n: 2**n * 2.0, retry: Callable[[str], bool] = lambda m: False) -> list[tuple]:
     """(item, result, error) of calls to an external function, `at_once` at a time (1 to 5); one failure stays one item's."""
 
