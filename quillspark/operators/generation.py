@@ -15,6 +15,7 @@ from ..functions import markdown as md
 from ..functions.prompts import NO_CHANGES
 from ..functions.text import without_title
 from ..functions.values import DEFAULT_MODEL, PRICES
+from .links import relink_stored
 from .relational import overlapping
 from .snapshots import Store, delete_paths, update_by_id
 
@@ -37,16 +38,11 @@ def generator(model: str | None) -> Generator:
     return _generators[name]
 
 
-def stub(prompt: str, options: Mapping[str, object]) -> str:
-    """A generator for tests: a page that depends on the prompt alone."""
-    return f"## Overview\n\n{len(prompt)} characters asked for this page."
-
-
-def cleaned(pages: DataFrame, repo: str | None, branch: str | None, files: list[str]) -> DataFrame:
+def cleaned(pages: DataFrame, files: DataFrame, repos: DataFrame, repo: str = "repo_id", key: Sequence[str] = ("page_id",)) -> DataFrame:
     """Generated content put right: title heading out, policy headings out, two diagrams at most, links to files."""
     out = pages.withColumn("content", md.without_policy_headings_column(without_title(F.col("content"), F.col("title"))))
     out = out.withColumn("_d", md.limit_diagrams_column(F.col("content"))).withColumn("diagrams", F.col("_d.diagrams"))
-    return out.withColumn("content", md.relinked_column(F.col("_d.content"), F.lit(repo or ""), F.lit(branch), files)).drop("_d")
+    return relink_stored(out.withColumn("content", F.col("_d.content")).drop("_d"), files, repos, repo, key)
 
 
 def generate_pages(pages: DataFrame, model: str | None, at_once: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import paths, prompts, text, values
+from ..operators.links import relink_stored, shown
 from ..operators.outline import toc
 from ..operators.relational import longest_suffix
 from ..sources.tables import table
@@ -97,6 +98,39 @@ def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("part_id", F.coalesce(F.concat(F.lit("[x]("), url, F.lit(")")), F.concat(F.lit("[x]("), "href", F.lit(")"))).alias("link"))
 
 
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of many repositories (a customer each, a page an order's line) with links to files, images and other addresses;
+    some files are the repository's, some those of others."""
+    f = files(spark, sf_dir).select("part_id", "path")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    li = li.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("repo_id")), "l_orderkey")
+    both = li.join(f.select(F.col("part_id").alias("l_partkey"), F.col("path").alias("a")), "l_partkey").join(f.select(F.col("part_id").alias("l_suppkey"), F.col("path").alias("b")), "l_suppkey")
+    tail, n = F.element_at(F.split("a", "/"), -1), F.col("l_linenumber")
+    content = F.concat(
+        F.lit("See ["), "a", F.lit("](/home/app/"), "a", F.lit("), ![plan]("), F.when(n % 3 == 0, "/").otherwise("/x/y/"), "b", F.lit(") and [gone](/etc/"), "a", F.lit(".old) [n]"), F.when(n % 2 == 0, F.concat(F.lit("(/"), tail, F.lit(")"))).otherwise(""),
+        F.lit(" [cdn](//host/"), "a", F.lit(") [rel](./"), "a", F.lit(")"), F.when(n % 4 == 0, F.concat(F.lit("[again](/"), "a", F.lit(")"))).otherwise(""),
+    )
+    return both.select(F.col("l_orderkey").alias("wiki_id"), n.alias("page_no"), "repo_id", F.col("a").alias("own"), F.when(n % 7 < 6, content).alias("content"))
+
+
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages with the links to files of their repositories put right."""
+    pages, c = _linked_pages(spark, sf_dir), F.col("c_custkey")
+    known = pages.where("page_no % 2 = 1").select("repo_id", F.col("own").alias("path"))
+    known = known.union(pages.where("page_no % 5 = 0").select("repo_id", F.element_at(F.split("own", "/"), -1)))
+    url = F.when(c % 5 == 0, F.concat(F.lit("https://github.com/o"), c.cast("string"), F.lit("/r"))).when(c % 5 == 1, F.lit("http://github.com/o/r.git/")).when(c % 5 == 2, F.lit("local:///tmp/r")).when(c % 5 == 3, F.lit(" https://github.com/o/r/ "))
+    repos = table(spark, sf_dir, "customer").select(c.alias("repo_id"), url.alias("url"), F.when(c % 3 == 0, "dev").when(c % 3 == 1, "").alias("default_branch"))
+    out = relink_stored(pages, known, repos, "repo_id", ["wiki_id", "page_no"])
+    return out.select("wiki_id", "page_no", F.sha2("content", 256).alias("content_hash"))
+
+
+def shown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a reader sees them, with the links to the files that they name themselves."""
+    pages = _linked_pages(spark, sf_dir).withColumn("file_paths", F.when(F.col("page_no") % 3 > 0, F.array("own", F.element_at(F.split("own", "/"), -1))))
+    base = F.when(F.col("repo_id") % 2 == 0, F.concat(F.lit("https://github.com/o/"), F.col("repo_id").cast("string"), F.lit("/blob/main/")))
+    return shown(pages, base, ["wiki_id", "page_no"]).select("wiki_id", "page_no", F.sha2("content", 256).alias("content_hash"))
+
+
 def _diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of four diagrams: two alike, one invalid for some, one quoted in a longer fence."""
     d = F.col("doc_id")
@@ -200,7 +234,7 @@ def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_repo_url, validators, format_display_name, page_addresses, title_headings, leaky_headings, toc_headings, app_dates, source_badges, link_rewrite, diagram_stats, diagram_policy, tidy_diagrams, json_extract_outline, final_messages, usage_cost, settings_effective, time_texts,
+        parse_repo_url, validators, format_display_name, page_addresses, title_headings, leaky_headings, toc_headings, app_dates, source_badges, link_rewrite, stored_links, shown_links, diagram_stats, diagram_policy, tidy_diagrams, json_extract_outline, final_messages, usage_cost, settings_effective, time_texts,
         progress_values, page_prompts, escaped_html, retry_plan,
     )
 }
@@ -220,7 +254,25 @@ _ROUNDED = _MIN.format(m=f"CAST(floor({_MS} / 60000 + 0.5) AS BIGINT)", ms=_MS)
 _GRAPH = "'```mermaid' || chr(10) || 'graph TD' || chr(10) || '  A[\"Start\"] --> B' || (doc_id % 10) || chr(10) || '```' || chr(10)"
 _QUOTED = "'````md' || chr(10) || '```mermaid' || chr(10) || 'pie' || chr(10) || '```' || chr(10) || '````' || chr(10)"
 _THIRD = "'~~~mermaid' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'nothing' ELSE 'sequenceDiagram' END || chr(10) || 'A->>B: hi' || chr(10) || '~~~' || chr(10)"
+_LINK = r"(!?)\[([^\]]*)\]\((/[^)\s/][^)\s]*)\)"
+_LINKED = f"""WITH {FILES_SQL}, pg AS (SELECT l_orderkey AS wiki_id, l_linenumber AS page_no, o_custkey AS repo_id, a.path AS own, CASE WHEN l_linenumber % 7 < 6 THEN
+        'See [' || a.path || '](/home/app/' || a.path || '), ![plan](' || (CASE WHEN l_linenumber % 3 = 0 THEN '/' ELSE '/x/y/' END) || b.path || ') and [gone](/etc/' || a.path || '.old) [n]' || (CASE WHEN l_linenumber % 2 = 0 THEN '(/' || a.parts[-1] || ')' ELSE '' END)
+        || ' [cdn](//host/' || a.path || ') [rel](./' || a.path || ')' || (CASE WHEN l_linenumber % 4 = 0 THEN '[again](/' || a.path || ')' ELSE '' END) END AS content, a.parts[-1] AS tail
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) JOIN orders ON o_orderkey = l_orderkey JOIN shaped a ON a.part_id = l_partkey JOIN shaped b ON b.part_id = l_suppkey),
+lk AS (SELECT wiki_id, page_no, repo_id, unnest(range(1, len(regexp_extract_all(content, '{_LINK}', 0)) + 1)) AS i, unnest(regexp_extract_all(content, '{_LINK}', 1)) AS image, unnest(regexp_extract_all(content, '{_LINK}', 2)) AS label, unnest(regexp_extract_all(content, '{_LINK}', 3)) AS href FROM pg),
+tl AS (SELECT wiki_id, page_no, repo_id, i, unnest(range(2, len(string_split(href, '/')) + 1)) AS k, string_split(href, '/') AS p FROM lk)"""
+_PUT_BACK = f"""SELECT pg.wiki_id, pg.page_no, sha256((SELECT string_agg(piece || coalesce(new, ''), '' ORDER BY x.i) FROM (SELECT unnest(string_split_regex(pg.content, '{_LINK}')) AS piece, unnest(range(1, len(string_split_regex(pg.content, '{_LINK}')) + 1)) AS i) x
+    LEFT JOIN nw ON nw.wiki_id = pg.wiki_id AND nw.page_no = pg.page_no AND nw.i = x.i)) AS content_hash FROM pg"""
 SQL = {
+    "stored_links": f"""{_LINKED}, known AS (SELECT DISTINCT repo_id, own AS path FROM pg WHERE page_no % 2 = 1 UNION SELECT repo_id, tail FROM pg WHERE page_no % 5 = 0),
+        hit AS (SELECT wiki_id, page_no, i, min(k) AS k FROM tl JOIN known ON known.repo_id = tl.repo_id AND known.path = array_to_string(p[k:], '/') GROUP BY ALL),
+        base AS (SELECT c_custkey AS repo_id, 'https://github.com/' || (CASE c_custkey % 5 WHEN 0 THEN 'o' || c_custkey || '/r' WHEN 1 THEN 'o/r' WHEN 3 THEN 'o/r' END) || '/blob/' || (CASE WHEN c_custkey % 3 = 0 THEN 'dev' ELSE 'main' END) || '/' AS b FROM customer),
+        nw AS (SELECT wiki_id, page_no, lk.i, CASE WHEN k IS NULL THEN image || '[' || label || '](' || href || ')' WHEN b IS NULL THEN chr(96) || array_to_string(string_split(href, '/')[k:], '/') || chr(96) ELSE image || '[' || label || '](' || b || array_to_string(string_split(href, '/')[k:], '/') || ')' END AS new
+            FROM lk LEFT JOIN hit USING (wiki_id, page_no, i) LEFT JOIN base USING (repo_id)) {_PUT_BACK}""",
+    "shown_links": f"""{_LINKED}, known AS (SELECT DISTINCT wiki_id, page_no, unnest([own, tail]) AS path FROM pg WHERE page_no % 3 > 0),
+        hit AS (SELECT tl.wiki_id, tl.page_no, i, min(k) AS k FROM tl JOIN known ON known.wiki_id = tl.wiki_id AND known.page_no = tl.page_no AND known.path = array_to_string(p[k:], '/') GROUP BY ALL),
+        nw AS (SELECT wiki_id, page_no, lk.i, CASE WHEN k IS NULL THEN image || '[' || label || '](' || href || ')' WHEN repo_id % 2 = 1 OR image = '!' THEN '<code>' || array_to_string(string_split(href, '/')[k:], '/') || '</code>' ELSE '[' || label || '](https://github.com/o/' || repo_id || '/blob/main/' || array_to_string(string_split(href, '/')[k:], '/') || ')' END AS new
+            FROM lk LEFT JOIN hit USING (wiki_id, page_no, i)) {_PUT_BACK}""",
     "parse_repo_url": f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'o' WHEN 1 THEN 'o' WHEN 2 THEN 'own-er' END AS owner, CASE WHEN c_custkey % 6 < 3 THEN {_N} END AS name,
         CASE c_custkey % 6 WHEN 0 THEN 'https://github.com/o/' || {_N} WHEN 1 THEN 'https://github.com/o/' || {_N} WHEN 2 THEN 'https://github.com/own-er/' || {_N} END AS url, c_custkey % 6 = 5 AS is_local FROM customer""",
     "validators": "SELECT c_custkey, regexp_full_match(c_name, '[a-zA-Z0-9._-]+') AS name_ok, regexp_full_match(c_mktsegment, '[a-zA-Z0-9._-]+') AS segment_ok, c_custkey % 2 = 0 AS sha_ok FROM customer",

@@ -107,16 +107,6 @@ def test_policy_headings():
     assert md.without_policy_headings(content) == "text\n### name\n```\n## Source of Truth\n```\nx"
 
 
-def test_relinked():
-    files = ["src/util.ts", "util.ts"]
-    assert md.relinked("[u](/app/src/util.ts)", "o/r", None, files) == "[u](https://github.com/o/r/blob/main/src/util.ts)"
-    assert md.relinked("![u](/x/util.ts)", None, None, files) == "`util.ts`"
-    assert md.relinked("[u](/etc/hosts) [v](//cdn/util.ts) [w](rel/util.ts)", "o/r", "dev", files) == "[u](/etc/hosts) [v](//cdn/util.ts) [w](rel/util.ts)"
-    assert md.relinked("[u](/app/util.ts)", "o/r", None, []) == "[u](/app/util.ts)"
-    done = md.relinked("[u](/app/src/util.ts)", "o/r", "dev", files)
-    assert md.relinked(done, "o/r", "dev", files) == done
-
-
 @pytest.mark.parametrize(("title", "want"), [("Épée & Co's", "epee-and-cos"), ("  A--b ", "a-b"), ("日本", "page"), ("", "page"), ("ﬁne", "fine")])
 def test_slug(title, want):
     assert md.slug(title) == want

@@ -129,12 +129,13 @@ def test_folded_calls(spark):
 
 
 def test_generation(spark):
-    generation.register("claude-sonnet-4-6", generation.stub)
+    generation.register("claude-sonnet-4-6", lambda prompt, options: f"{len(prompt)} characters asked for this page.")
     pages = spark.createDataFrame([("p", "abc"), ("q", "abcd")], "page_id string, prompt string")
     made = {r.page_id: r for r in generation.generate_pages(pages, None).collect()}
     assert made["q"].status == "completed" and made["q"].content.endswith("4 characters asked for this page.")
-    raw = spark.createDataFrame([("p", "T", "# T\n\n## Code first\n\n[u](/x/a.ts)")], "page_id string, title string, content string")
-    assert generation.cleaned(raw, "o/r", None, ["a.ts"]).first().content == "[u](https://github.com/o/r/blob/main/a.ts)"
+    raw = spark.createDataFrame([("p", 1, "T", "# T\n\n## Code first\n\n[u](/x/a.ts)")], "page_id string, repo_id long, title string, content string")
+    files, repos = spark.createDataFrame([(1, "a.ts")], "repo_id long, path string"), spark.createDataFrame([(1, "https://github.com/o/r", None)], "repo_id long, url string, default_branch string")
+    assert generation.cleaned(raw, files, repos).first().content == "[u](https://github.com/o/r/blob/main/a.ts)"
     stored = spark.createDataFrame([("p", "old", ["a.ts"]), ("q", "old", ["b.ts"]), ("r", "old", None)], "page_id string, content string, file_paths array<string>")
     changed = spark.createDataFrame([("a.ts",)], "file_path string")
     assert [r.page_id for r in generation.to_sync(stored, changed, "1", "2").collect()] == ["p"]
