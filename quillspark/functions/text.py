@@ -88,13 +88,6 @@ def parsed_message(messages: Column) -> Column:
     return F.coalesce(F.try_parse_json(last), F.try_parse_json(embedded_json(last)))
 
 
-def keyword_score(title: Column, content: Column, keywords: Column) -> Column:
-    """Occurrences of the keywords, whatever the case, five times as much in the title, for a thousand words."""
-    literal = lambda k: F.concat(F.lit("(?i)\\Q"), F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    hits = F.aggregate(keywords, F.lit(0).cast("long"), lambda a, k: a + F.regexp_count(content, literal(k)) + F.regexp_count(title, literal(k)) * 5)
-    return hits * 1000 / F.greatest(F.size(F.split(content, r"(?U)\s+")), F.lit(1))
-
-
 def is_diagram(code: Column) -> Column:
     """Whether the first line begins with a diagram type."""
     return F.lower(trimmed(F.split(code, "\n")[0])).rlike("\\A(" + "|".join(DIAGRAM_TYPES) + ")")

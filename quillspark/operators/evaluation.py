@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import cited_paths
-from ..functions.text import keyword_score, word_count
+from ..functions.text import word_count
+from .patterns import best_texts, covered
 from .relational import valid_citations
 
 VERDICTS = ("correct", "partial", "incorrect", "unanswerable")
@@ -38,13 +39,12 @@ def citations(pages: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def coverage(pages: DataFrame, core: Sequence[str]) -> DataFrame:
-    """One row: which of a list of names occur in any page, in the list's order. One aggregate over the pages: the list is
-    configuration, so no join of names and pages is needed."""
-    hits = pages.agg(*[F.coalesce(F.max(F.contains("content", F.lit(c))), F.lit(False)).alias(f"h{i}") for i, c in enumerate(core)]) if core else pages.agg(F.count("*").alias("_n"))
-    all_ = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"h{i}").alias("hit")) for i, c in enumerate(core)]) if core else F.expr("cast(array() as array<struct<c:string,hit:boolean>>)")
-    pick = lambda want: F.transform(F.filter(all_, lambda x: x["hit"] == want), lambda x: x["c"])
-    return hits.select(pick(True).alias("covered"), pick(False).alias("missing"), F.lit(1.0).alias("coverage") if not core else (F.size(pick(True)) / len(core)).alias("coverage"))
+def coverage(pages: DataFrame, core: DataFrame) -> DataFrame:
+    """One row: which names of a list (place, pattern) occur in any page, in the list's order, and their share. One pass over
+    the pages, whatever the length of the list."""
+    hits = covered(pages, "content", core.select(F.col("place").cast("long").alias("id"), "pattern"))
+    pick = lambda want: F.transform(F.sort_array(F.collect_list(F.when(F.col("hit") == want, F.struct("id", "pattern")))), lambda x: x["pattern"])
+    return hits.agg(pick(True).alias("covered"), pick(False).alias("missing"), F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(1.0)).alias("coverage"))
 
 
 def sizes(pages: DataFrame) -> DataFrame:
@@ -94,16 +94,13 @@ def scores(rows: DataFrame, depth: Column, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.avg(p).alias("score"), F.avg(F.when(~depth, p)).alias("floor"), F.avg(F.when(depth, p)).alias("depth"))
 
 
-def best_pages(pages: DataFrame, topics: Mapping[str, Sequence[str]], order: str = "pos") -> DataFrame:
-    """topic, page_id, score: the best page of each topic, the earlier one of equals. One pass with an aggregate for each
-    topic, since topics are configuration."""
-    aggs = []
-    for topic, words in topics.items():
-        score = keyword_score(F.col("title"), F.coalesce("content", F.lit("")), F.array(*map(F.lit, words)))
-        aggs.append(F.max(F.struct(score.alias("score"), (-F.col(order)).alias("o"), F.col("page_id").alias("page_id"))).alias(topic))
-    best = pages.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(t).alias("topic"), F.col(f"`{t}`.page_id").alias("page_id"), F.col(f"`{t}`.score").alias("score")) for t in topics])
-    return best.select(F.inline(rows))
+def best_pages(pages: DataFrame, topics: DataFrame, order: str = "pos") -> DataFrame:
+    """topic, page_id, score: the best page of each topic (topic, keyword: a row each; one given twice counts twice), the earlier one of equals. One pass
+    over the pages, whatever the number of keywords."""
+    ids = topics.select(F.xxhash64("topic").alias("id"), "topic", F.col("keyword").alias("pattern"))
+    words = F.size(F.split(F.coalesce("content", F.lit("")), r"(?U)\s+"))
+    best = best_texts(pages.select("page_id", order, "title", "content"), "page_id", order, {"title": 5, "content": 1}, words, ids)
+    return best.join(ids.select("id", "topic").distinct(), "id").select("topic", "page_id", "score")
 
 
 def winner(first: Column, second: Column, a: str, b: str) -> Column:

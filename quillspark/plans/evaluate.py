@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import CITED_EXTENSIONS, NEVER_CITED_DIRS, NEVER_CITED_FILES, cited_paths
 from ..functions.values import percent
 from ..operators import evaluation as ev
+from ..operators.patterns import pattern_counts as pattern_table
 from ..operators.relational import zero_filled
 from ..sources.tables import table
 from .ingest import FILES_SQL, _literal, files, scanned
@@ -54,7 +55,8 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def core_file_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ev.coverage(table(spark, sf_dir, "documents").select(F.col("text").alias("content")), CORE)
+    core = spark.createDataFrame(list(enumerate(CORE)), "place int, pattern string")
+    out = ev.coverage(table(spark, sf_dir, "documents").select(F.col("text").alias("content")), core)
     return out.select(F.array_join("covered", "|").alias("covered"), F.array_join("missing", "|").alias("missing"), F.round("coverage", 4).alias("coverage"))
 
 
@@ -78,7 +80,16 @@ def corpus_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_page_for_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("Page of "), F.col("lang")).alias("title"), F.col("text").alias("content"))
-    return ev.best_pages(pages, TOPICS).select("topic", "page_id", F.round("score", 4).alias("score"))
+    topics = spark.createDataFrame([(t, w) for t, words in TOPICS.items() for w in words], "topic string, keyword string")
+    return ev.best_pages(pages, topics).select("topic", "page_id", F.round("score", 4).alias("score"))
+
+
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each longer word of the conversations: documents that hold it, within words too, and how often."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("pattern")).where(F.length("pattern") >= 5).distinct()
+    named = words.select(F.xxhash64("pattern").alias("id"), "pattern")
+    found = pattern_table(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], named)
+    return found.groupBy("id").agg(F.count("*").alias("documents"), F.sum("n_text").alias("occurrences")).join(named, "id").select("pattern", "documents", "occurrences")
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +143,7 @@ QUERIES = {
     "size_stats": size_stats,
     "corpus_truncation": corpus_truncation,
     "best_page_for_topic": best_page_for_topic,
+    "pattern_counts": pattern_counts,
     "qa_scores": qa_scores,
     "qa_scores_by_source": qa_scores_by_source,
     "pairwise_tally": pairwise_tally,
@@ -162,6 +174,8 @@ SQL = {
     "corpus_truncation": f"""WITH f AS (SELECT conv_id, string_agg('# ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text) AS t FROM conversations WHERE text <> '' GROUP BY ALL)
         SELECT conv_id, sha256(CASE WHEN length(t) > {CORPUS_LIMIT} THEN left(t, {CORPUS_LIMIT}) || chr(10) || chr(10) || '[wiki content truncated for evaluation]' ELSE t END) AS corpus_hash, length(t) > {CORPUS_LIMIT} AS truncated FROM f""",
     "best_page_for_topic": " UNION ALL ".join(_topic_sql(t, w) for t, w in TOPICS.items()),
+    "pattern_counts": r"""WITH w AS (SELECT DISTINCT p FROM (SELECT unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS p FROM conversations) WHERE length(p) >= 5)
+        SELECT p AS pattern, count(*) AS documents, sum((strlen(text) - strlen(replace(text, p, ''))) // strlen(p))::BIGINT AS occurrences FROM w JOIN documents ON contains(text, p) GROUP BY p""",
     "qa_scores": f"WITH {_ANSWERED} SELECT {_SCORES}, printf('%.0f%%', avg(p) * 100) AS score_text FROM pts",
     "qa_scores_by_source": f"WITH {_ANSWERED} SELECT source, {_SCORES} FROM pts GROUP BY source",
     "pairwise_tally": """WITH j AS (SELECT CASE quality WHEN 1 THEN 'base' ELSE 'next' END AS one, CASE WHEN doc_id % 7 = 0 THEN 'tie' WHEN toxic = 1 THEN 'next' ELSE 'base' END AS two FROM labels), w AS (SELECT CASE WHEN one = two THEN one ELSE 'tie' END AS winner FROM j)

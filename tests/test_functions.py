@@ -69,11 +69,6 @@ def test_without_title(spark, content, title, want):
     assert one(spark, content, text.without_title(F.col("x"), F.lit(title))) == want
 
 
-def test_keyword_score(spark):
-    got = one(spark, "a.b A.B axb c", text.keyword_score(F.lit("The a.b"), F.col("x"), F.array(F.lit("a.b"))))
-    assert got == pytest.approx((2 + 5) * 1000 / 4)
-
-
 def test_diagram_functions(spark):
     code = 'graph TD\n%% note\n  A[ "My Node" ]\n'
     assert md.signature(code) == one(spark, code, text.diagram_signature(F.col("x"))) == "graph td a[my node]"

@@ -153,8 +153,6 @@ def test_evaluation(spark):
     assert ev.citations(pages.limit(0), files).first().validity is None
     s = ev.sizes(pages).first()
     assert (s.sections, s.pages, s.completed_pages, s.failed_pages, s.total_words, s.avg_words_per_page) == (1, 3, 2, 1, 5, 3)
-    assert ev.coverage(pages, []).first().coverage == 1.0
-    assert ev.coverage(pages, ["src/a.ts", "zz"]).first().missing == ["zz"]
     w = spark.range(1).select(ev.winner(F.lit("A"), F.lit("B"), "x", "y").alias("a"), ev.winner(F.lit("A"), F.lit("A"), "x", "y").alias("b"), ev.winner(F.lit(None).cast("string"), F.lit("A"), "x", "y").alias("c")).first()
     assert tuple(w) == ("x", "tie", "tie")
     assert ev.padded(pages, ["title", "status"])[1] == "a      completed"
