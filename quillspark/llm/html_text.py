@@ -47,6 +47,7 @@ PLACES = frozenset(("article", "main"))
 PLACE_SHARE = 0.3
 #: Share of the page's density that articles of a page without another core must reach.
 TOGETHER = 0.5
+HEADINGS, LISTS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("ul ol dl".split())
 #: Elements whose children make up a text: the core is the nearest of them.
 HOLDERS = frozenset("article main div section td center table form".split())
 #: Elements that are a block of text of their own: a word in their class names a part only as the whole class.
@@ -69,10 +70,13 @@ _ENDS = {
     "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
 }
 _WORD = re.compile(r"[a-z0-9]+")
+#: Numbers of characters that are none.
+_LONG_NUMBER = re.compile("&#(?:[xX][0-9a-fA-F]{20,}|[0-9]{20,});?")
+_SHORT_COMMENT, _COMMENT_END = re.compile("<!---?>"), re.compile("--!?>")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "skip", "names", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "skip", "names", "chars", "link_chars", "tags", "link_tags", "density", "total", "holds_block")
 
     def __init__(self, tag: str, up: Node | None, skip: bool = False):
         self.tag, self.up, self.skip = tag, up, skip
@@ -130,11 +134,45 @@ def _skip_named(root: Node) -> None:
 
 
 class _Tree(HTMLParser):
+    """The tree of a page. Marked sections and other declarations are comments up to the next `>`; a comment, a declaration
+    or a tag that the page's end cuts off is no text."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.ending = False
+        #: Open elements by tag: below each open place, and in all.
+        self.scopes: list[dict[str, int]] = [{}]
+        self.open: dict[str, int] = {}
+
+    def close(self) -> None:
+        self.ending = True
+        super().close()
+
+    def _or_end(self, end: int) -> int:
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if m := _SHORT_COMMENT.match(self.rawdata, i):
+            return m.end()
+        m = _COMMENT_END.search(self.rawdata, i + 4)
+        return self._or_end(m.end() if m else -1)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._or_end(self.rawdata.find(">", i + 2) + 1 or -1)
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_end(self.rawdata.find(">", i + 2) + 1 or -1)
+
+    def parse_starttag(self, i: int) -> int:
+        return self._or_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._or_end(super().parse_endtag(i))
 
     def _open_among(self, wanted: tuple[str, ...] | frozenset[str], stop: tuple[str, ...] | frozenset[str]) -> Node | None:
+        if not any(self.open.get(t) for t in wanted):
+            return None
         n = self.at
         while n.up is not None and n.tag not in stop:
             if n.tag in wanted:
@@ -142,21 +180,37 @@ class _Tree(HTMLParser):
             n = n.up
         return None
 
+    def _down(self, node: Node) -> None:
+        self.at = node
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        if node.tag in PLACES:
+            self.scopes.append({})
+        self.scopes[-1][node.tag] = self.scopes[-1].get(node.tag, 0) + 1
+
+    def _up(self, node: Node) -> None:
+        while self.at is not node:
+            tag = self.at.tag
+            self.open[tag] -= 1
+            self.scopes[-1][tag] -= 1
+            if tag in PLACES:
+                self.scopes.pop()
+            self.at = self.at.up
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
         if tag in _CLOSES_P and (p := self._open_among(("p",), _HOLDS_NO_P)):
-            self.at = p.up
+            self._up(p.up)
         if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and self.at.tag[0] == "h" and self.at.tag[1:].isdigit():
-            self.at = self.at.up
+            self._up(self.at.up)
         if tag in _ENDS and (n := self._open_among(*_ENDS[tag])):
-            self.at = n.up
+            self._up(n.up)
         node = Node(tag, self.at, self.at.skip or tag in NEVER or bool(attrs) and self._unwanted(tag, attrs) or tag == "header" and not self._open_among(PLACES, ()))
         if (attrs or tag == "form") and not node.skip:
             node.names = _names(tag, attrs)
         self.at.items.append(node)
         if tag not in VOID:
-            self.at = node
+            self._down(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing on other elements than void ones
@@ -168,13 +222,13 @@ class _Tree(HTMLParser):
         return False
 
     def handle_endtag(self, tag: str) -> None:
+        """Ends the nearest open element of the tag, with what is open in it; inline tags end nothing beyond their place."""
+        if not (self.open if tag in BLOCK else self.scopes[-1]).get(tag):
+            return
         n = self.at
-        while n.up is not None and n.tag != tag:
-            if n.tag in PLACES and tag not in BLOCK:
-                return
+        while n.tag != tag:
             n = n.up
-        if n.up is not None:
-            self.at = n.up
+        self._up(n.up)
 
     def handle_data(self, data: str) -> None:
         if not self.at.skip:
@@ -198,11 +252,12 @@ def _measure(root: Node, own_links: float) -> list[Node]:
     for n in order:
         link = n.tag == "a"
         n.chars = n.link_chars = n.tags = n.link_tags = 0
-        n.total = 0.0
+        n.total, n.holds_block = 0.0, False
         for x in n.items:
             if type(x) is str:
                 n.chars += len(x) if not x.isspace() else 0
             elif not x.skip:
+                n.holds_block = n.holds_block or x.holds_block or x.tag in BLOCK
                 n.chars += x.chars
                 n.link_chars += x.link_chars
                 n.tags += x.tags + 1
@@ -229,25 +284,34 @@ def _page_links(root: Node) -> float:
     return links / max(1, chars)
 
 
+def _counted(items: list[Node | str]) -> list[int]:
+    """Characters, link characters, tags and link tags of text and inline elements side by side."""
+    return [sum(x) for x in zip(*((0 if x.isspace() else len(x), 0, 0, 0) if type(x) is str else (x.chars, x.link_chars, x.tags + 1, x.link_tags + (x.tag == "a")) for x in items), strict=True)]
+
+
 def _dense(top: Node, core: Node, threshold: float, own_links: float) -> list[Node | str | None]:
-    """The core and all parts below top that reach the threshold, in page order, None between them."""
+    """The core and all parts below top that reach the threshold, in page order, None between them; with them the thinner
+    texts between them, headings right before them and lists right after them, unless they are mostly links."""
     path, n = set(), core
     while n is not top:
         n = n.up
         path.add(n)
-    out: list[Node | str | None] = []
-    todo: list[Node | list[Node | str]] = [top]
+    found: list[tuple[str, list[Node | str]]] = []  # the kind of each text: kept, or what it is in
+    todo: list[tuple[Node | list[Node | str], str]] = [(top, "text")]
     while todo:
-        n = todo.pop()
+        n, kind = todo.pop()
         if type(n) is list:  # text and inline elements side by side
-            c = [sum(x) for x in zip(*((0 if x.isspace() else len(x), 0, 0, 0) if type(x) is str else (x.chars, x.link_chars, x.tags + 1, x.link_tags + (x.tag == "a")) for x in n), strict=True)]
+            c = _counted(n)
             if c[0] and _density(*c, own_links) >= threshold:
-                out += [None, *n, None]
-            else:
-                todo += [x for x in reversed(n) if type(x) is Node]
+                found.append(("kept", n))
+            elif any(type(x) is Node and x.holds_block for x in n):
+                todo += [(x if type(x) is Node else [x], kind) for x in reversed(n)]
+            elif c[0]:
+                found.append(("links" if 2 * c[1] >= c[0] else kind, n))
         elif n is core or n not in path and n.density >= threshold:
-            out += [None, n, None]
+            found.append(("kept", [n]))
         else:
+            kind = "heading" if n.tag in HEADINGS else "list" if n.tag in LISTS else kind
             runs: list[Node | list[Node | str]] = []
             for x in n.items:
                 if type(x) is Node and (x.skip or x is core or x in path or x.tag in BLOCK):
@@ -256,7 +320,18 @@ def _dense(top: Node, core: Node, threshold: float, own_links: float) -> list[No
                     runs[-1].append(x)
                 else:
                     runs.append([x])
-            todo += reversed(runs)
+            todo += [(x, kind) for x in reversed(runs)]
+    kept = [i for i, (kind, _) in enumerate(found) if kind == "kept"]
+    if not kept:
+        return []
+    first, last = kept[0], kept[-1]
+    while first and found[first - 1][0] == "heading":
+        first -= 1
+    while last + 1 < len(found) and found[last + 1][0] == "list":
+        last += 1
+    out: list[Node | str | None] = []
+    for kind, n in found[first : last + 1]:
+        out += [] if kind == "links" else [None, *n, None]
     return out
 
 
@@ -342,7 +417,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(_LONG_NUMBER.sub("\ufffd", html))
     tree.close()
     _skip_named(tree.root)
     return "\n".join(blocks(article(tree.root)))

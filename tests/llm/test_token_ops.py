@@ -373,3 +373,51 @@ def test_op2(spark):
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(odd).collect()] == [(None, "", 0), (1, "", 0), (1, "", 0)]
     assert html_text.extract(odd.limit(0)).count() == 0
+
+
+BROKEN = ["<", ">", "</", "<!", "<!-", "<!--", "-->", "--!>", "<![", "]]>", "<![CDATA[", "<!doctype html", "<?", "?>", "&#", "&#x", "&#" + "9" * 5000, "&amp", "&", ";", '"', "'", "=", "<a href=\"x", "<p>", "</p>", "<div class='ad'>", "</div>", "<span>", "</i>", "<script>", "</script", "<style>", "<li>", "<table>", "<td>", "<article>", "</article>", "<main>", "<h1>", "</h1>", "<br/>", "<x:y-z>", "</>", "<1>", "\x00", "퟿", "é", " text of words, ", "\n", "<form>", "<template>", "<math>", "<body>", "</body>", "</html>"]
+
+
+def test_no_broken_page_fails():
+    rnd = random.Random(8)
+    for _ in range(10_000):
+        got = html_text.main_text("".join(rnd.choice(BROKEN) for _ in range(rnd.randint(1, 25))))
+        assert isinstance(got, str) and all(x == " ".join(x.split()) and x for x in got.split("\n") if got)
+
+
+def test_cut_off_markup_is_no_text():
+    for tail in ("<!-- never closed text", '<a href="x', "<!", "<![", "<![foo[ x", "<?php x", "</", "<p class='x"):
+        assert html_text.main_text("<p>a</p>" + tail) == "a", tail
+    assert html_text.main_text("<p>a</p><![foo[ x]]>tail") == "a\ntail" and html_text.main_text("<p>x<!--> y --> z</p>") == "x y --> z"
+
+
+PARTS = "".join(f"<p>Paragraph {i} has a good number of words, and commas, so that it reads like the text of an article, does it not?</p>" for i in range(4))
+LINES = [f"Paragraph {i} has a good number of words, and commas, so that it reads like the text of an article, does it not?" for i in range(4)]
+MENU = "<ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<h1>Head</h1><div>{PARTS}</div>", ["Head", *LINES]),
+        (f"<div><h1>Head</h1></div><div>{PARTS}</div>", ["Head", *LINES]),
+        (f"<main><h1>Head</h1><article>{PARTS}</article></main>", ["Head", *LINES]),
+        (f"<div>{PARTS}</div><ul><li>one <b>bold</b> thing</li><li>two</li></ul>", [*LINES, "one bold thing", "two"]),
+        (f"{MENU}<h1>Head</h1><h2>Sub</h2><div>{PARTS}</div>{MENU}<p>Imprint</p>", ["Head", "Sub", *LINES]),
+        (f"<span><h1>Head</h1><div>{PARTS}</div></span>", ["Head", *LINES]),
+    ],
+)
+def test_headings_and_lists_beside_the_core(html, want):
+    assert html_text.main_text(html).split("\n") == want
+
+
+def test_time_is_linear_in_stray_tags():
+    import time
+
+    def seconds(n: int) -> float:
+        began = time.perf_counter()
+        for start, end in (("<span>", "</i>"), ("<i><article><span>", "</i>"), ("<span>", "<hr>"), ("<p><b>", "</p></b>")):
+            html_text.main_text(start * n + "x" + end * n)
+        return time.perf_counter() - began
+
+    assert seconds(12_000) < 24 * max(0.05, seconds(1_500))
