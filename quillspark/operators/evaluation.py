@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import cited_paths
 from ..functions.text import word_count
+from ..streaming.calls import called
 from .patterns import best_texts, covered
 from .relational import valid_citations
 
@@ -124,15 +125,8 @@ def padded(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return ["  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in [list(columns), *rows]]
 
 
-def judged(pages: DataFrame, ask: Callable[[str], str], attempts: int = 3) -> list[tuple]:
-    """Answers of an injected judge for a few prompts, tried again when it fails; the driver calls it, in order."""
-    out = []
-    for row in pages.select("id", "prompt").collect():
-        for n in range(attempts):
-            try:
-                out.append((row.id, ask(row.prompt)))
-                break
-            except RuntimeError:
-                if n == attempts - 1:
-                    out.append((row.id, None))
-    return out
+def judged(prompts: DataFrame, ask: Callable[[str], str], folder: str, attempts: int = 3, at_once: int = 4) -> DataFrame:
+    """id, answer of an injected judge for prompts (id, prompt), null where it failed each time; the executors call it, and
+    the answers are written to the folder."""
+    done = called(prompts.select("id", "prompt"), lambda item: {"text": ask(str(item["prompt"]))}, folder, at_once, retries=attempts - 1, wait=lambda n: 0.0, retry=lambda m: True)
+    return done.select("id", F.col("text").alias("answer"))

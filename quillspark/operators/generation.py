@@ -1,6 +1,6 @@
 """The dataflows around text generation: full runs, incremental syncs and resumed runs.
 
-Generation itself is an injected function (prompt, options) -> text; a registry names it by model. What to generate, what
+Generation itself is an injected function (prompt, options) -> text, or text and cost; a registry names it by model. What to generate, what
 to keep of it and how it is stored are DataFrame plans.
 """
 
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions.prompts import NO_CHANGES
 from ..functions.text import without_title
-from ..functions.values import DEFAULT_MODEL, PRICES
+from ..functions.values import DEFAULT_MODEL, PRICES, RETRY_TEXTS
+from ..streaming.calls import called
+from ..streaming.transitions import PAGE_SECONDS
 from .links import relink_stored
 from .relational import overlapping
 from .snapshots import Store, delete_paths, update_by_id
 
-Generator = Callable[[str, Mapping[str, object]], str]
+Generator = Callable[[str, Mapping[str, object]], str | Mapping[str, object]]
 _generators: dict[str, Generator] = {}
 UNFINISHED = ("failed", "pending", "generating")
 
@@ -45,14 +47,18 @@ def cleaned(pages: DataFrame, files: DataFrame, repos: DataFrame, repo: str = "r
     return relink_stored(out.withColumn("content", F.col("_d.content")).drop("_d"), files, repos, repo, key)
 
 
-def generate_pages(pages: DataFrame, model: str | None, at_once: int = 2) -> DataFrame:
-    """page_id, content, status, error_message of pages with prompts. The driver calls the generator: a wiki has a few dozen pages."""
-    from ..streaming.jobs import bounded_map
-
+def generate_pages(pages: DataFrame, model: str | None, folder: str, at_once: int = 2, spend: float | None = None) -> DataFrame:
+    """page_id, content, status, error_message of pages with prompts, written to the folder. The executors call the
+    generator; pages that a spend limit leaves out are pending still."""
     run = generator(model)
-    done = bounded_map([r.asDict() for r in pages.select("page_id", "prompt").collect()], lambda r: run(r["prompt"], {"page_id": r["page_id"]}), at_once)
-    rows = [(r["page_id"], text, "failed" if error else "completed", error) for r, text, error in done]
-    return pages.sparkSession.createDataFrame(rows, "page_id string, content string, status string, error_message string")
+
+    def call(item: Mapping[str, object]) -> Mapping[str, object]:
+        got = run(str(item["prompt"]), {"page_id": item["page_id"]})
+        return {"text": got} if isinstance(got, str) else got
+
+    again = lambda message: any(t in message for t in RETRY_TEXTS)
+    done = called(pages.select("page_id", "prompt"), call, folder, at_once, spend, PAGE_SECONDS, retry=again)
+    return done.select("page_id", F.col("text").alias("content"), F.when(F.col("status") == "skipped", "pending").otherwise(F.col("status")).alias("status"), F.col("error").alias("error_message"))
 
 
 def to_resume(pages: DataFrame) -> DataFrame:

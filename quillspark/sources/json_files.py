@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .event_files import growing_lines
+from .text_files import write_text_files
+
 RUN = "label string, repo string, sha string, model string, contextMode string, durationMs bigint, totals struct<promptTokens:bigint,completionTokens:bigint,costUsd:double>, pageStats struct<total:int,completed:int,failed:int>"
 PAGES = "pageId string, title string, section string, status string, content string"
 OUTLINE = "title string, description string, sections array<struct<id:string,title:string,description:string,pages:array<struct<id:string,title:string,description:string,filePaths:array<string>,diagrams:array<string>>>>>"
@@ -28,8 +31,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return events(spark.read.text(path))
 
 
-def stream_events(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark.readStream.schema("value string").text(folder))
+def stream_events(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
+    """Events of files that grow while they are read: each whole line once, with its file and first byte."""
+    return events(growing_lines(spark, folder, suffix))
 
 
 def message_text(e: Column) -> Column:
@@ -51,10 +55,5 @@ def page_files(pages: DataFrame) -> DataFrame:
 
 
 def write_page_files(pages: DataFrame, folder: str) -> None:
-    """The files of page_files() in the folder, one after the other: a run has some dozen pages."""
-    hadoop = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-    for r in page_files(pages).toLocalIterator():
-        path = hadoop.Path(f"{folder.rstrip('/')}/{r['name']}")
-        out = path.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(r["text"].encode()))
-        out.close()
+    """The files of page_files() in the folder, written by the tasks and put in place together."""
+    write_text_files(page_files(pages), folder)

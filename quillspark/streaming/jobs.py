@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,21 +126,5 @@ class Worker:
         return n
 
 
-def bounded_map(items: list, f: Callable, at_once: int = 2, retries: int = 3, wait: Callable[[int], float] = lambda n: 2**n * 2.0, retry: Callable[[str], bool] = lambda m: False) -> list[tuple]:
-    """(item, result, error) of calls to an external function, `at_once` at a time (1 to 5); one failure stays one item's."""
-
-    def call(item):
-        for n in range(retries + 1):
-            try:
-                return item, f(item), None
-            except Exception as e:
-                if n == retries or not retry(str(e)):
-                    return item, None, str(e)
-                time.sleep(wait(n))
-
-    with ThreadPoolExecutor(max(1, min(5, at_once))) as pool:
-        return list(pool.map(call, items))
-
-
 def file_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)

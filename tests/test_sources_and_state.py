@@ -128,10 +128,10 @@ def test_folded_calls(spark):
     assert rows["c"].is_error and rows["c"].error == "no"
 
 
-def test_generation(spark):
+def test_generation(spark, tmp_path):
     generation.register("claude-sonnet-4-6", lambda prompt, options: f"{len(prompt)} characters asked for this page.")
     pages = spark.createDataFrame([("p", "abc"), ("q", "abcd")], "page_id string, prompt string")
-    made = {r.page_id: r for r in generation.generate_pages(pages, None).collect()}
+    made = {r.page_id: r for r in generation.generate_pages(pages, None, str(tmp_path / "made")).collect()}
     assert made["q"].status == "completed" and made["q"].content.endswith("4 characters asked for this page.")
     raw = spark.createDataFrame([("p", 1, "T", "# T\n\n## Code first\n\n[u](/x/a.ts)")], "page_id string, repo_id long, title string, content string")
     files, repos = spark.createDataFrame([(1, "a.ts")], "repo_id long, path string"), spark.createDataFrame([(1, "https://github.com/o/r", None)], "repo_id long, url string, default_branch string")
@@ -144,7 +144,7 @@ def test_generation(spark):
     assert {r.page_id: r.content for r in generation.synced(stored, updates).collect()} == {"p": "old", "q": "new", "r": "old"}
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, tmp_path):
     pages = spark.createDataFrame([("a", "S", "completed", "`src/a.ts` and `fake.ts`"), ("b", None, "failed", None), ("c", "S", "completed", "x y")], "title string, section string, status string, content string")
     files = spark.createDataFrame([("src/a.ts",), ("lib/b.ts",)], "path string")
     c = ev.citations(pages, files).first()
@@ -155,6 +155,9 @@ def test_evaluation(spark):
     assert (s.sections, s.pages, s.completed_pages, s.failed_pages, s.total_words, s.avg_words_per_page) == (1, 3, 2, 1, 5, 3)
     w = spark.range(1).select(ev.winner(F.lit("A"), F.lit("B"), "x", "y").alias("a"), ev.winner(F.lit("A"), F.lit("A"), "x", "y").alias("b"), ev.winner(F.lit(None).cast("string"), F.lit("A"), "x", "y").alias("c")).first()
     assert tuple(w) == ("x", "tie", "tie")
+    prompts = spark.createDataFrame([(i, "broken" if i == 2 else f"q{i}") for i in range(5)], "id long, prompt string")
+    answers = ev.judged(prompts, lambda p: {"q": "A"}[p[0]] + p[1:], str(tmp_path / "answers"))
+    assert {r.id: r.answer for r in answers.collect()} == {0: "A0", 1: "A1", 2: None, 3: "A3", 4: "A4"}
     assert ev.padded(pages, ["title", "status"])[1] == "a      completed"
 
 
@@ -294,5 +297,9 @@ def test_json_files(spark, tmp_path):
     assert kinds(j.read_events(spark, str(tmp_path / "in"))) == ["item.completed", "result"]
     q = j.stream_events(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("json_events").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
+    with open(tmp_path / "in" / "a.jsonl", "a") as f:  # the last line ends only now
+        f.write("\n")
+    seen = kinds(spark.table("json_events"))
+    q.processAllAvailable()
     q.stop()
-    assert kinds(spark.table("json_events")) == ["item.completed", "result"]
+    assert seen == ["result"] and kinds(spark.table("json_events")) == ["item.completed", "result"]
