@@ -26,15 +26,6 @@ def is_minified(content: Column) -> Column:
     return F.length(content) / F.size(F.split(content, "\n")) > MINIFIED_LINE
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 bytes as text, with U+FFFD for what is not UTF-8."""
-    return F.call_function("make_valid_utf8", content.cast("string"))
-
-
-def is_binary(content: Column, sniff: int = 8192) -> Column:
-    return F.call_function("contains", F.substring(content, 1, sniff), F.expr("X'00'"))
-
-
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import cited_paths
-from ..functions.text import word_count
+from ..functions.text import clipped, word_count
+from ..functions.values import cost
 from ..streaming.calls import called
 from .patterns import best_texts, covered
 from .relational import valid_citations
@@ -77,6 +78,50 @@ def corpus(pages: DataFrame, key: Sequence[str], order: str, limit: int) -> Data
     return full.select(*key, F.when(over, F.concat(F.left("full", F.lit(limit)), F.lit("\n\n[wiki content truncated for evaluation]"))).otherwise(F.col("full")).alias("corpus"), over.alias("truncated"))
 
 
+#: Characters of a page that a judge of two pages sees.
+PAGE_CLIP = 40_000
+
+
+def pair_prompts(pairs: DataFrame) -> DataFrame:
+    """id, prompt: for each pair of pages (topic, first, second) a prompt in both orders, `<topic>/1` and `<topic>/2`; long
+    pages are cut, with a note."""
+    note = "\n\n[page truncated]"
+    page = lambda c: clipped(F.coalesce(c, F.lit("")), PAGE_CLIP, note)
+    one = lambda n, a, b: F.struct(F.concat("topic", F.lit(f"/{n}")).alias("id"), F.concat(F.lit("Which page explains the topic better?\n\nTopic: "), "topic", F.lit("\n\n## Page A\n\n"), page(a), F.lit("\n\n## Page B\n\n"), page(b), F.lit("\n\nAnswer A, B or tie.")).alias("prompt"))
+    return pairs.select(F.inline(F.array(one(1, F.col("first"), F.col("second")), one(2, F.col("second"), F.col("first")))))
+
+
+def run_record(pages: DataFrame, keys: Mapping[str, Column], started: Column, ended: Column) -> DataFrame:
+    """One row, the record of a run in the form of RUN: its labels, how long it took, tokens and cost of its pages, and how
+    many pages there are, are finished, have failed."""
+    sums = pages.agg(
+        F.count("*").cast("int").alias("total"),
+        F.count_if(F.col("status") == "completed").cast("int").alias("completed"),
+        F.count_if(F.col("status") == "failed").cast("int").alias("failed"),
+        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).cast("long").alias("p"),
+        F.coalesce(F.sum("completion_tokens"), F.lit(0)).cast("long").alias("c"),
+        F.coalesce(F.sum(cost(F.col("model"), F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0)))), F.lit(0.0)).alias("usd"),
+    )
+    return sums.select(
+        *[keys.get(k, F.lit(None)).cast("string").alias(k) for k in ("label", "repo", "sha", "model", "contextMode")],
+        (F.unix_millis(ended) - F.unix_millis(started)).alias("durationMs"),
+        F.struct(F.col("p").alias("promptTokens"), F.col("c").alias("completionTokens"), F.col("usd").alias("costUsd")).alias("totals"),
+        F.struct("total", "completed", "failed").alias("pageStats"),
+    )
+
+
+def score_record(label: str, pages: DataFrame, files: DataFrame, core: DataFrame, qa: DataFrame | None = None) -> DataFrame:
+    """One row with all scores of a run: citations, coverage of core files, sizes, and those of the questions if there are
+    any (scores(), without groups)."""
+    as_one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    parts = [as_one(citations(pages, files), "citation"), as_one(coverage(pages, core), "coverage"), as_one(sizes(pages), "size")]
+    parts.append(as_one(qa, "qa") if qa is not None else pages.sparkSession.range(1).select(F.lit(None).cast("string").alias("qa")))
+    out = pages.sparkSession.range(1).select(F.lit(label).alias("label"))
+    for part in parts:  # one row each
+        out = out.join(part)
+    return out
+
+
 def answered(questions: DataFrame, answers: DataFrame, grades: DataFrame) -> DataFrame:
     """Questions with answer, verdict and reason; of several answers or grades of a question the last one counts."""
     last = lambda df: df.groupBy("id").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("id", "pos")]), "pos").alias("r")).select("id", "r.*")

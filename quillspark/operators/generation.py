@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.prompts import NO_CHANGES
+from ..functions.paths import language
+from ..functions.prompts import NO_CHANGES, outline_prompt
 from ..functions.text import without_title
 from ..functions.values import DEFAULT_MODEL, PRICES, RETRY_TEXTS
 from ..streaming.calls import called
 from ..streaming.transitions import PAGE_SECONDS
 from .links import relink_stored
+from .outline import tree_lines
 from .relational import overlapping
 from .snapshots import Store, delete_paths, update_by_id
 
@@ -40,6 +42,18 @@ def generator(model: str | None) -> Generator:
     return _generators[name]
 
 
+def outline_prompts(files: DataFrame, repos: DataFrame, key: str = "repo_id") -> DataFrame:
+    """key, prompt: what a generator is asked for the outline of each repository, from its scanned files (key, path, pos: the
+    scan's order) and the repositories (key, name, readme: null if there is none). Those without files have an empty tree."""
+    tree = tree_lines(files, [key]).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("tree"))
+    spoken = files.select(key, language(F.col("path")).alias("l"), "pos").where("l IS NOT NULL").groupBy(key, "l").agg(F.min("pos").alias("first"))
+    languages = spoken.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "l"))), lambda x: x["l"]).alias("languages"))
+    counts = files.groupBy(key).agg(F.count("*").alias("n"))
+    own = repos.select(key, "name", "readme").join(tree, key, "left").join(languages, key, "left").join(counts, key, "left")
+    none = F.array().cast("array<string>")
+    return own.select(key, outline_prompt(F.col("name"), F.coalesce("tree", F.lit("")), F.col("readme"), F.coalesce("n", F.lit(0)), F.coalesce("languages", none)).alias("prompt"))
+
+
 def cleaned(pages: DataFrame, files: DataFrame, repos: DataFrame, repo: str = "repo_id", key: Sequence[str] = ("page_id",)) -> DataFrame:
     """Generated content put right: title heading out, policy headings out, two diagrams at most, links to files."""
     out = pages.withColumn("content", md.without_policy_headings_column(without_title(F.col("content"), F.col("title"))))

@@ -113,15 +113,15 @@ def normalised(pages: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return out.select(*[c for c in pages.columns if c not in ("filePaths", "diagrams")], "file_paths", right.alias("diagrams"))
 
 
-def tree_lines(files: DataFrame) -> DataFrame:
-    """place, line: the rendered tree, folders before files, each in the order of a dictionary, two spaces a level."""
+def tree_lines(files: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """key, place, line: the rendered tree of each key, folders before files, each in the order of a dictionary, two spaces a level."""
     parts = F.split("path", "/")
-    prefixes = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.slice(parts, F.lit(1), n).alias("p"), (n == F.size(parts)).alias("file")))).alias("x"))
-    nodes = prefixes.groupBy(F.col("x.p").alias("p")).agg(F.min("x.file").alias("file"))
+    prefixes = files.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.slice(parts, F.lit(1), n).alias("p"), (n == F.size(parts)).alias("file")))).alias("x"))
+    nodes = prefixes.groupBy(*key, F.col("x.p").alias("p")).agg(F.min("x.file").alias("file"))
     depth = F.size("p")
-    key = F.transform("p", lambda name, i: F.struct(((i == depth - 1) & F.col("file")).alias("f"), F.collate(name, "UNICODE").alias("c"), name.alias("n")))
+    place = F.transform("p", lambda name, i: F.struct(((i == depth - 1) & F.col("file")).alias("f"), F.collate(name, "UNICODE").alias("c"), name.alias("n")))
     line = F.concat(F.repeat(F.lit("  "), depth - 1), F.element_at("p", -1), F.when(F.col("file"), "").otherwise("/"))
-    return nodes.select(key.alias("place"), line.alias("line"))
+    return nodes.select(*key, place.alias("place"), line.alias("line"))
 
 
 def toc(pages: DataFrame, key: str, content: str = "content") -> DataFrame:

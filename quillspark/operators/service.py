@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import repo_address
-from ..functions.values import PRICES, parallel_limit, resolved_model
+from ..functions.values import DEFAULT_MODEL, PARALLEL_DEFAULT, PRICES, parallel_limit, resolved_model
 from ..sources.json_files import OUTLINE
 from .generation import UNFINISHED
 from .outline import flat_pages, plain_slug, resolve_slug, slug_entry
@@ -123,6 +123,12 @@ def settings(store: Store) -> dict[str, object]:
     return {"generationModel": got.m, "parallelPageLimit": got.p, "showRepoOwner": raw.get("showRepoOwner", "true").strip().lower() != "false"}
 
 
+def settings_view(store: Store) -> dict[str, object]:
+    """What the settings page shows: values in effect, defaults, and the models with their prices."""
+    models = [{"id": k, "input": a, "output": b} for k, (a, b) in PRICES.items()]
+    return {"current": settings(store), "defaults": {"generationModel": DEFAULT_MODEL, "parallelPageLimit": PARALLEL_DEFAULT, "showRepoOwner": True}, "generationModels": models}
+
+
 def active_jobs(store: Store) -> DataFrame:
     repos = store.read("repos").select(F.col("id").alias("repo_id"), F.concat("owner", F.lit("/"), "name").alias("repo_full_name"))
     return store.read("jobs").where(F.col("status").isin(*ACTIVE)).join(repos, "repo_id", "left").orderBy("created_at", "id")

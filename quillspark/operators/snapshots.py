@@ -183,8 +183,19 @@ def cancel(jobs: DataFrame, job_id: int | None, now: Column) -> DataFrame:
 
 
 def safe_to_delete(path: str | None, root: str) -> bool:
-    """Whether a folder lies below the root, dots resolved."""
-    return bool(path) and os.path.abspath(path).startswith(os.path.abspath(root) + "/")
+    """Whether a folder lies below the root, dots and links resolved."""
+    return bool(path) and os.path.realpath(path).startswith(os.path.realpath(root) + "/")
+
+
+def migrated(name: str, found: DataFrame) -> DataFrame:
+    """A table of an older form in today's: columns that went are dropped, new ones have their defaults, and the version of a
+    wiki is its place among those of its repository by time."""
+    schema = _schema(SCHEMAS[name])
+    missing = {f.name: F.lit(DEFAULTS.get(name, {}).get(f.name)).cast(f.dataType) for f in schema if f.name not in found.columns}
+    out = found.withColumns(missing) if missing else found
+    if name == "wikis" and "version" in missing:
+        out = out.withColumn("version", F.row_number().over(Window.partitionBy("repo_id").orderBy("created_at", "id")).cast("int"))
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 class Store:
@@ -220,9 +231,7 @@ class Store:
         schema, own = _schema(SCHEMAS[name]), self._manifest()[1].get(name)
         if own is None:
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.parquet(f"{self.folder}/{name}/{own['at']}")
-        missing = {f.name: F.lit(DEFAULTS.get(name, {}).get(f.name)).cast(f.dataType) for f in schema if f.name not in found.columns}
-        return found.withColumns(missing).select(*schema.names) if missing else found.select(*schema.names)
+        return migrated(name, self.spark.read.parquet(f"{self.folder}/{name}/{own['at']}"))
 
     def commit(self, tables: Mapping[str, DataFrame]) -> None:
         """New snapshots of the tables, all at once; the ones before stay for readers, older ones go."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import paths, prompts, text, values
+from ..operators.generation import outline_prompts as outlines_asked
 from ..operators.links import relink_stored, shown
 from ..operators.outline import toc
 from ..operators.relational import longest_suffix
@@ -219,6 +220,16 @@ def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("n_nationkey", p.contains("## Page").alias("has_page"), p.contains("(none: find the relevant files)").alias("no_seeds"), p.contains("## Diagrams").alias("has_diagrams"), prompts.scale_guidance(F.col("n_nationkey") * 3).contains("3-7").alias("large"))
 
 
+def outline_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for the outlines of repositories, one a source of documents; every third has no README, sizes differ."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    ext = F.element_at(F.array(*map(F.lit, [".ts", ".py", ".md", ".txt"])), (n % 4 + 1).cast("int"))
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    few = d.where((number > 3) | (n % 97 < number * 20)).select("source", F.concat(F.when(n % 5 == 0, "").otherwise(F.concat("lang", F.lit("/"))), n.cast("string"), ext).alias("path"), n.alias("pos"))
+    repos = d.groupBy("source").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")).select("source", F.concat(F.lit("o/"), "source").alias("name"), F.when(number % 3 > 0, F.left("text", F.lit(80))).alias("readme"))
+    return outlines_asked(few, repos, "source").select("source", F.sha2("prompt", 256).alias("prompt_hash"), F.length("prompt").cast("long").alias("n_chars"))
+
+
 def escaped_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.sha2(text.html_escaped(F.col("html")), 256).alias("html_hash"))
@@ -235,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_repo_url, validators, format_display_name, page_addresses, title_headings, leaky_headings, toc_headings, app_dates, source_badges, link_rewrite, stored_links, shown_links, diagram_stats, diagram_policy, tidy_diagrams, json_extract_outline, final_messages, usage_cost, settings_effective, time_texts,
-        progress_values, page_prompts, escaped_html, retry_plan,
+        progress_values, page_prompts, outline_prompts, escaped_html, retry_plan,
     )
 }
 
@@ -302,6 +313,18 @@ SQL = {
         CASE WHEN {_TOK} = 0 THEN '' WHEN {_TOK} >= 1000000 THEN (({_TOK} + 50000) // 100000 // 10) || '.' || (({_TOK} + 50000) // 100000 % 10) || 'M' WHEN {_TOK} >= 1000 THEN (({_TOK} + 50) // 100 // 10) || '.' || (({_TOK} + 50) // 100 % 10) || 'K' ELSE {_TOK}::VARCHAR END AS tokens FROM d""",
     "progress_values": "WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS d FROM lineitem GROUP BY ALL) SELECT l_orderkey, (15 + floor(d / n * 80))::INTEGER AS full, (65 + floor(d / n * 30))::INTEGER AS sync, (5 + floor(d / n * 90))::INTEGER AS resume FROM c".replace("AS full", 'AS "full"'),
     "page_prompts": "SELECT n_nationkey, true AS has_page, n_nationkey % 2 = 1 AS no_seeds, false AS has_diagrams, n_nationkey * 3 > 50 AS large FROM nation",
+    "outline_prompts": """WITH d AS (SELECT *, regexp_extract(source, '(\\d+)$', 1)::INTEGER AS k FROM documents),
+        f AS (SELECT source, doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS folder, doc_id || (['.ts', '.py', '.md', '.txt'])[doc_id % 4 + 1] AS name, (['typescript', 'python', 'markdown', NULL])[doc_id % 4 + 1] AS l FROM d WHERE k > 3 OR doc_id % 97 < k * 20),
+        t AS (SELECT source, 0 AS top, folder, '' AS name, folder || '/' AS line FROM f WHERE folder IS NOT NULL GROUP BY ALL UNION ALL SELECT source, CASE WHEN folder IS NULL THEN 1 ELSE 0 END, coalesce(folder, ''), name, CASE WHEN folder IS NULL THEN name ELSE '  ' || name END FROM f),
+        tree AS (SELECT source, string_agg(line, chr(10) ORDER BY top, folder, name) AS tree FROM t GROUP BY source), cnt AS (SELECT source, count(*) AS n FROM f GROUP BY source),
+        lang_ AS (SELECT source, string_agg(l, ', ' ORDER BY first) AS langs FROM (SELECT source, l, min(doc_id) AS first FROM f WHERE l IS NOT NULL GROUP BY ALL) GROUP BY source),
+        r AS (SELECT source, CASE WHEN any_value(k) % 3 > 0 THEN left(arg_min(text, doc_id), 80) END AS readme FROM d GROUP BY source),
+        p AS (SELECT source, 'Plan a documentation wiki for a repository.' || chr(10) || chr(10) || '## Repository: o/' || source || chr(10) || chr(10) || '### Files (' || coalesce(n, 0) || ')' || chr(10) || '```' || chr(10) || coalesce(tree, '') || chr(10) || '```' || chr(10) || chr(10)
+            || (CASE WHEN coalesce(readme, '') <> '' THEN '### README (intent, not truth)' || chr(10) || readme || chr(10) || chr(10) ELSE '' END) || '### Languages' || chr(10) || coalesce(langs, '') || chr(10) || chr(10) || '## Rules' || chr(10)
+            || (CASE WHEN coalesce(n, 0) <= 5 THEN '- Very small repository: one Overview section of 1-2 pages, no more sections.' WHEN n <= 20 THEN '- Small repository: 1-3 sections of 1-2 pages each.' WHEN n <= 50 THEN '- 2-5 sections of 1-3 pages each.' ELSE '- 3-7 sections of 1-4 pages each.' END)
+            || chr(10) || '- The first section is Overview; its pages name entry points, not only documents.' || chr(10) || '- Answer with the JSON object of title, description and sections alone.' AS prompt
+            FROM r LEFT JOIN tree USING (source) LEFT JOIN cnt USING (source) LEFT JOIN lang_ USING (source))
+        SELECT source, sha256(prompt) AS prompt_hash, length(prompt) AS n_chars FROM p""",
     "escaped_html": "SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html_hash FROM pages",
     "retry_plan": "SELECT event_id, event_type = 'error' AS again, event_type IN ('error', 'click', 'view') AS again_wide, CASE WHEN user_id % 5 < 3 THEN (2 ** (user_id % 5) * 2000)::BIGINT END AS delay_ms FROM events",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.relational import changes_only
-from ..operators.snapshots import Store, cancel, claim, finish, oldest_pending
+from ..operators.snapshots import Store, cancel, claim, finish, oldest_pending, report
 from ..sources.json_files import message_text
 from .cancel import Cancelled, run_job
 from .transitions import TERMINAL
@@ -103,7 +103,8 @@ class Worker:
         if not one:  # no longer pending when it was claimed
             return True
         try:
-            row = {**one[0].asDict(), "cancelled": lambda: self.cancelled(own)}
+            tell = lambda done, message=None: self.store.change("jobs", lambda j: report(j, own, done, message))
+            row = {**one[0].asDict(), "cancelled": lambda: self.cancelled(own), "report": tell}
             done = run_job(self.store.spark, own, lambda: self.handle(row), lambda: self.cancelled(own), self.watch)
             self.store.change("jobs", lambda j: finish(j, own, self.now(), None, done.get("prompt"), done.get("completion"), done.get("cost")))
         except Cancelled:  # its row says so
