@@ -192,7 +192,9 @@ def settings_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     raw = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).when(F.col("c_custkey") % 4 == 1, F.lit("many")).otherwise((F.col("c_custkey") % 9).cast("string"))
     shown = F.when(F.col("c_custkey") % 3 == 0, F.lit(" FALSE ")).when(F.col("c_custkey") % 3 == 1, F.lit("no")).otherwise(F.lit(None))
-    return c.select("c_custkey", values.parallel_limit(raw).cast("long").alias("pages_at_once"), values.flag(shown, True).alias("show_owner"), values.resolved_model(F.col("c_mktsegment")).alias("model"))
+    k, models = F.col("c_custkey"), list(values.PRICES)
+    model = F.when(k % 7 < len(models), F.element_at(F.array(*map(F.lit, models)), (k % 7 % len(models) + 1).cast("int"))).when(k % 7 == 5, F.col("c_mktsegment")).otherwise(F.concat(F.lit(models[0]), F.lit(" ")))
+    return c.select("c_custkey", values.parallel_limit(raw).cast("long").alias("pages_at_once"), values.flag(shown, True).alias("show_owner"), values.resolved_model(model).alias("model"))
 
 
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,12 +214,17 @@ def progress_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of the prompts of pages, and whether they hold what they must."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    one = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
-    seeds = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.col("n_name"))).otherwise(F.array().cast("array<string>"))
-    p = prompts.page_prompt(F.lit("o/r"), F.col("r_name"), F.col("n_name"), F.lit("d"), seeds, F.array().cast("array<string>"), F.lit("- **x**"))
-    return one.select("n_nationkey", p.contains("## Page").alias("has_page"), p.contains("(none: find the relevant files)").alias("no_seeds"), p.contains("## Diagrams").alias("has_diagrams"), prompts.scale_guidance(F.col("n_nationkey") * 3).contains("3-7").alias("large"))
+    """Prompts for new pages and for updates, whole, of pages with no, one or several files and diagrams."""
+    p, k = files(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand", "p_type", "p_size"), "part_id"), F.col("part_id")
+    some = lambda *items: F.filter(F.array(*items), lambda x: x.isNotNull())
+    seeds = some(F.when(k % 2 == 0, F.col("path")), F.when(k % 3 == 0, F.concat("path", F.lit(".old"))))
+    kinds = some(F.when(k % 5 == 0, F.lit("flowchart")), F.when(k % 7 == 0, F.lit("sequenceDiagram")))
+    outline = F.concat(F.lit("- **"), "p_type", F.lit("**\n  - "), "p_name")
+    about = F.when(k % 4 > 0, F.concat(F.lit("all of "), "p_name")).otherwise("")
+    forms = [prompts.page_prompt(F.col("p_brand"), F.col("p_type"), F.col("p_name"), about, seeds, kinds, outline, final) for final in (False, True)]
+    diff = F.repeat(F.concat(F.lit("+"), "p_name", F.lit("\n")), F.col("p_size") * 97)
+    forms += [prompts.update_prompt(F.col("p_brand"), F.concat(F.lit("to "), k.cast("string")), about, diff, F.col("p_name"), F.concat(F.lit("old "), "p_name"), seeds, outline, final) for final in (False, True)]
+    return p.select("part_id", *[F.sha2(x, 256).alias(c) for x, c in zip(forms, ("page", "page_last", "update", "update_last"), strict=True)])
 
 
 def outline_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,14 +312,25 @@ SQL = {
     "usage_cost": """WITH c AS (SELECT (['claude-sonnet-4-6', 'claude-opus-4-6', 'gpt-5.5', 'gpt-5.5-xhigh', 'unknown'])[l_linenumber % 5 + 1] AS model, ([3.0, 5.0, 1.75, 1.75, 0.0])[l_linenumber % 5 + 1]::DOUBLE AS a, ([15.0, 25.0, 14.0, 14.0, 0.0])[l_linenumber % 5 + 1]::DOUBLE AS b,
         trunc(l_quantity * 1000)::BIGINT AS p, trunc(l_extendedprice)::BIGINT AS c, trunc(l_discount * 200000)::BIGINT AS k, CASE WHEN l_returnflag = 'R' THEN l_tax END AS reported FROM lineitem)
         SELECT model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, round(sum(coalesce(reported, ((p - least(k, p)) * a + least(k, p) * a * 0.1 + c * b) / 1e6)), 2) AS cost FROM c GROUP BY model""",
-    "settings_effective": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE greatest(1, least(5, c_custkey % 9)) END::BIGINT AS pages_at_once, c_custkey % 3 <> 0 AS show_owner, 'claude-sonnet-4-6' AS model FROM customer",
+    "settings_effective": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE greatest(1, least(5, c_custkey % 9)) END::BIGINT AS pages_at_once, c_custkey % 3 <> 0 AS show_owner, CASE c_custkey % 7 WHEN 1 THEN 'claude-opus-4-6' WHEN 2 THEN 'gpt-5.5' WHEN 3 THEN 'gpt-5.5-xhigh' ELSE 'claude-sonnet-4-6' END AS model FROM customer",
     "time_texts": f"""WITH d AS (SELECT *, epoch_ms(TIMESTAMP '2024-02-01') - epoch_ms(date_trunc('second', ts)) AS diff FROM events)
         SELECT event_id, CASE WHEN diff < 60000 THEN 'just now' WHEN diff < 3600000 THEN (diff // 60000) || 'm ago' WHEN diff < 86400000 THEN (diff // 3600000) || 'h ago' ELSE (diff // 86400000) || 'd ago' END AS age,
         CASE WHEN {_MS} = 0 THEN '' WHEN {_MS} < 60000 THEN {_SEC} ELSE {_FLOORED} END AS d_floor, CASE WHEN {_MS} = 0 THEN '' WHEN {_MS} < 60000 THEN {_SEC} ELSE {_ROUNDED} END AS d_round,
         CASE WHEN {_MS} = 0 THEN '' WHEN {_MS} < 1000 THEN {_MS} || 'ms' WHEN {_MS} < 60000 THEN (({_MS} + 50) // 100 // 10) || '.' || (({_MS} + 50) // 100 % 10) || 's' ELSE {_ROUNDED} END AS d_short,
         CASE WHEN {_TOK} = 0 THEN '' WHEN {_TOK} >= 1000000 THEN (({_TOK} + 50000) // 100000 // 10) || '.' || (({_TOK} + 50000) // 100000 % 10) || 'M' WHEN {_TOK} >= 1000 THEN (({_TOK} + 50) // 100 // 10) || '.' || (({_TOK} + 50) // 100 % 10) || 'K' ELSE {_TOK}::VARCHAR END AS tokens FROM d""",
     "progress_values": "WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS d FROM lineitem GROUP BY ALL) SELECT l_orderkey, (15 + floor(d / n * 80))::INTEGER AS full, (65 + floor(d / n * 30))::INTEGER AS sync, (5 + floor(d / n * 90))::INTEGER AS resume FROM c".replace("AS full", 'AS "full"'),
-    "page_prompts": "SELECT n_nationkey, true AS has_page, n_nationkey % 2 = 1 AS no_seeds, false AS has_diagrams, n_nationkey * 3 > 50 AS large FROM nation",
+    "page_prompts": f"""WITH {FILES_SQL}, d AS (SELECT part_id, p_name, p_brand, p_type, list_filter([CASE WHEN part_id % 2 = 0 THEN path END, CASE WHEN part_id % 3 = 0 THEN path || '.old' END], lambda x: x IS NOT NULL) AS seeds,
+            list_filter([CASE WHEN part_id % 5 = 0 THEN 'flowchart' END, CASE WHEN part_id % 7 = 0 THEN 'sequenceDiagram' END], lambda x: x IS NOT NULL) AS kinds, CASE WHEN part_id % 4 > 0 THEN 'all of ' || p_name ELSE '' END AS about,
+            '- **' || p_type || '**' || chr(10) || '  - ' || p_name AS outline, left(repeat('+' || p_name || chr(10), p_size * 97), {prompts.MAX_DIFF}) AS diff FROM files JOIN part ON p_partkey = part_id),
+        e AS (SELECT *, chr(10) || chr(10) AS nn, list_transform(seeds, lambda x: '- ' || x) AS items FROM d),
+        f AS (SELECT *, 'Write a documentation page for the repository ' || p_brand || '.' || nn || '## Wiki structure' || chr(10) || outline || nn || '## Page' || chr(10) || '- Section: ' || p_type || chr(10) || '- Page: ' || p_name || chr(10) || '- About: ' || about || nn || '## Files to start from' || chr(10)
+                || (CASE WHEN len(items) > 0 THEN array_to_string(items, chr(10)) ELSE '- (none: find the relevant files)' END) || nn
+                || (CASE WHEN len(kinds) > 0 THEN '## Diagrams' || nn || 'Optional; one at most, two on pages of several components. Suggested: ' || array_to_string(kinds, ', ') || '.' || chr(10) || 'Use fenced mermaid blocks with quoted labels.' || nn ELSE '' END)
+                || '## Form' || chr(10) || 'Markdown from second level headings on; headings are about the code; the title is added elsewhere.' AS made,
+            'Bring a page of the wiki of ' || p_brand || ' up to date.' || nn || '## Wiki structure' || chr(10) || outline || nn || '## Change' || chr(10) || '- to ' || part_id || chr(10) || '- ' || about || nn || '```diff' || chr(10) || diff || chr(10) || '```' || nn || '## Page: ' || p_name || nn || 'old ' || p_name || nn || '## Its files' || chr(10)
+                || (CASE WHEN len(items) > 0 THEN array_to_string(items, chr(10)) ELSE '- (none recorded: see the difference)' END) AS changed, nn || '## Output' || chr(10) AS ends FROM e)
+        SELECT part_id, sha256(made) AS page, sha256(made || ends || 'The last message is the page''s Markdown alone.') AS page_last, sha256(changed || ends || 'Set "noChangesNeeded", or "content" to the whole page.') AS update,
+            sha256(changed || ends || 'The last message is the page''s Markdown alone, or {prompts.NO_CHANGES} if nothing changes.') AS update_last FROM f""",
     "outline_prompts": """WITH d AS (SELECT *, regexp_extract(source, '(\\d+)$', 1)::INTEGER AS k FROM documents),
         f AS (SELECT source, doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS folder, doc_id || (['.ts', '.py', '.md', '.txt'])[doc_id % 4 + 1] AS name, (['typescript', 'python', 'markdown', NULL])[doc_id % 4 + 1] AS l FROM d WHERE k > 3 OR doc_id % 97 < k * 20),
         t AS (SELECT source, 0 AS top, folder, '' AS name, folder || '/' AS line FROM f WHERE folder IS NOT NULL GROUP BY ALL UNION ALL SELECT source, CASE WHEN folder IS NULL THEN 1 ELSE 0 END, coalesce(folder, ''), name, CASE WHEN folder IS NULL THEN name ELSE '  ' || name END FROM f),
