@@ -15,17 +15,18 @@ from ..sources.tables import table
 from .ingest import FILES_SQL, files
 
 
+#: Addresses of a repository (owner @o, name @n) as people write them, right and wrong; what a name can't have is in @n too.
+ADDRESSES = [
+    "  https://github.com/@o/@n.git ", "https://github.com/@o/@n/tree/main", "@o/@n/", "@o/@n", "@n", "./local/@n", "git@github.com/@o/@n", "http://www.github.com/@o/@n?tab=readme", "github.com/@o/@n.git/", "@o/@n.git", "https://example.org/@o/@n", "/srv/@o/@n", "~/@n", "../@o", "@o/@n/x", "https://github.com/@o", " @o/@n\t", "",
+]
+
+
 def parse_repo_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of many forms, made from customers: whole, short, with .git, with what a name can't have."""
-    k, n = F.col("c_custkey"), F.regexp_replace("c_name", "#", "-")
-    address = (
-        F.when(k % 6 == 0, F.concat(F.lit("  https://github.com/o/"), n, F.lit(".git ")))
-        .when(k % 6 == 1, F.concat(F.lit("https://github.com/o/"), n, F.lit("/tree/main")))
-        .when(k % 6 == 2, F.concat(F.lit("own-er/"), n, F.lit("/")))
-        .when(k % 6 == 3, F.concat(F.lit("o/"), F.col("c_name")))
-        .when(k % 6 == 4, n)
-        .otherwise(F.concat(F.lit("./local/"), n))
-    )
+    k, n = F.col("c_custkey"), len(ADDRESSES)
+    form = F.element_at(F.array(*map(F.lit, ADDRESSES)), (k % n + 1).cast("int"))
+    name = F.when(k % 5 == 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "-"))
+    address = F.replace(F.replace(form, F.lit("@o"), F.concat(F.lit("own"), F.when(k % 3 == 0, "-er").when(k % 11 == 1, " er").otherwise("."))), F.lit("@n"), name)
     r = paths.repo_address(F.col("address"))
     return table(spark, sf_dir, "customer").select("c_custkey", address.alias("address")).select("c_custkey", r["owner"].alias("owner"), r["name"].alias("name"), r["url"].alias("url"), paths.is_local(F.col("address")).alias("is_local"))
 
@@ -257,7 +258,10 @@ QUERIES = {
     )
 }
 
-_N = "replace(c_name, '#', '-')"
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
 _CONTENT = "'#  ' || a || '  ' || b || ' ' || chr(10) || chr(10) || rest"
 _REST = "'Intro' || chr(10) || {policy} || '## ' || a || ' & <b>' || b || '</b>' || chr(10) || 'text' || chr(10) || '### ' || {tick} || c || {tick} || chr(10) || '```' || chr(10) || '## not a heading' || chr(10) || '```' || chr(10) || '## ' || a || ' & ' || b || chr(10) || '#### deep' || chr(10) || {trust} || 'last'"
 _AS_WRITTEN = _REST.format(policy="'## Source of *Truth*' || chr(10) || chr(10)", tick="chr(96)", trust="'## Trust hierarchy' || chr(10)")
@@ -291,8 +295,11 @@ SQL = {
         hit AS (SELECT tl.wiki_id, tl.page_no, i, min(k) AS k FROM tl JOIN known ON known.wiki_id = tl.wiki_id AND known.page_no = tl.page_no AND known.path = array_to_string(p[k:], '/') GROUP BY ALL),
         nw AS (SELECT wiki_id, page_no, lk.i, CASE WHEN k IS NULL THEN image || '[' || label || '](' || href || ')' WHEN repo_id % 2 = 1 OR image = '!' THEN '<code>' || array_to_string(string_split(href, '/')[k:], '/') || '</code>' ELSE '[' || label || '](https://github.com/o/' || repo_id || '/blob/main/' || array_to_string(string_split(href, '/')[k:], '/') || ')' END AS new
             FROM lk LEFT JOIN hit USING (wiki_id, page_no, i)) {_PUT_BACK}""",
-    "parse_repo_url": f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'o' WHEN 1 THEN 'o' WHEN 2 THEN 'own-er' END AS owner, CASE WHEN c_custkey % 6 < 3 THEN {_N} END AS name,
-        CASE c_custkey % 6 WHEN 0 THEN 'https://github.com/o/' || {_N} WHEN 1 THEN 'https://github.com/o/' || {_N} WHEN 2 THEN 'https://github.com/own-er/' || {_N} END AS url, c_custkey % 6 = 5 AS is_local FROM customer""",
+    "parse_repo_url": rf"""WITH a AS (SELECT c_custkey, trim(replace(replace(({_list(ADDRESSES)})[c_custkey % {len(ADDRESSES)} + 1], '@o', 'own' || (CASE WHEN c_custkey % 3 = 0 THEN '-er' WHEN c_custkey % 11 = 1 THEN ' er' ELSE '.' END)), '@n', CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE replace(c_name, '#', '-') END), ' ' || chr(9)) AS t FROM customer),
+        b AS (SELECT *, regexp_replace(regexp_replace(t, '\.git$', ''), '/$', '') AS c FROM a), h AS (SELECT *, regexp_matches(c, 'github\.com/([^/]+)/([^/]+)') AS hosted, regexp_full_match(c, '([^/]+)/([^/]+)') AS short FROM b),
+        p AS (SELECT *, CASE WHEN hosted THEN regexp_extract(c, 'github\.com/([^/]+)/([^/]+)', 1) WHEN short THEN split_part(c, '/', 1) END AS o, CASE WHEN hosted THEN regexp_extract(c, 'github\.com/([^/]+)/([^/]+)', 2) WHEN short THEN split_part(c, '/', 2) END AS n FROM h),
+        q AS (SELECT *, coalesce(regexp_full_match(o, '[a-zA-Z0-9._-]+') AND regexp_full_match(n, '[a-zA-Z0-9._-]+'), false) AS ok FROM p)
+        SELECT c_custkey, CASE WHEN ok THEN o END AS owner, CASE WHEN ok THEN n END AS name, CASE WHEN ok THEN 'https://github.com/' || o || '/' || n END AS url, regexp_matches(t, '^(/|~|\./|\.\./)') AS is_local FROM q""",
     "validators": "SELECT c_custkey, regexp_full_match(c_name, '[a-zA-Z0-9._-]+') AS name_ok, regexp_full_match(c_mktsegment, '[a-zA-Z0-9._-]+') AS segment_ok, c_custkey % 2 = 0 AS sha_ok FROM customer",
     "format_display_name": "WITH o AS (SELECT c_custkey, c_name, CASE c_custkey % 3 WHEN 2 THEN c_mktsegment ELSE 'unknown' END AS shown_owner FROM customer) SELECT c_custkey, shown_owner || '/' || c_name AS shown, c_name AS bare, c_name AS tail FROM o",
     "page_addresses": "SELECT c_custkey, '/' || c_mktsegment || '/' || replace(c_name, '#', '%23') || '%20(x)~%C3%A9%2B' || CASE WHEN c_custkey % 2 = 0 THEN '/1.2-a%20b' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '?v=' || c_nationkey ELSE '' END AS path FROM customer",
