@@ -29,12 +29,16 @@ def _active(store: Store, repo_id: int) -> dict | None:
 
 
 def _create_job(store: Store, kind: str, repo_id: int | None, wiki_id: int | None, params: dict) -> int:
-    jobs = store.read("jobs")
     row = store.spark.createDataFrame([(kind, repo_id, wiki_id, json.dumps(params))], "type string, repo_id long, wiki_id long, params string")
-    new = with_ids(row, jobs, ["type"], after=store.largest_id("jobs")).withColumn("created_at", F.current_timestamp())
-    made = _one(new.select("id"))["id"]
-    store.write("jobs", jobs.unionByName(new.withColumn("id", F.lit(made)), allowMissingColumns=True))
-    return made
+    made: list[int] = []
+
+    def with_job(jobs: DataFrame) -> DataFrame:
+        new = with_ids(row, jobs, ["type"], after=store.largest_id("jobs")).withColumn("created_at", F.current_timestamp())
+        made.append(_one(new.select("id"))["id"])
+        return jobs.unionByName(new.withColumn("id", F.lit(made[-1])), allowMissingColumns=True)
+
+    store.change("jobs", with_job)
+    return made[-1]
 
 
 def _latest_wiki(store: Store, repo_id: int, status: str | None = None) -> dict | None:

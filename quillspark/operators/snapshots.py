@@ -1,7 +1,8 @@
 """A catalogue of tables kept as Parquet snapshots: upserts, updates, cascading deletes, versions and job transitions.
 
 Parquet has no MERGE, keys or identity columns. Every change is a function from frames to frames; Store writes the results
-as new snapshots and then one manifest that names them, so readers see the old state or the new one. One writer at a time.
+as new snapshots and then one manifest that names them, so readers see the old state or the new one, and of writers at the
+same time each change counts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import shutil
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,10 +200,19 @@ def migrated(name: str, found: DataFrame) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+class Conflict(Exception):
+    """Another writer has changed the tables meanwhile."""
+
+
+#: Times that a change is made anew after another writer's.
+TRIES = 20
+
+
 class Store:
     """Snapshots of the tables under a folder, and manifests that name the snapshot of each table that counts, with the
     largest id that it ever had. A change of several tables writes their snapshots and then one manifest, so readers see
-    all of it or nothing. Manifests are numbered; of two writers that write the same number the second one fails."""
+    all of it or nothing. Manifests are numbered; of two writers of the same number the second one makes its change anew
+    from what the first has left, so no change is lost."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -233,9 +244,13 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return migrated(name, self.spark.read.parquet(f"{self.folder}/{name}/{own['at']}"))
 
-    def commit(self, tables: Mapping[str, DataFrame]) -> None:
-        """New snapshots of the tables, all at once; the ones before stay for readers, older ones go."""
-        number, manifest = self._manifest()
+    def commit(self, tables: Mapping[str, DataFrame], number: int | None = None) -> None:
+        """New snapshots of the tables, all at once; the ones before stay for readers, older ones go. With the number of the
+        manifest that the tables were made from, it raises Conflict if that isn't the newest."""
+        newest, manifest = self._manifest()
+        number = newest if number is None else number
+        if number != newest:
+            raise Conflict
         after = {k: dict(v) for k, v in manifest.items()}
         for name, df in tables.items():
             at = f"v{number + 1}-{uuid.uuid4().hex[:8]}"
@@ -245,7 +260,12 @@ class Store:
             old = manifest.get(name, {})
             after[name] = {"at": at, "before": old.get("at"), "id": max(top, old.get("id", 0))}
         path, fs = self._path(f"{self.folder}/manifests/{number + 1}")
-        out = fs.create(path, False)  # fails if another writer has made it
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict from e
+            raise
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
         for name in tables:
@@ -256,12 +276,25 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         self.commit({name: df})
 
+    def _again(self, make: Callable[[], Mapping[str, DataFrame]]) -> None:
+        """Commit what `make` makes of the tables as they are, made anew after another writer's change."""
+        for left in range(TRIES - 1, -1, -1):
+            number = self._manifest()[0]
+            try:
+                self.commit(make(), number)
+                return
+            except Conflict:
+                if not left:
+                    raise
+
     def change(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
-        self.write(name, f(self.read(name)))
+        self._again(lambda: {name: f(self.read(name))})
 
     def upsert(self, name: str, rows: DataFrame, now: Column | None = None) -> None:
         """Rows by the table's key; new ones get ids, defaults and times."""
-        now = F.current_timestamp() if now is None else now
+        self._again(lambda: {name: self._upserted(name, rows, F.current_timestamp() if now is None else now)})
+
+    def _upserted(self, name: str, rows: DataFrame, now: Column) -> DataFrame:
         old, keys = self.read(name), KEYS[name]
         given = [c for c in rows.columns if c not in keys and c != "id"]
         fresh = with_ids(rows.drop("id").join(old.select(*keys), keys, "left_anti"), old, keys, after=self.largest_id(name))
@@ -271,18 +304,23 @@ class Store:
         rules = page_rules(old.columns) if name == "wiki_pages" else {c: F.col(f"_n.{c}") for c in given}
         if "updated_at" in old.columns:
             rules["updated_at"] = F.coalesce(F.col("_n.updated_at"), now)
-        self.write(name, upsert(old, both.withColumns(times), keys, rules))
+        return upsert(old, both.withColumns(times), keys, rules)
 
     def delete_wiki(self, wiki_id: int, clones: str | None = None) -> None:
         """The wiki with its pages, at once with its repository and documents if that has no other. The repository's clone
         goes too if it lies below `clones` and the wiki isn't that of a local folder."""
-        tables = {n: self.read(n) for n in SCHEMAS}
-        alone = last_of_repo(tables["wikis"], wiki_id)
-        ids = self.spark.createDataFrame([(wiki_id,)], "id bigint")
-        local = tables["wikis"].where((F.col("id") == wiki_id) & (F.col("source_type") == "local")).count() > 0
-        paths = [r[0] for r in tables["repos"].join(alone, "id", "left_semi").select("clone_path").collect()]  # one at most
-        after = delete_repos(delete_wikis(tables, ids), alone)
-        self.commit({name: after[name] for name in ("repos", "documents", "wikis", "wiki_pages", "jobs")})
+        ids, paths, local = self.spark.createDataFrame([(wiki_id,)], "id bigint"), [], False
+
+        def without() -> dict[str, DataFrame]:
+            nonlocal paths, local
+            tables = {n: self.read(n) for n in SCHEMAS}
+            alone = last_of_repo(tables["wikis"], wiki_id)
+            local = tables["wikis"].where((F.col("id") == wiki_id) & (F.col("source_type") == "local")).count() > 0
+            paths = [r[0] for r in tables["repos"].join(alone, "id", "left_semi").select("clone_path").collect()]  # one at most
+            after = delete_repos(delete_wikis(tables, ids), alone)
+            return {name: after[name] for name in ("repos", "documents", "wikis", "wiki_pages", "jobs")}
+
+        self._again(without)
         for path in paths:
             if clones and not local and safe_to_delete(path, clones):
                 shutil.rmtree(path, ignore_errors=True)

@@ -117,3 +117,25 @@ def test_job_reports_progress(spark, tmp_path):
     assert (done.status, done.progress, done.total_prompt_tokens) == ("completed", 100, 3)
     s.change("jobs", lambda x: snapshots.report(x, 1, 5, "late"))
     assert s.read("jobs").first().progress == 100
+
+
+def test_no_change_of_two_writers_is_lost(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = snapshots.Store(spark, str(tmp_path))
+    s.upsert("settings", spark.createDataFrame([("n", "0")], "key string, value string"))
+
+    def one(i: int) -> None:
+        own = snapshots.Store(spark, str(tmp_path))
+        if i % 2:
+            own.upsert("settings", spark.createDataFrame([(f"k{i}", str(i))], "key string, value string"))
+        else:
+            own.change("settings", lambda x: x.withColumn("value", F.when(F.col("key") == "n", (F.col("value").cast("int") + 1).cast("string")).otherwise(F.col("value"))))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, range(8)))
+    rows = {r.key: r.value for r in s.read("settings").collect()}
+    assert rows == {"n": "4", "k1": "1", "k3": "3", "k5": "5", "k7": "7"}
+    assert len({r.id for r in s.read("settings").collect()}) == 5
+    with pytest.raises(snapshots.Conflict):
+        s.commit({"settings": s.read("settings")}, 1)
