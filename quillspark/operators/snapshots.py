@@ -250,7 +250,7 @@ class Store:
         newest, manifest = self._manifest()
         number = newest if number is None else number
         if number != newest:
-            raise Conflict
+            raise Conflict(f"a manifest after {number} exists")
         after = {k: dict(v) for k, v in manifest.items()}
         for name, df in tables.items():
             at = f"v{number + 1}-{uuid.uuid4().hex[:8]}"
@@ -264,7 +264,7 @@ class Store:
             out = fs.create(path, False)
         except Py4JJavaError as e:
             if "AlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict from e
+                raise Conflict(f"a manifest after {number} exists") from e
             raise
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
