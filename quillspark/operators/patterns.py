@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of patterns in one automaton.
-MAX_CHARS = 32_000_000
+#: Characters of patterns in one automaton; patterns that are looked for one by one.
+MAX_CHARS, FEW = 32_000_000, 50
 
 #: The automaton that this worker used last, by the name of its broadcast list.
 _built: dict[str, ahocorasick.Automaton] = {}
@@ -112,9 +112,16 @@ def pattern_counts(texts: DataFrame, key: Sequence[str], columns: Sequence[str],
     return out.groupBy(*key, "id").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns])  # an id may have patterns in several slices
 
 
-def covered(texts: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
-    """The patterns' rows (id, pattern and others) with `hit`: whether any text holds one of the id's."""
-    found = pattern_counts(texts, [], [column], patterns).select("id").distinct()
+def covered(texts: DataFrame, column: str, patterns: DataFrame, few: int = FEW) -> DataFrame:
+    """The patterns' rows (id, pattern and others) with `hit`: whether any text holds one of the id's. Up to `few` patterns
+    are looked for by an aggregate each."""
+    own = patterns.where(F.length("pattern") > 0).where("id IS NOT NULL").select("id", "pattern").limit(few + 1).collect()
+    if own and len(own) <= few:
+        hits = texts.agg(*[F.coalesce(F.max(F.contains(column, F.lit(r.pattern))), F.lit(False)).alias(f"h{i}") for i, r in enumerate(own)])
+        each = F.array(*[F.struct(F.lit(r.id).cast("long").alias("id"), F.col(f"h{i}").alias("hit")) for i, r in enumerate(own)])
+        found = hits.select(F.inline(each)).where("hit").select("id").distinct()
+    else:
+        found = pattern_counts(texts, [], [column], patterns).select("id").distinct()
     return patterns.join(found.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 

@@ -80,3 +80,11 @@ def test_coverage(spark):
     r = ev.coverage(pages, names()).first()
     assert (r.covered, r.missing, r.coverage) == ([], [], 1.0)
     assert ev.coverage(pages.limit(0), names("a")).first().coverage == 0.0 and pages.where(F.col("content").isNull()).count() == 1
+
+
+def test_few_patterns_are_covered_as_many_are(spark):
+    texts, patterns = drawn(5)
+    df = spark.createDataFrame(texts, "k long, title string, content string, id string")
+    pf = spark.createDataFrame(patterns + [(70, "no such pattern"), (71, None), (72, "")], "id long, pattern string")
+    rows = lambda few: sorted(((r.id, r.pattern, r.hit) for r in pt.covered(df, "content", pf, few).collect()), key=str)
+    assert rows(0) == rows(1000) and {r[2] for r in rows(0)} == {True, False}
