@@ -62,8 +62,8 @@ def overlapping(df: DataFrame, array: str, key: Sequence[str], wanted: DataFrame
 
 def suffixes(path: Column) -> Column:
     """All suffixes of a path at its slashes, the whole path first."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    each = lambda p: F.transform(F.sequence(F.size(F.split(p, "/")), F.lit(1), F.lit(-1)), lambda i: F.call_function("substring_index", p, F.lit("/"), -i))
+    return F.element_at(F.transform(F.array(path), each), 1)  # the path is made once, not for each of its suffixes
 
 
 def valid_citations(citations: DataFrame, files: DataFrame) -> DataFrame:

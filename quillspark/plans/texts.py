@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
@@ -101,36 +101,45 @@ def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of many repositories (a customer each, a page an order's line) with links to files, images and other addresses;
-    some files are the repository's, some those of others."""
+    """Pages of many repositories (a customer each, a page an order's line) of a file of their own and another."""
     f = files(spark, sf_dir).select("part_id", "path")
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")  # groups and orders meet without a further move
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     li = li.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("repo_id")), "l_orderkey")
-    both = li.join(f.select(F.col("part_id").alias("l_partkey"), F.col("path").alias("a")), "l_partkey").join(f.select(F.col("part_id").alias("l_suppkey"), F.col("path").alias("b")), "l_suppkey")
-    tail, n = F.element_at(F.split("a", "/"), -1), F.col("l_linenumber")
+    both = li.join(f.select(F.col("part_id").alias("l_partkey"), F.col("path").alias("own")), "l_partkey").join(f.select(F.col("part_id").alias("l_suppkey"), F.col("path").alias("other")), "l_suppkey")
+    return both.select(F.col("l_orderkey").alias("wiki_id"), F.col("l_linenumber").alias("page_no"), "repo_id", "own", "other")
+
+
+def _linked_content() -> Column:
+    """Links to files, images and other addresses; some files are the repository's, some those of others."""
+    a, b, n = F.col("own"), F.col("other"), F.col("page_no")
     content = F.concat(
-        F.lit("See ["), "a", F.lit("](/home/app/"), "a", F.lit("), ![plan]("), F.when(n % 3 == 0, "/").otherwise("/x/y/"), "b", F.lit(") and [gone](/etc/"), "a", F.lit(".old) [n]"), F.when(n % 2 == 0, F.concat(F.lit("(/"), tail, F.lit(")"))).otherwise(""),
-        F.lit(" [cdn](//host/"), "a", F.lit(") [rel](./"), "a", F.lit(")"), F.when(n % 4 == 0, F.concat(F.lit("[again](/"), "a", F.lit(")"))).otherwise(""),
+        F.lit("See ["), a, F.lit("](/home/app/"), a, F.lit("), ![plan]("), F.when(n % 3 == 0, "/").otherwise("/x/y/"), b, F.lit(") and [gone](/etc/"), a, F.lit(".old) [n]"), F.when(n % 2 == 0, F.concat(F.lit("(/"), _tail(a), F.lit(")"))).otherwise(""),
+        F.lit(" [cdn](//host/"), a, F.lit(") [rel](./"), a, F.lit(")"), F.when(n % 4 == 0, F.concat(F.lit("[again](/"), a, F.lit(")"))).otherwise(""),
     )
-    return both.select(F.col("l_orderkey").alias("wiki_id"), n.alias("page_no"), "repo_id", F.col("a").alias("own"), F.when(n % 7 < 6, content).alias("content"))
+    return F.when(n % 7 < 6, content)
+
+
+def _tail(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages with the links to files of their repositories put right."""
-    pages, c = _linked_pages(spark, sf_dir), F.col("c_custkey")
-    known = pages.where("page_no % 2 = 1").select("repo_id", F.col("own").alias("path"))
-    known = known.union(pages.where("page_no % 5 = 0").select("repo_id", F.element_at(F.split("own", "/"), -1)))
+    pages, c, n = _linked_pages(spark, sf_dir), F.col("c_custkey"), F.col("page_no")
+    named = F.array_compact(F.array(F.when(n % 2 == 1, F.col("own")), F.when(n % 5 == 0, _tail(F.col("own")))))
+    known = pages.where("page_no % 2 = 1 OR page_no % 5 = 0").select("repo_id", F.explode(named).alias("path"))
     url = F.when(c % 5 == 0, F.concat(F.lit("https://github.com/o"), c.cast("string"), F.lit("/r"))).when(c % 5 == 1, F.lit("http://github.com/o/r.git/")).when(c % 5 == 2, F.lit("local:///tmp/r")).when(c % 5 == 3, F.lit(" https://github.com/o/r/ "))
     repos = table(spark, sf_dir, "customer").select(c.alias("repo_id"), url.alias("url"), F.when(c % 3 == 0, "dev").when(c % 3 == 1, "").alias("default_branch"))
-    out = relink_stored(pages, known, repos, "repo_id", ["wiki_id", "page_no"])
+    out = relink_stored(pages, known, repos, "repo_id", ["wiki_id", "page_no"], _linked_content())
     return out.select("wiki_id", "page_no", F.sha2("content", 256).alias("content_hash"))
 
 
 def shown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a reader sees them, with the links to the files that they name themselves."""
-    pages = _linked_pages(spark, sf_dir).withColumn("file_paths", F.when(F.col("page_no") % 3 > 0, F.array("own", F.element_at(F.split("own", "/"), -1))))
+    pages = _linked_pages(spark, sf_dir).withColumn("file_paths", F.when(F.col("page_no") % 3 > 0, F.array("own", _tail(F.col("own")))))
     base = F.when(F.col("repo_id") % 2 == 0, F.concat(F.lit("https://github.com/o/"), F.col("repo_id").cast("string"), F.lit("/blob/main/")))
-    return shown(pages, base, ["wiki_id", "page_no"]).select("wiki_id", "page_no", F.sha2("content", 256).alias("content_hash"))
+    return shown(pages.withColumn("content", _linked_content()), base).select("wiki_id", "page_no", F.sha2("content", 256).alias("content_hash"))
 
 
 def _diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
