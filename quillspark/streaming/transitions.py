@@ -7,7 +7,8 @@ a job that is silent for the step's limit is failed, once, at the moment the lim
 
 By event time, events wait in the state until the watermark has passed them, so their order of arrival has no influence:
 the stream emits what a replay of all events in order does. By arrival, events take effect at once, late ones (not after
-the job's last one) say nothing, and limits run by the clock. A batch comes sorted, so nothing waits.
+the job's last one) say nothing, and limits run by the clock. A batch comes sorted, so nothing waits: a task replays its
+jobs one after the other by the same rules, and holds the job at hand alone.
 
 State is one value for a job, and its waiting events; an ended job's state goes RETAIN_MS after its end.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -40,6 +42,7 @@ NEXT = {
 }
 EVENT = "job_id long, seq long, at timestamp, kind string, step string, progress int, message string"
 TRANSITION = "job_id long, seq long, at_ms long, status string, progress int, message string"
+_TRANSITION = pa.schema([("job_id", pa.int64()), ("seq", pa.int64()), ("at_ms", pa.int64()), ("status", pa.string()), ("progress", pa.int32()), ("message", pa.string())])
 
 
 class Event(NamedTuple):
@@ -82,12 +85,47 @@ def advanced(job: Job | None, e: Event, limits: Mapping[str, int], now: int | No
     return Job(status, progress, e.message, e.at, e.seq, e.step if waits else None, (e.at if now is None else now) + 1000 * limits[e.step] if waits else None)
 
 
+def replayed(batches: Iterator[pa.RecordBatch], limits: Mapping[str, int], horizon: int) -> Iterator[pa.RecordBatch]:
+    """TRANSITION rows of events that come sorted by job_id, at_ms and seq; jobs that are silent at `horizon` are failed."""
+    key, job, last = None, None, None
+    out: list[tuple] = []
+
+    def note(seq: int | None, new: Job) -> None:
+        out.append((key, seq, new.at, new.status, new.progress, new.message))
+
+    def packed() -> pa.RecordBatch:
+        cols = zip(*out, strict=True) if out else [()] * len(_TRANSITION)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TRANSITION, strict=True)], schema=_TRANSITION)
+        out.clear()
+        return batch
+
+    for b in batches:
+        for own, *rest in zip(*(b.column(c).to_pylist() for c in ("job_id", "at_ms", *Event._fields[1:])), strict=True):
+            e = Event(*rest)
+            if own != key:
+                if late := timed_out(job, horizon, limits):
+                    note(None, late)
+                key, job, last = own, None, None
+            if last is not None and e[:2] < last:
+                raise RuntimeError("a batch's events must come in order")
+            last = e[:2]
+            if late := timed_out(job, e.at, limits):
+                job = late
+                note(None, job)
+            if new := advanced(job, e, limits):
+                job = new
+                note(e.seq, job)
+        yield packed()
+    if late := timed_out(job, horizon, limits):
+        note(None, late)
+    yield packed()
+
+
 class JobTransitions(StatefulProcessor):
-    """`clock`: "event" (events wait for the watermark), "arrival" (they count at once), or "batch" (they come in order, and
-    what is silent at `horizon` is failed)."""
+    """`clock`: "event" (events wait for the watermark) or "arrival" (they count at once)."""
 
-    def __init__(self, clock: str, limits: Mapping[str, int], horizon: int | None = None, retain: int = RETAIN_MS):
-        self.clock, self.limits, self.horizon, self.retain = clock, dict(limits), horizon, retain
+    def __init__(self, clock: str, limits: Mapping[str, int], retain: int = RETAIN_MS):
+        self.clock, self.limits, self.retain = clock, dict(limits), retain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -102,10 +140,9 @@ class JobTransitions(StatefulProcessor):
         if job is None:
             return
         self.job.update(tuple(job))
-        if self.clock != "batch":
-            until = job.at + self.retain if job.status in TERMINAL else job.due
-            if until is not None:
-                self.handle.registerTimer(until)
+        until = job.at + self.retain if job.status in TERMINAL else job.due
+        if until is not None:
+            self.handle.registerTimer(until)
 
     @staticmethod
     def _rows(key: tuple, out: list[tuple[int | None, Job]]) -> pd.DataFrame:
@@ -135,20 +172,9 @@ class JobTransitions(StatefulProcessor):
                         self.waiting.updateValue((e.at, e.seq), (e.kind, e.step, e.progress, e.message))
                         self.handle.registerTimer(e.at)
             return
-        now = timerValues.getCurrentProcessingTimeInMs() if self.clock == "arrival" else None
-        job, last = self._read(), None
+        now, job = timerValues.getCurrentProcessingTimeInMs(), self._read()
         for part in rows:
-            events = _events(part)
-            if now is not None:
-                events.sort(key=lambda e: (e.at, e.seq))
-            elif events and (events != sorted(events, key=lambda e: (e.at, e.seq)) or (last or events[0])[:2] > events[0][:2]):
-                raise RuntimeError("a batch's events must come in order")
-            last = events[-1] if events else last
-            job, out = self._apply(job, events, now, now)
-            if out:
-                yield self._rows(key, out)
-        if self.horizon is not None:
-            job, out = self._apply(job, [], self.horizon)
+            job, out = self._apply(job, sorted(_events(part), key=lambda e: (e.at, e.seq)), now, now)
             if out:
                 yield self._rows(key, out)
         self._write(job)
@@ -196,16 +222,14 @@ def job_transitions(events: DataFrame, clock: str = "event", delay: str = "10 mi
     """job_id, seq (null: a time-out), at, status, progress and message of the transitions that count. A stream of EVENT
     gives a stream, by the watermark or by arrival. A batch is replayed in order, up to the time of its last event. The
     stream needs the RocksDB state store."""
-    spark = events.sparkSession
     if events.isStreaming:
         own = _keyed(events.withWatermark("at", delay) if clock == "event" else events)
         mode = "eventTime" if clock == "event" else "processingTime"
         return _timed(own.groupBy("job_id").transformWithStateInPandas(JobTransitions(clock, limits, retain=retain), TRANSITION, "append", mode))
-    spark.streams.active  # noqa: B018  starts what the state store needs, as a first stream would
     own = _keyed(events)
     horizon = own.agg(F.max("at_ms")).first()[0]
-    ordered = own.repartition("job_id").sortWithinPartitions("job_id", "at_ms", "seq")
-    return _timed(ordered.groupBy("job_id").transformWithStateInPandas(JobTransitions("batch", limits, horizon), TRANSITION, "append", "none"))
+    ordered = own.drop("at").repartition("job_id").sortWithinPartitions("job_id", "at_ms", "seq")
+    return _timed(ordered.mapInArrow(lambda batches: replayed(batches, limits, horizon), TRANSITION))
 
 
 def current_jobs(transitions: DataFrame) -> DataFrame:

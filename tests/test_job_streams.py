@@ -239,3 +239,12 @@ def test_worker_stops_a_cancelled_job(spark, tmp_path):
     s.change("jobs", lambda j: snapshots.cancel(j, 1, F.current_timestamp()))
     t.join(20)
     assert not t.is_alive() and [r.status for r in s.read("jobs").collect()] == ["cancelled"]
+
+
+def test_a_batch_is_replayed_by_tasks_not_by_calls_for_each_job(spark):
+    rows = [(j, s, s * 1000, k, "page", s, None) for j in range(300) for s, k in enumerate(("create", "claim", "progress", "complete" if j % 2 else "progress"))]
+    events = spark.createDataFrame(rows, "job_id long, seq long, ms long, kind string, step string, progress int, message string").withColumn("at", F.timestamp_millis("ms"))
+    out = tr.job_transitions(events, limits={"page": 0})
+    assert "TransformWithState" not in out._jdf.queryExecution().executedPlan().toString()
+    ends = {r.job_id: (r.status, r.n) for r in out.groupBy("job_id").agg(F.max_by("status", "at").alias("status"), F.count("*").alias("n")).collect()}
+    assert len(ends) == 300 and set(ends.values()) == {("failed", 3)}  # a limit that ends at once
