@@ -226,6 +226,7 @@ def progress_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts for new pages and for updates, whole, of pages with no, one or several files and diagrams."""
     p, k = files(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand", "p_type", "p_size"), "part_id"), F.col("part_id")
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part_id")  # short rows, a file or two of them, that long texts are made of
     some = lambda *items: F.filter(F.array(*items), lambda x: x.isNotNull())
     seeds = some(F.when(k % 2 == 0, F.col("path")), F.when(k % 3 == 0, F.concat("path", F.lit(".old"))))
     kinds = some(F.when(k % 5 == 0, F.lit("flowchart")), F.when(k % 7 == 0, F.lit("sequenceDiagram")))

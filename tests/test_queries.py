@@ -18,3 +18,7 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_long_prompts_are_made_by_all_tasks(spark):
+    assert catalogue.QUERIES["page_prompts"](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
