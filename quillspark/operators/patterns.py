@@ -2,7 +2,8 @@
 
 Patterns are a table. They are built into an Aho-Corasick automaton, which finds all of them in one scan of a text, so the
 time hardly depends on their number. The automaton holds MAX_CHARS characters of patterns at most; a longer table is cut
-into slices of that size, each of which takes a pass of its own over the texts.
+into slices of that size, each of which takes a pass of its own over the texts. A worker holds one automaton, of about 30
+bytes a character.
 
 Counts are those of a search for each pattern alone: from left to right, without overlaps with itself. Null texts hold
 nothing; null and empty patterns occur nowhere.
@@ -11,7 +12,9 @@ nothing; null and empty patterns occur nowhere.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -20,10 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of patterns in one automaton; patterns that are looked for one by one.
-MAX_CHARS, FEW = 32_000_000, 50
+MAX_CHARS, FEW = 8_000_000, 50
+#: Patterns that are taken out of a broadcast list at a time.
+CHUNK = 10_000
+#: Texts whose counts are held at a time: they grow with the patterns.
+ROWS = 256
+
+class Machine(NamedTuple):
+    """An automaton of numbers, by which sizes and ids of the patterns' texts are found; few texts have more ids than one."""
+
+    trie: ahocorasick.Automaton
+    sizes: array
+    ids: array
+    more: dict[int, list[int]]
+
 
 #: The automaton that this worker used last, by the name of its broadcast list.
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Machine] = {}
 
 
 def folded(text: str) -> str:
@@ -32,26 +48,31 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def automaton(patterns: Sequence[tuple[int, str]], ignore_case: bool) -> ahocorasick.Automaton:
-    """Values are the number of the pattern's text, its length, and the ids that ask for it."""
-    ids: dict[str, list[int]] = {}
+def automaton(patterns: Iterable[tuple[int, str]], ignore_case: bool) -> Machine:
+    out = Machine(ahocorasick.Automaton(ahocorasick.STORE_INTS), array("q"), array("q"), {})
     for i, p in patterns:
-        ids.setdefault(folded(p) if ignore_case else p, []).append(i)
-    out = ahocorasick.Automaton()
-    for k, (p, own) in enumerate(ids.items()):
-        out.add_word(p, (k, len(p), tuple(own)))
-    out.make_automaton()
+        p = folded(p) if ignore_case else p
+        k = out.trie.get(p, -1)
+        if k >= 0:
+            out.more.setdefault(k, []).append(i)
+            continue
+        out.trie.add_word(p, len(out.ids))
+        out.sizes.append(len(p))
+        out.ids.append(i)
+    out.trie.make_automaton()
     return out
 
 
-def counts(machine: ahocorasick.Automaton, text: str) -> dict[int, int]:
+def counts(machine: Machine, text: str) -> dict[int, int]:
     """id, number of occurrences; ids of several patterns get their sum."""
     ends: dict[int, int] = {}
     out: dict[int, int] = {}
-    for last, (k, size, ids) in machine.iter(text):
-        if last - size >= ends.get(k, -1):
+    _, sizes, ids, more = machine
+    for last, k in machine.trie.iter(text):
+        if last - sizes[k] >= ends.get(k, -1):
             ends[k] = last
-            for i in ids:
+            out[ids[k]] = out.get(ids[k], 0) + 1
+            for i in more.get(k, ()):
                 out[i] = out.get(i, 0) + 1
     return out
 
@@ -71,14 +92,19 @@ def slices(patterns: DataFrame, chars: int = MAX_CHARS) -> Iterator[list[tuple[i
 
 
 def _pass(texts: DataFrame, key: Sequence[str], columns: Sequence[str], patterns: list[tuple[int, str]], ignore_case: bool) -> DataFrame:
-    held, name, n = texts.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex, len(key)
+    packed = pa.RecordBatch.from_arrays([pa.array([i for i, _ in patterns], pa.int64()), pa.array([p for _, p in patterns], pa.large_string())], names=["id", "pattern"])
+    held, name, n = texts.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex, len(key)
+
+    def own_patterns() -> Iterator[tuple[int, str]]:
+        for lo in range(0, held.value.num_rows, CHUNK):
+            yield from zip(*(c.to_pylist() for c in held.value.slice(lo, CHUNK).columns), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:
             _built.clear()
-            _built[name] = automaton(held.value, ignore_case)
+            _built[name] = automaton(own_patterns(), ignore_case)
         machine = _built[name]
-        for b in batches:
+        for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
             rows: list[int] = []
             ids: list[int] = []
             found: list[list[int]] = [[] for _ in columns]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import time
 
 import pytest
+from conftest import REPO
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluation as ev
@@ -88,3 +91,19 @@ def test_few_patterns_are_covered_as_many_are(spark):
     pf = spark.createDataFrame(patterns + [(70, "no such pattern"), (71, None), (72, "")], "id long, pattern string")
     rows = lambda few: sorted(((r.id, r.pattern, r.hit) for r in pt.covered(df, "content", pf, few).collect()), key=str)
     assert rows(0) == rows(1000) and {r[2] for r in rows(0)} == {True, False}
+
+
+def test_a_worker_holds_little():
+    """The largest automaton, by what a smaller one takes, in a process of its own."""
+    code = """
+import random, resource
+from quillspark.operators import patterns as pt
+rnd = random.Random(1)
+words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(5, 12))) for _ in range(200_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+machine = pt.automaton(enumerate(words), False)
+took = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
+print(took / sum(map(len, words)) * pt.MAX_CHARS / 1e6)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=REPO)
+    assert float(done.stdout.split()[-1]) < 500, done.stdout
