@@ -16,7 +16,9 @@ Candidates are verified by the exact similarity of their sets: pairs that the si
 and a set moves to the hub of its pairs, a hub's set once for every PART of its pairs. The verified links' connected
 components are the classes. Nodes of larger buckets that hold several classes then take an exact join by prefixes of
 their sets (rarest elements first, with the bounds of sizes and positions) for the links between classes that no leader
-showed, nor AGREE small buckets. Classes are named after their least doc_id.
+showed, nor AGREE small buckets. Before it, where it could make more pairs than it reads rows, nodes meet leaders of each
+element, in turns that join their classes, so that it makes no pair within a crowd. Classes are named after their least
+doc_id.
 
 Texts of fewer than five words have one shingle, all their words; texts without words are all equal. Every row has a class
 of its own text's: rows of a null doc_id or of a doc_id that others have too are told apart by their texts, and a class of
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ PAIRS, LEADERS, HOT = 32, 6, 2000
 #: Pairs of one hub that are verified together.
 PART = 512
 CHUNK = 1 << 18
+#: Turns of leaders before an exact join at most; links for a node that one must find for another one to follow.
+TURNS, USEFUL = 8, 0.25
 #: Counters of elements by hash that order them by rarity. Any order is right; this one makes few candidates.
 SLOTS = 1 << 22
 #: Runs of slots whose counters are added up together.
@@ -354,23 +359,68 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, threshold: float, k: int) -> D
     return docs.mapInArrow(run, "cell long, node long, label long, size long, at long")
 
 
-def crowd_candidates(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """a, b: all pairs of the nodes, of different classes, that can have the similarity by size and prefix.
+def _left(size_x: Column, at_x: Column, size: Column, at: Column, threshold: float) -> Column:
+    """Whether sets that share an element at these places can have the similarity: at one of t they share t / (1 + t) of
+    their sizes' sum, and from their first common element on neither has less left."""
+    return F.least(size_x - at_x, size - at) * (1 + threshold) + 1e-9 >= F.lit(threshold) * (size_x + size)
 
-    At a similarity of t two sets share t / (1 + t) of their sizes' sum, so their first common element in any order is in
-    both prefixes, and neither has less left from there on. On each element the nodes outside its largest class meet all."""
-    few = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
-    own = docs.select(F.col("id").alias("node"), "text").join(few, "node").select("node", "text", "label")
-    entries = stored(prefixes(own, _rarity(own, k), threshold, k).distinct(), "prefixes")
-    main = entries.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    shared = stored(entries.join(main.select("cell", "main"), "cell"), "shared-prefixes")
+
+def mixed_cells(entries: DataFrame) -> DataFrame:
+    """cell, n, most, main: the elements that nodes of several classes have in their prefixes, the number of these nodes, and
+    that of the largest class and its name."""
+    own = entries.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell")
+    found = own.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    return found.where("labels > 1").select("cell", "n", F.col("top.n").alias("most"), F.col("top.label").alias("main"))
+
+
+def led_pairs(entries: DataFrame, cells: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """a, b: leaders and the nodes of other classes that can be similar to them. An element has a leader for each range of
+    sizes, one that comes to it early, and so can be similar to most, by chances that differ with the turn."""
+    band = F.floor(F.log("size") / math.log(max(1 / threshold, 1.05)))
+    early = (F.col("at") + 1) / F.col("size") * (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) + 200)
+    lead = F.min(F.struct(early.alias("o"), "node", "label", "size", "at")).alias("lead")
+    found = entries.groupBy("cell", band.alias("band")).agg(lead).groupBy("cell").agg(F.collect_list("lead").alias("leads"))
+    leaders = stored(found.join(cells, "cell", "left_semi"), "leaders")
+    met = entries.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST_ROWS) else leaders, "cell")
+    near = lambda x: (x["label"] != F.col("label")) & _left(x["size"], x["at"], F.col("size"), F.col("at"), threshold)
+    return met.select(F.explode(F.transform(F.filter("leads", near), lambda x: x["node"])).alias("a"), F.col("node").alias("b")).distinct()
+
+
+def prefix_pairs(entries: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of different classes that can be similar. On each element the nodes outside its largest class meet
+    all."""
+    shared = stored(entries.join(cells.select("cell", "main"), "cell"), "shared-prefixes")
     x = shared.where("label <> main").select("cell", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "size", "at")])
-    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size") - F.col("at"))
-    near = left * (1 + threshold) + 1e-9 >= F.lit(threshold) * (F.col("size_x") + F.col("size"))
+    near = _left(F.col("size_x"), F.col("at_x"), F.col("size"), F.col("at"), threshold)
     met = x.join(shared, (x["cell"] == shared["cell"]) & (F.col("label_x") != F.col("label")) & near)
     return met.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct()
 
 
+def crowd_links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """a, b: links that join all classes of the nodes between which there is any link.
+
+    The first common element of similar sets, in any order, is in both prefixes, so all pairs that share one are candidates.
+    Where these could be more than the rows, nodes meet their elements' leaders alone, and the classes so found are joined:
+    a crowd of similar nodes becomes one class by a few pairs a node, and pairs within a class are never made. Turns of
+    leaders end when one finds little; then all pairs that are left between classes are made."""
+    few = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
+    own = docs.select(F.col("id").alias("node"), "text").join(few, "node").select("node", "text", "label")
+    entries = held = stored(prefixes(own, _rarity(own, k), threshold, k).distinct(), "prefixes")
+    labels, links, useful, asked = nodes, [], True, nodes.count()
+    while True:
+        cells = stored(mixed_cells(held), "mixed-cells")
+        rows, pairs = cells.agg(F.sum("n"), F.sum((F.col("n") - F.col("most")) * F.col("n").cast("double"))).first()
+        last = not useful or len(links) == TURNS or (pairs or 0) <= (rows or 0)
+        met = stored(prefix_pairs(held, cells, threshold) if last else led_pairs(held, cells, threshold, len(links)), "candidates")
+        links.append(stored(verified(met, docs, threshold, k), "links"))
+        if last:
+            return reduce(DataFrame.union, links)
+        useful = links[-1].count() >= USEFUL * asked
+        labels = joined_classes(labels, links[-1])
+        known = F.broadcast(labels) if small_enough(labels, BROADCAST_ROWS) else labels
+        held = stored(entries.drop("label").join(known, "node"), "labelled-prefixes")
+
+
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     """node, label: the classes after further links between their nodes, or nodes of none."""
     label = lambda x: classes.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
@@ -414,8 +464,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, ban
             with scope(spark) as third:
                 apart = stored(mixed_nodes(shared, found), "mixed-nodes")
                 if apart.limit(1).count():
-                    rest = verified(stored(crowd_candidates(apart, docs, threshold, k), "candidates"), docs, threshold, k)
-                    found = joined_classes(found, stored(rest, "links"))
+                    found = joined_classes(found, crowd_links(apart, docs, threshold, k))
                 third.drop(found)
         out = stored(ids.join(found, "node", "left").select("id", F.coalesce("label", "node").alias("label")), "classes")
         own.drop(out)

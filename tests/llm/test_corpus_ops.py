@@ -269,6 +269,29 @@ def test_near_duplicates_that_no_leader_shows(spark, monkeypatch):
     assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == named(df.collect())
 
 
+def test_a_crowd_joins_by_few_pairs(spark, monkeypatch):
+    """Two crowds around texts, of all sizes that the similarity allows, left to the exact join alone: the pairs that it
+    verifies grow with the nodes, not with their square."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "first_candidates", lambda shared: shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(near_dedup, "all_candidates", lambda shared, known, threshold: near_dedup.first_candidates(shared))
+    asked, verified = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    rnd = random.Random(3)
+    bases = [[f"b{j}w{rnd.randrange(5000)}" for _ in range(300)] for j in range(2)]
+    texts = []
+    for i in range(240):
+        w = list(bases[i % 2])
+        if i % 3:
+            w += [f"o{i}_{j}" for j in range(rnd.randrange(90))]
+        else:
+            w[rnd.randrange(300)] = f"e{i}"
+        texts.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == named(df.collect())
+    assert sum(asked) < 10 * len(texts)
+
+
 def test_shared_ids_and_null_ids_by_shuffle(spark, monkeypatch):
     """Half of the ids null, others shared by different texts; joins by shuffle."""
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
