@@ -244,6 +244,27 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return migrated(name, self.spark.read.parquet(f"{self.folder}/{name}/{own['at']}"))
 
+    def _publish(self, number: int, content: bytes) -> None:
+        """The manifest of the number, whole at once, by one writer alone; Conflict for all others. Hadoop's local files are
+        looked for and then made or replaced, so of two writers both could succeed: there a hard link is made, which fails
+        if the name exists, as renaming does elsewhere."""
+        path, fs = self._path(f"{self.folder}/manifests/{number}")
+        made, _ = self._path(f"{self.folder}/manifests/.{number}-{uuid.uuid4().hex}")
+        out = fs.create(made, False)
+        out.write(bytearray(content))
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(made.toUri().getPath(), path.toUri().getPath())
+            elif not fs.rename(made, path):
+                raise FileExistsError(path.toString())
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise Conflict(f"a manifest after {number - 1} exists") from e
+        finally:
+            fs.delete(made, False)
+
     def commit(self, tables: Mapping[str, DataFrame], number: int | None = None) -> None:
         """New snapshots of the tables, all at once; the ones before stay for readers, older ones go. With the number of the
         manifest that the tables were made from, it raises Conflict if that isn't the newest."""
@@ -259,15 +280,7 @@ class Store:
             top = self.spark.read.parquet(f"{self.folder}/{name}/{at}").agg(F.max("id")).first()[0] or 0
             old = manifest.get(name, {})
             after[name] = {"at": at, "before": old.get("at"), "id": max(top, old.get("id", 0))}
-        path, fs = self._path(f"{self.folder}/manifests/{number + 1}")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(f"a manifest after {number} exists") from e
-            raise
-        out.write(bytearray(json.dumps(after).encode()))
-        out.close()
+        self._publish(number + 1, json.dumps(after).encode())
         for name in tables:
             if gone := manifest.get(name, {}).get("before"):
                 path, fs = self._path(f"{self.folder}/{name}/{gone}")

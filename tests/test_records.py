@@ -119,6 +119,28 @@ def test_job_reports_progress(spark, tmp_path):
     assert s.read("jobs").first().progress == 100
 
 
+def test_one_writer_alone_makes_a_manifest(spark, tmp_path):
+    """Eight writers of the same number at once: one succeeds, and readers never see half of its manifest."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    together = Barrier(8)
+
+    def one(number: int) -> int:
+        own = snapshots.Store(spark, str(tmp_path))
+        together.wait()
+        try:
+            own.commit({}, number)
+        except snapshots.Conflict:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(8) as pool:
+        for number in range(60):
+            assert sum(pool.map(one, [number] * 8)) == 1
+    assert snapshots.Store(spark, str(tmp_path))._manifest() == (60, {})
+
+
 def test_no_change_of_two_writers_is_lost(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
